@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, licenses, mixing
+import public_tokenizers
+
+from . import fingerprints, licenses, media, mixing, trie_bpe, wavelet
+
+
+TOKENIZER = "word_bpe_49k.json"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +20,19 @@ def op1_syncmers(spark, sf_dir):
     return fingerprints.fingerprint_neighbours(_documents(spark, sf_dir))
 
 
+def op2_wavelet(spark, sf_dir):
+    manifest = wavelet.write_shards(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
+    return wavelet.read_shards(manifest)
+
+
+def op7_trie_bpe(spark, sf_dir):
+    return trie_bpe.encode_decode(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
+
+
+def op9_media(spark, sf_dir):
+    return media.describe(media.read_archives(spark, media.write_archives(_documents(spark, sf_dir))))
+
+
 def op6_licenses(spark, sf_dir):
     return licenses.scan_licenses(_documents(spark, sf_dir)).drop("spans")
 
@@ -26,6 +44,9 @@ def op10_mixing(spark, sf_dir):
 def queries():
     return {
         "op1_syncmers": op1_syncmers,
+        "op2_wavelet": op2_wavelet,
+        "op7_trie_bpe": op7_trie_bpe,
+        "op9_media": op9_media,
         "op6_licenses": op6_licenses,
         "op10_mixing": op10_mixing,
     }
