@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import fingerprints, licenses, media, mixing, substrings, trie_bpe, wavelet
+from . import fingerprints, jaccard, licenses, media, mixing, substrings, trie_bpe, wavelet
 
 
 TOKENIZER = "word_bpe_49k.json"
@@ -29,6 +29,10 @@ def op7_trie_bpe(spark, sf_dir):
     return trie_bpe.encode_decode(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op5_jaccard(spark, sf_dir):
+    return jaccard.jaccard_components(_documents(spark, sf_dir))
+
+
 def op8_substrings(spark, sf_dir):
     return substrings.remove_repeats(_documents(spark, sf_dir))
 
@@ -50,6 +54,7 @@ def queries():
         "op1_syncmers": op1_syncmers,
         "op2_wavelet": op2_wavelet,
         "op7_trie_bpe": op7_trie_bpe,
+        "op5_jaccard": op5_jaccard,
         "op8_substrings": op8_substrings,
         "op9_media": op9_media,
         "op6_licenses": op6_licenses,
@@ -58,4 +63,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_substrings": substrings.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
+    return {"op5_jaccard": jaccard.ORACLE_SQL, "op8_substrings": substrings.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
