@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import fingerprints, jaccard, licenses, media, mixing, substrings, trie_bpe, wavelet
+from . import fingerprints, jaccard, katz, licenses, media, mixing, substrings, trie_bpe, wavelet
 
 
 TOKENIZER = "word_bpe_49k.json"
@@ -29,6 +29,10 @@ def op7_trie_bpe(spark, sf_dir):
     return trie_bpe.encode_decode(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op3_katz(spark, sf_dir):
+    return katz.score(_documents(spark, sf_dir))
+
+
 def op5_jaccard(spark, sf_dir):
     return jaccard.jaccard_components(_documents(spark, sf_dir))
 
@@ -54,6 +58,7 @@ def queries():
         "op1_syncmers": op1_syncmers,
         "op2_wavelet": op2_wavelet,
         "op7_trie_bpe": op7_trie_bpe,
+        "op3_katz": op3_katz,
         "op5_jaccard": op5_jaccard,
         "op8_substrings": op8_substrings,
         "op9_media": op9_media,
