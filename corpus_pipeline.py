@@ -1,14 +1,62 @@
-"""Corpus pipeline: five stages over ``documents``, each written and read again before the next."""
+"""Corpus pipeline: five stages over ``documents``, each written and read again before the next.
 
-from __future__ import annotations
+toxicity      rejected documents go
+jaccard       of each group of near copies the document with the least id stays
+substrings    words of passages that begin in an earlier document go
+mixing        rows are taken by source, to target weights: complete epochs, then in part
+encoding      token ids, their number and digests, and the digest of what decodes
 
+All stages but the last return the columns of ``documents``; ``n_chars`` is kept
+true where a text changes.  SQL can't express the toxicity stage, so ORACLE_SQL
+is None; tests hold the stages against brute force.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+import public_tokenizers
+from quillmill.llm import jaccard, mixing, substrings, toxicity, trie_bpe
 from quillmill.llm._shared import stage
 
-STAGES = []
+TOKENIZER = "word_bpe_49k.json"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below 0.5 by a model fitted on ``labels`` and these documents."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model, score_col="__toxic").filter("__toxic < 0.5").drop("__toxic")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of the Jaccard join; rows with a null id stay."""
+    found = jaccard.jaccard_components(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(found, docs.doc_id == found["__gone"], "left_anti")
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of repeated passages; a text that loses nothing keeps its white space."""
+    kept = substrings.remove_repeats(docs, texts_out=True).filter("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"))
+    joined = docs.join(kept, docs.doc_id == kept["__id"], "left")
+    text = F.coalesce("__kept", "text")
+    changed = {"text": text, "n_chars": F.when(F.col("__kept").isNotNull(), F.length("__kept").cast("long")).otherwise(F.col("n_chars"))}
+    return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the mix takes, as often as it takes them."""
+    return mixing.mixed_documents(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
+    return trie_bpe.encode_decode(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [("toxicity", drop_toxic), ("jaccard", drop_near_copies), ("substrings", drop_repeats), ("mixing", mix), ("encoding", encode)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES[:-1]:

@@ -131,6 +131,12 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+def lowered(texts: pa.Array) -> pa.Array:
+    """Large strings with A-Z folded and nulls empty.  (Arrow's own ascii_lower breaks some letters beyond ASCII.)"""
+    raw, offsets = text_bytes(texts)
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(_LOWER[raw]))
+
+
 def spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and the first word's index for each text (n+1 values)."""
     n = len(raw)

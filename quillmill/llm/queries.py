@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import fingerprints, jaccard, katz, licenses, media, mixing, substrings, trie_bpe, wavelet
+from . import fingerprints, jaccard, katz, licenses, media, mixing, substrings, toxicity, trie_bpe, wavelet
 
 
 TOKENIZER = "word_bpe_49k.json"
@@ -33,6 +34,14 @@ def op3_katz(spark, sf_dir):
     return katz.score(_documents(spark, sf_dir))
 
 
+def op4_toxicity(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % toxicity.OF == toxicity.HELD_OUT
+    return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op5_jaccard(spark, sf_dir):
     return jaccard.jaccard_components(_documents(spark, sf_dir))
 
@@ -59,6 +68,7 @@ def queries():
         "op2_wavelet": op2_wavelet,
         "op7_trie_bpe": op7_trie_bpe,
         "op3_katz": op3_katz,
+        "op4_toxicity": op4_toxicity,
         "op5_jaccard": op5_jaccard,
         "op8_substrings": op8_substrings,
         "op9_media": op9_media,

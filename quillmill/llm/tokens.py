@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from ._shared import ragged
+from ._shared import lowered, ragged
 
 #: Pieces remembered by a worker; the memory is emptied when full.
 REMEMBERED = 400_000
@@ -29,7 +29,7 @@ def pieces(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     where the tokenizer always cuts.
     """
     texts = texts.cast(pa.large_string()).fill_null("")
-    texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,])", r"\1 \2"))
+    texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.replace_substring_regex(lowered(texts), r"([a-z])([.,])", r"\1 \2"))
     parts = pc.ascii_split_whitespace(texts)
     offsets = parts.offsets.to_numpy().astype(np.int64)
     return parts.flatten().dictionary_encode(), offsets - offsets[0]
