@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ._shared import open_fs, partitions, read_file, shared_path, stage, write_file
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes of text for each bucket, about.
 BUCKET_BYTES = 24 << 20
 ROWS = "kind int, block long, bucket int, payload binary, a long, b long"
