@@ -9,6 +9,7 @@ are encoded, and ids are put together with numpy.
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ import pyarrow.compute as pc
 from ._shared import lowered, ragged
 
 #: Pieces remembered by a worker; the memory is emptied when full.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 def pieces(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -49,7 +50,7 @@ class PieceEncoder:
                 missing = [x for x in names if x]
             for at in range(0, len(missing), 20_000):
                 some = missing[at : at + 20_000]
-                self.known.update((x, np.asarray(ids, "<u4").tobytes()) for x, ids in zip(some, self.encode_many(some)))
+                self.known.update((x, array("I", ids).tobytes()) for x, ids in zip(some, self.encode_many(some)))
         return [self.known[x] for x in names]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
