@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import open_fs, partitions, read_file, shared_path, stage, write_file
+from ._shared import open_fs, partitions, read_file, release, shared_path, stage, trim, write_file
 
 BLOCK_BYTES = 4 << 20
 #: Bytes of text for each bucket, about.
@@ -82,6 +82,7 @@ def in_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def blocks(batches, most: int = BLOCK_BYTES):
     """(block id, doc_id array, text array) for each block of a task's batches."""
+    release()
     held: list[pa.RecordBatch] = []
     size, number, origin = 0, 0, None
 
@@ -119,8 +120,10 @@ def blocks(batches, most: int = BLOCK_BYTES):
                 if full:
                     yield close()
                     held, size, number = [], 0, number + 1
+                    trim()
     if held:
         yield close()
+    release()
 
 
 def row_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -155,6 +158,7 @@ def ask(source: DataFrame, questions, name: str) -> DataFrame:
 
 def _grouped(batches, key: str):
     """Rows of sorted batches, key by key."""
+    release()
     now, rows = None, []
     for batch in batches:
         for row in zip(*[batch.column(c).to_pylist() for c in ("kind", "block", "bucket", "payload", "a", "b")]):
@@ -166,6 +170,7 @@ def _grouped(batches, key: str):
             rows.append(row)
     if rows:
         yield now, rows
+    release()
 
 
 def answer(asked: DataFrame, merge, n: int) -> DataFrame:

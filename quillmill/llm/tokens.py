@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from ._shared import lowered, ragged
+from ._shared import KEPT, lowered, ragged
 
 #: Pieces remembered by a worker; the memory is emptied when full.
 REMEMBERED = 1_000_000
@@ -67,6 +67,7 @@ class PieceEncoder:
 
 
 _encoders: dict[str, PieceEncoder] = {}
+KEPT.append(_encoders)
 
 
 def library_encoder(path: str) -> PieceEncoder:

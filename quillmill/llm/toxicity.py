@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import lowered, mix64, ragged, slices, text_bytes, word_hashes
+from ._shared import lowered, mix64, ragged, release, slices, text_bytes, trim, word_hashes
 
 WINDOW, STRIDE = 32, 16
 WORDS, GRAMS, GRAM, DIM, HIDDEN, ATTENTION = 1 << 15, 1 << 15, 5, 8, 8, 8
@@ -296,11 +296,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text",
 
 def _scorer(model, text_at: int, names: list[str]):
     def work(batches):
+        release()
         for batch in batches:
             texts = batch.column(text_at)
             for a, b in slices(texts):
                 logit = text_logits(model, texts.slice(a, b - a)).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(batch.num_columns)] + [pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))))], names=names)
+                trim()
 
     return work
 

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._shared import slices
+from ._shared import KEPT, release, slices, trim
 from .tokens import PieceEncoder, pieces
 
 
@@ -128,9 +128,12 @@ class TrieBpe:
 
 
 _loaded: dict[str, tuple[TrieBpe, PieceEncoder]] = {}
+KEPT.append(_loaded)
 
 
 def loaded(path: str) -> tuple[TrieBpe, PieceEncoder]:
+    """This worker's encoder, kept for its next task; what other operators kept goes."""
+    release(_loaded)
     if path not in _loaded:
         bpe = TrieBpe(path)
         _loaded[path] = bpe, PieceEncoder(bpe.encode_many)
@@ -165,6 +168,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, *, id_col="doc_id", text_col=
                 if keep_ids:
                     arrays, names = [*arrays, pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+                trim()
 
     from pyspark.sql import functions as F
 
