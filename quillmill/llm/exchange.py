@@ -71,7 +71,15 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 # ------------------------------------------------------------------- blocks
 
 def in_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """file, at, doc_id, text.  What isn't read straight from files is staged first."""
+    """file, at, doc_id, text.  What isn't read straight from files is staged first.
+
+    Splits of small tables depend on the cores there are when a pass begins.
+    The session's ``spark.sql.files.minPartitionNum`` is therefore fixed where it
+    is unset: an executor lost between two passes must not move the blocks.
+    """
+    conf = docs.sparkSession.conf
+    if conf.get("spark.sql.files.minPartitionNum", None) is None:
+        conf.set("spark.sql.files.minPartitionNum", docs.sparkSession.sparkContext.defaultParallelism)
     nodes = docs._jdf.queryExecution().optimizedPlan().toString().splitlines()
     plain = all(line.lstrip(" +-:").split(" ")[0] in ("Project", "Filter", "Relation", "RelationV2") for line in nodes)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
