@@ -15,6 +15,8 @@ estimate of the Jaccard index of the anchors; it is exact for texts with at most
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +81,14 @@ def _bounds(docs: DataFrame, count: int) -> list[int]:
     return [] if row["least"] is None else sorted({row["least"], *row["cuts"]})
 
 
+def _range_of(k: Column, bounds: list[int]) -> Column:
+    """Place of the last of the sorted ``bounds`` that isn't above ``k``, in about 2 * sqrt(n) comparisons."""
+    step = math.isqrt(len(bounds) - 1) + 1
+    longs = lambda some: F.array(*[F.lit(b).cast("long") for b in some])
+    begin = (F.size(F.filter(longs(bounds[::step]), lambda b: b <= k)) - 1) * step
+    return begin + F.size(F.filter(F.slice(longs(bounds), begin + 1, F.lit(step)), lambda b: b <= k)) - 1
+
+
 def fingerprint_neighbours(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_anchors for each row.
 
@@ -98,10 +108,8 @@ def fingerprint_neighbours(docs: DataFrame, *, id_col="doc_id", text_col="text")
     bounds = _bounds(base, 4 * partitions(spark))
     if not bounds:
         bounds = [0]
-    cuts = F.array(*[F.lit(b).cast("long") for b in bounds])
-    part = F.size(F.filter(cuts, lambda b: b <= F.col("k"))) - 1
-    placed = base.select("doc_id", "k", "text", part.alias("part"), F.lit(0).alias("copy"))
     n = len(bounds)
+    placed = base.select("doc_id", "k", "text", _range_of(F.col("k"), bounds).alias("part"), F.lit(0).alias("copy"))
     # One row for each range: a broadcast of as many ids as there are ranges.
     firsts = spark.createDataFrame([(b, (i - 1) % n) for i, b in enumerate(bounds)], "b long, part int")
     firsts = base.join(F.broadcast(firsts), F.col("k") == F.col("b")).select("doc_id", "k", "text", "part", F.lit(1).alias("copy"))

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quillmill.llm import fingerprints, jaccard, katz, licenses, media, mixing, substrings, toxicity, trie_bpe, wavelet
 from quillmill.llm._shared import word_hashes
@@ -70,6 +71,13 @@ def test_fingerprints(docs, empty):
     assert fingerprints.fingerprint_neighbours(empty).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 9, 10, 50])
+def test_ranges_of_ids(spark, n):
+    bounds = [3 * i - 7 for i in range(n)]
+    got = spark.range(-7, 3 * n + 5).select("id", fingerprints._range_of(F.col("id"), bounds).alias("part")).collect()
+    assert all(r["part"] == sum(b <= r["id"] for b in bounds) - 1 for r in got)
+
+
 def test_wavelet_and_bpe(docs, empty):
     from tokenizers import Tokenizer
 
