@@ -30,7 +30,7 @@ WORDS = 5
 #: A set of n and a larger one link only if the ratio of their sizes is 0.75 or more; a band is a little wider.
 BAND = math.log(4 / 3) + 1e-9
 #: A tile's most sets and shingles.
-TILE_SETS, TILE_SHINGLES = 2_000, 2_000_000
+TILE_SETS, TILE_SHINGLES = 500, 1_000_000
 _NULL = (1 << 63) - 1
 
 
