@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ from ._shared import KEPT, lowered, ragged
 
 #: Pieces remembered by a worker; the memory is emptied when full.
 REMEMBERED = 1_000_000
+#: Pieces joined into one text for the library.
+JOINED = 200
 
 
 def pieces(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -37,20 +40,23 @@ def pieces(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
 
 
 class PieceEncoder:
-    """Ids of texts by way of ``encode_many``: list of pieces -> list of id sequences."""
+    """Ids of texts by way of ``encode_many``: list of pieces -> list of id sequences, or of their bytes."""
 
     def __init__(self, encode_many):
         self.encode_many, self.known = encode_many, {"": b""}
 
     def lookup(self, names: list[str]) -> list[bytes]:
-        missing = [x for x in names if x not in self.known]
-        if missing:
-            if len(self.known) + len(missing) > REMEMBERED:
-                self.known = {"": b""}
-                missing = [x for x in names if x]
-            for at in range(0, len(missing), 20_000):
-                some = missing[at : at + 20_000]
-                self.known.update((x, array("I", ids).tobytes()) for x, ids in zip(some, self.encode_many(some)))
+        found = list(map(self.known.get, names))
+        missing = [x for x, ids in zip(names, found) if ids is None]
+        if not missing:
+            return found
+        if len(self.known) + len(missing) > REMEMBERED:
+            self.known = {"": b""}
+            missing = [x for x in names if x]
+        for at in range(0, len(missing), 20_000):
+            some = missing[at : at + 20_000]
+            ids = self.encode_many(some)
+            self.known.update(zip(some, ids if isinstance(ids[0], bytes) else (array("I", x).tobytes() for x in ids)))
         return [self.known[x] for x in names]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +76,28 @@ _encoders: dict[str, PieceEncoder] = {}
 KEPT.append(_encoders)
 
 
+def _joined(tok):
+    """Encodes pieces many at a time, a special token between them.
+
+    The library cuts texts at special tokens before anything else, so each
+    piece between two is encoded as if alone.  Pieces that may hold such
+    a token themselves are encoded one by one.
+    """
+    fit = [(x.content, number) for number, x in tok.get_added_tokens_decoder().items() if x.content.startswith("<|") and not (x.normalized or x.single_word or x.lstrip or x.rstrip)]
+
+    def encode_many(some: list[str]) -> list:
+        if not fit or any("<|" in x for x in some):
+            return [e.ids for e in tok.encode_batch_fast(some, add_special_tokens=False)]
+        mark, number = fit[0]
+        texts = [mark.join([*some[i : i + JOINED], ""]) for i in range(0, len(some), JOINED)]
+        ids = np.array(array("I", chain.from_iterable(e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False))), "<u4")
+        ends = np.flatnonzero(ids == number).tolist()
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *[x + 1 for x in ends]], ends)]
+
+    return encode_many
+
+
 def library_encoder(path: str) -> PieceEncoder:
     """The tokenizers library's ids, special tokens not added; kept for the worker's life."""
     if path not in _encoders:
@@ -79,5 +107,5 @@ def library_encoder(path: str) -> PieceEncoder:
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
         tok.no_padding()
-        _encoders[path] = PieceEncoder(lambda some: [e.ids for e in tok.encode_batch_fast(some, add_special_tokens=False)])
+        _encoders[path] = PieceEncoder(_joined(tok))
     return _encoders[path]

@@ -11,6 +11,7 @@ zeros moved before its ones.
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 
 import numpy as np
@@ -28,6 +29,11 @@ SHARD_BYTES = 8 << 20
 END_ID = 1
 
 
+def _narrow(levels: int) -> type:
+    """The type in which ids of so many bits are moved about."""
+    return np.uint16 if levels <= 16 else np.uint32
+
+
 def build(ids: np.ndarray, doc_ids: list, lengths: np.ndarray) -> bytes:
     """The file's bytes for the ids of documents in order."""
     squeeze = zstandard.ZstdCompressor(level=1).compress
@@ -41,12 +47,15 @@ def build(ids: np.ndarray, doc_ids: list, lengths: np.ndarray) -> bytes:
     section(np.array([0 if d is None else d for d in doc_ids], "<i8"))
     section(np.array([d is None for d in doc_ids], "u1"))
     section(np.asarray(lengths, "<u4"))
-    rest = np.asarray(ids, np.uint32)
+    kind = _narrow(levels)
+    rest = np.asarray(ids).astype(kind)
     for level in reversed(range(levels)):
-        bit = (rest >> np.uint32(level)) & np.uint32(1) != 0
-        section(np.packbits(bit))
-        pad = np.zeros(-len(bit) % BLOCK, bool)
-        ones = np.concatenate([bit, pad]).reshape(-1, BLOCK).sum(1, dtype=np.int64)
+        bit = (rest & kind(1 << level)) != 0
+        packed = np.packbits(bit)
+        section(packed)
+        blocks = np.zeros((-(-len(bit) // BLOCK), BLOCK // 64), np.uint64)
+        blocks.reshape(-1).view(np.uint8)[: len(packed)] = packed
+        ones = np.bitwise_count(blocks).sum(1, dtype=np.int64)
         section((np.cumsum(ones) - ones).astype("<u4"))
         rest = np.concatenate([rest[~bit], rest[bit]])
     return b"".join(out)
@@ -123,14 +132,15 @@ class WaveletMatrix:
 
     def tokens(self) -> np.ndarray:
         """All ids in order: from the lowest plane up, each undoes one move of zeros before ones."""
-        value = np.zeros(self.n, np.uint32)
+        kind = _narrow(self.levels)
+        value = np.zeros(self.n, kind)
         for level in reversed(range(self.levels)):
             _, _, bits = self.planes[level]
             up = np.empty_like(value)
             up[~bits] = value[: self.zeros[level]]
-            up[bits] = value[self.zeros[level] :] | np.uint32(1 << (self.levels - 1 - level))
+            up[bits] = value[self.zeros[level] :] | kind(1 << (self.levels - 1 - level))
             value = up
-        return value
+        return value.astype(np.uint32)
 
 
 def write_shards(docs: DataFrame, tokenizer: str, *, id_col="doc_id", text_col="text", end_id: int = END_ID) -> DataFrame:
@@ -163,19 +173,16 @@ def write_shards(docs: DataFrame, tokenizer: str, *, id_col="doc_id", text_col="
     coded = base.select(shard.cast("int").alias("shard"), "k", "doc_id", "text").mapInArrow(encode, "shard int, k long, doc_id long, ids binary")
     parts = max(count, partitions(spark))
 
+    end = struct.pack("<I", end_id)
+
     def write(batches):
         def flush(number, rows):
-            ids, lengths = [], []
-            for _, blob in rows:
-                one = np.frombuffer(blob, "<u4")
-                ids += [one, np.array([end_id], np.uint32)]
-                lengths.append(len(one) + 1)
-            data = build(np.concatenate(ids), [d for d, _ in rows], np.array(lengths))
-            import uuid
-
+            lengths = np.array([len(blob) // 4 + 1 for _, blob in rows])
+            ids = np.frombuffer(end.join([blob for _, blob in rows] + [b""]), "<u4")
+            data = build(ids, [d for d, _ in rows], lengths)
             path = f"{folder}/shard-{number:08d}-{uuid.uuid4().hex}.qwm"
             write_file(path, data)
-            return pa.RecordBatch.from_pydict({"shard": pa.array([number], pa.int32()), "path": [path], "n_docs": [len(rows)], "n_tokens": [int(sum(lengths))], "n_bytes": [len(data)]})
+            return pa.RecordBatch.from_pydict({"shard": pa.array([number], pa.int32()), "path": [path], "n_docs": [len(rows)], "n_tokens": [int(lengths.sum())], "n_bytes": [len(data)]})
 
         now, rows = None, []
         for batch in batches:

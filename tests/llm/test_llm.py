@@ -93,6 +93,18 @@ def test_wavelet_and_bpe(docs, empty):
     assert wavelet.read_shards(wavelet.write_shards(empty, tokenizer())).count() == 0 and trie_bpe.encode_decode(empty, tokenizer()).count() == 0
 
 
+def test_joined_pieces_encode_as_if_alone():
+    from tokenizers import Tokenizer
+
+    from quillmill.llm import tokens
+
+    tok, coder = Tokenizer.from_file(tokenizer()), tokens.library_encoder(tokenizer())
+    some = ["plain", "<", "|>", "\u0301e", "e\u0301", "a\u00a0b", "\u2003", "'s", "ΟΔΟΣ", "日本", "\U0001f600", "x" * 5000, *[f"q{i}" for i in range(3 * tokens.JOINED)]]
+    for names in (some, [*some, "a<|endoftext|>b", "<|x"]):
+        coder.known = {"": b""}
+        assert coder.lookup(names) == [np.array(tok.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in names]
+
+
 def test_wavelet_queries():
     ids = rng.integers(0, 50, 3000).astype(np.uint32)
     m = wavelet.WaveletMatrix(wavelet.build(ids, [1, None], np.array([1000, 2000])))
