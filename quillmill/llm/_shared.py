@@ -157,10 +157,18 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def lowered(texts: pa.Array) -> pa.Array:
-    """Large strings with A-Z folded and nulls empty.  (Arrow's own ascii_lower breaks some letters beyond ASCII.)"""
+def lowered(texts: pa.Array, composing: bool = False) -> pa.Array:
+    """Large strings with A-Z folded and nulls empty.  (Arrow's own ascii_lower breaks some letters beyond ASCII.)
+
+    With ``composing``, a letter right before a byte beyond ASCII stays as it
+    is: it may compose with what follows in one case and not in the other.
+    """
     raw, offsets = text_bytes(texts)
-    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(_LOWER[raw]))
+    low = _LOWER[raw]
+    if composing:
+        before = np.flatnonzero(raw[1:] > 127)
+        low[before] = raw[before]
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(low))
 
 
 def spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -28,12 +28,13 @@ def pieces(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     """All pieces in order, dictionary-encoded, and each text's first piece (n+1 values).
 
     Two rewritings make more pieces equal without changing ids: A-Z are
-    lower-cased (the tokenizer does it too; texts with the "<|" of its special
-    tokens are left alone), and a letter is parted from a following . or ,
-    where the tokenizer always cuts.
+    lower-cased (the tokenizer does it too, but after composing, so a letter
+    before a character beyond ASCII, which may be a combining mark, stays; texts
+    with the "<|" of its special tokens are left alone), and a letter is parted
+    from a following . or , where the tokenizer always cuts.
     """
     texts = texts.cast(pa.large_string()).fill_null("")
-    texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.replace_substring_regex(lowered(texts), r"([a-z])([.,])", r"\1 \2"))
+    texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.replace_substring_regex(lowered(texts, composing=True), r"([a-z])([.,])", r"\1 \2"))
     parts = pc.ascii_split_whitespace(texts)
     offsets = parts.offsets.to_numpy().astype(np.int64)
     return parts.flatten().dictionary_encode(), offsets - offsets[0]

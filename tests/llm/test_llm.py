@@ -105,6 +105,25 @@ def test_joined_pieces_encode_as_if_alone():
         assert coder.lookup(names) == [np.array(tok.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in names]
 
 
+def test_capitals_compose_before_they_are_folded(spark):
+    from tokenizers import Tokenizer
+
+    from quillmill.llm import tokens
+
+    tok = Tokenizer.from_file(tokenizer())
+    pairs = ["J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a"]
+    texts = [p + "abc" for p in pairs] + ["A" + p + " plain. " + p + "." for p in pairs] + ["AJ", "\u030cX", "J\u0323\u030c", *(chr(c) + chr(m) for c in range(65, 91) for m in range(0x300, 0x340))]
+    ids = [tok.encode(x, add_special_tokens=False).ids for x in texts]
+    raw = [np.array(x, "<u4").tobytes() for x in ids]
+    got, first = tokens.library_encoder(tokenizer()).encode(pa.array(texts))
+    assert [got[a:b].tolist() for a, b in zip(first, first[1:])] == ids
+    some = spark.createDataFrame(list(enumerate(texts[:12])), "doc_id long, text string")
+    got = sorted(trie_bpe.encode_decode(some, tokenizer()).collect())
+    assert [(r["n_tokens"], r["ids_sha256"]) for r in got] == [(len(x), hashlib.sha256(y).hexdigest()) for x, y in zip(ids, raw[:12])]
+    got = sorted(wavelet.read_shards(wavelet.write_shards(some, tokenizer())).collect())
+    assert [r["ids_crc32"] for r in got] == [zlib.crc32(np.array([*x, 1], "<u4").tobytes()) for x in ids[:12]]
+
+
 def test_wavelet_queries():
     ids = rng.integers(0, 50, 3000).astype(np.uint32)
     m = wavelet.WaveletMatrix(wavelet.build(ids, [1, None], np.array([1000, 2000])))
