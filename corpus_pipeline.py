@@ -1,7 +1,7 @@
 """Corpus pipeline: five stages over ``documents``, each written and read again before the next.
 
 toxicity      rejected documents go
-jaccard       of each group of near copies the document with the least id stays
+jaccard       of each group of near copies the row with the least id stays
 substrings    words of passages that begin in an earlier document go
 mixing        rows are taken by source, to target weights: complete epochs, then in part
 encoding      token ids, their number and digests, and the digest of what decodes
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from quillmill.llm import jaccard, mixing, substrings, toxicity, trie_bpe
-from quillmill.llm._shared import stage
+from quillmill.llm._shared import numbered, stage
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -28,18 +28,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the Jaccard join; rows with a null id stay."""
-    found = jaccard.jaccard_components(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, docs.doc_id == found["__gone"], "left_anti")
+    """One row of each component of the Jaccard join, the one with the least id (null last); each row is a document."""
+    rows = numbered(docs, "doc_id")
+    found = jaccard.jaccard_components(rows, id_col="__row").filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone"))
+    return rows.join(found, rows["__row"] == found["__gone"], "left_anti").select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of repeated passages; a text that loses nothing keeps its white space."""
-    kept = substrings.remove_repeats(docs, texts_out=True).filter("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"))
-    joined = docs.join(kept, docs.doc_id == kept["__id"], "left")
-    text = F.coalesce("__kept", "text")
-    changed = {"text": text, "n_chars": F.when(F.col("__kept").isNotNull(), F.length("__kept").cast("long")).otherwise(F.col("n_chars"))}
-    return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+    kept = substrings.without_repeats(docs, removed_col="__removed")
+    n_chars = F.when(F.col("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.select(*[n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -47,6 +48,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` staged with ``__row``, a key of each row's own, ascending by id (null last), then by a digest of the row."""
+    order = [F.col(id_col).asc_nulls_last(), F.xxhash64(*docs.columns).asc()]
+    ranged = docs.repartitionByRange(2 * partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return stage(ranged.withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -70,8 +70,8 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 
 # ------------------------------------------------------------------- blocks
 
-def in_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """file, at, doc_id, text.  What isn't read straight from files is staged first.
+def in_blocks(docs: DataFrame, id_col: str, text_col: str, carried=None) -> DataFrame:
+    """file, at, doc_id, text (and the column ``carried``).  What isn't read straight from files is staged first.
 
     Splits of small tables depend on the cores there are when a pass begins.
     The session's ``spark.sql.files.minPartitionNum`` is therefore fixed where it
@@ -82,14 +82,14 @@ def in_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         conf.set("spark.sql.files.minPartitionNum", docs.sparkSession.sparkContext.defaultParallelism)
     nodes = docs._jdf.queryExecution().optimizedPlan().toString().splitlines()
     plain = all(line.lstrip(" +-:").split(" ")[0] in ("Project", "Filter", "Relation", "RelationV2") for line in nodes)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([] if carried is None else [carried.alias("carried")]))
     if not plain or len([x for x in nodes if "Relation" in x]) != 1 or not docs.inputFiles():
         base = stage(base, "blocks")
-    return base.select(F.input_file_name().alias("file"), F.input_file_block_start().alias("at"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return base.select(F.input_file_name().alias("file"), F.input_file_block_start().alias("at"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), *base.columns[2:])
 
 
-def blocks(batches, most: int = BLOCK_BYTES):
-    """(block id, doc_id array, text array) for each block of a task's batches."""
+def blocks(batches, most: int = BLOCK_BYTES, more: tuple[str, ...] = ()):
+    """(block id, doc_id array, text array, and arrays of the columns ``more``) for each block of a task's batches."""
     release()
     held: list[pa.RecordBatch] = []
     size, number, origin = 0, 0, None
@@ -98,9 +98,9 @@ def blocks(batches, most: int = BLOCK_BYTES):
         table = pa.Table.from_batches(held).combine_chunks()
         name = f"{origin[0]}:{origin[1]}:{number}"
         texts = table.column("text").cast(pa.large_string()).combine_chunks()
-        ids = table.column("doc_id").combine_chunks()
-        texts, ids = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (texts, ids))
-        return xxhash.xxh64_intdigest(name.encode()) >> 1, ids, texts
+        rest = [table.column(c).combine_chunks() for c in ("doc_id", *more)]
+        texts, ids, *rest = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (texts, *rest))
+        return xxhash.xxh64_intdigest(name.encode()) >> 1, ids, texts, *rest
 
     for batch in batches:
         if not batch.num_rows:

@@ -61,21 +61,22 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most:
     return per.select("source", "source_size", F.coalesce(F.least(F.col("fits") * F.col("w"), F.col("cap")), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, share=1.5, most=2, seed=17) -> DataFrame:
+def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, share=1.5, most=2, seed=17, more: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken and quality for every row of ``docs``.
 
     Null texts have size 0 and take nothing; a null source is a source of its
     own, the last.  Rows that repeat an id are documents of their own with the
-    same key; ties are broken by id, then by size.  An empty table gives no rows.  Other
-    columns are ignored, whatever their names.
+    same key; ties are broken by id, by size, then by the columns ``more``, which
+    are in the result too.  An empty table gives no rows.  Other columns are
+    ignored, whatever their names.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), text.alias("t"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), text.alias("t"), *more)
     slim = slim.withColumn("quality", quality(F.col("t"), F.col("size")))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 1.0) / float(1 << 48)
-    slim = stage(slim.select("doc_id", "source", "size", "quality", (-F.log(u) / F.col("quality")).alias("key")), "mix-slim")
+    slim = stage(slim.select("doc_id", "source", "size", "quality", (-F.log(u) / F.col("quality")).alias("key"), *more), "mix-slim")
 
     targets = stage(source_targets(slim, weights, share, most), "mix-targets")
     if targets.count() <= BROADCAST_SOURCES:
@@ -83,12 +84,12 @@ def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source
     targets = targets.withColumnRenamed("source", "of")
 
     parts = 2 * partitions(spark)
-    ranged = slim.repartitionByRange(parts, F.col("source").asc_nulls_last(), "key", "doc_id", "size").withColumn("part", F.spark_partition_id())
+    ranged = slim.repartitionByRange(parts, F.col("source").asc_nulls_last(), "key", "doc_id", "size", *more).withColumn("part", F.spark_partition_id())
     ranged = stage(ranged, "mix-ranged")
     sums = ranged.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("p_source"), F.col("part").alias("p_part"), F.coalesce(F.sum("part_size").over(ahead), F.lit(0)).alias("offset"))
-    here = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    here = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size", *more).rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         ranged.join(sums, ranged.source.eqNullSafe(sums.p_source) & (ranged.part == sums.p_part))
         .withColumn("before", F.col("offset") + F.coalesce(F.sum("size").over(here), F.lit(0)))
@@ -99,7 +100,7 @@ def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source
     rest = F.round(F.col("target") - epochs * F.col("source_size")).cast("long")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
     taken = F.least(epochs * F.col("size") + part, F.lit(most) * F.col("size"))
-    return both.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "quality")
+    return both.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "quality", *more)
 
 
 def mixed_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", **how) -> DataFrame:
@@ -107,15 +108,16 @@ def mixed_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", **how)
 
     A complete epoch gives the row as it is; the part taken of the document at
     a budget's edge gives its first words, up to the last one taken, as a row.
-    Columns are those of ``docs``.  Ids are expected to be unique here; rows
-    that share one are taken as their sums say, each alike.
+    Columns are those of ``docs``.  Each row is taken as its own sum says, also
+    where ids repeat or are null: rows are staged with a key of their own.
     """
-    taken = mix(docs, id_col=id_col, text_col=text_col, **how).groupBy("doc_id").agg(F.max("taken").alias("__taken"), F.max("size").alias("__size"))
-    taken = taken.withColumnRenamed("doc_id", "__id")
+    rows = stage(docs.withColumn("__tie", F.xxhash64(*docs.columns)).withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
+    taken = mix(rows, id_col=id_col, text_col=text_col, more=("__tie", "__row"), **how)
+    taken = taken.select(F.col("__row").alias("__id"), F.col("taken").alias("__taken"), F.col("size").alias("__size")).filter(F.col("__taken") > 0)
     own = F.col("__size") > 0
     full = F.when(own, F.floor(F.col("__taken") / F.col("__size"))).otherwise(0).cast("int")
     rest = F.when(own, F.col("__taken") % F.col("__size")).otherwise(0).cast("int")
-    joined = docs.join(taken, docs[id_col].eqNullSafe(taken["__id"])).filter(F.col("__taken") > 0)
+    joined = rows.join(taken, rows["__row"] == taken["__id"])
     copies = F.concat(F.array_repeat(F.lit(-1), full), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), 1, F.col("__cut")), " ")
     rows = joined.withColumn("__cut", F.explode(copies))

@@ -18,6 +18,8 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._shared import mix64, word_hashes
 from .exchange import answer, ask, blocks, bucket_count, bucket_edges, deliver, delivered, in_blocks, pack, unpack
@@ -59,16 +61,8 @@ def nodes(path: np.ndarray, owner: np.ndarray):
     return p[at], least, place
 
 
-def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", window: int = WINDOW, texts_out: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and n_repeats for each row; ``kept`` too with ``texts_out``.
-
-    A word goes if some window of ``window`` words over it also starts in a
-    document with a smaller id.  Windows are those of the input.  ``n_repeats``
-    counts the maximal runs of such words.  Null and empty texts have no words;
-    their kept text is empty.  Rows with one id never shorten each other; null
-    ids come after all others.  Other columns are ignored.
-    """
-    source = in_blocks(docs, id_col, text_col)
+def _asked(source: DataFrame, window: int) -> tuple[str, int]:
+    """Folder of what the groups tell each block, and the number of groups."""
     n = bucket_count(source, "text")
 
     def questions(block, ids, texts):
@@ -94,46 +88,89 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", window:
                 out.append((0, row[1], bucket, pack(where.astype(np.uint64), told[where]), 0, 0))
         return out
 
-    folder = deliver(answer(ask(source, questions, "leaves"), merge, n), "repeats")
+    return deliver(answer(ask(source, questions, "leaves"), merge, n), "repeats"), n
+
+
+def _removed(block: int, ids: pa.Array, texts: pa.Array, folder: str, n: int, window: int):
+    """Each text's words, words removed and runs of them; and each word's mark of removal with each text's first word."""
+    path, text, start, first = leaves(texts, window)
+    own = ids_of(ids)
+    p, least, place = nodes(path, own[text])
+    least = least.copy()
+    cut = bucket_edges(p, n)
+    for bucket, blob in delivered(folder, block).items():
+        where, told = unpack(blob)
+        least[cut[bucket] + where.astype(np.int64)] = told
+    hit = least[place] < own[text] if len(path) else np.zeros(0, bool)
+    words = int(first[-1])
+    depth = np.bincount(start[hit], minlength=words + 1) - np.bincount(start[hit] + window, minlength=words + 1)
+    gone = np.cumsum(depth[:words]) > 0
+    begins = gone.copy()
+    begins[1:] &= ~gone[:-1]
+    sums, runs = np.concatenate([[0], np.cumsum(gone)]), np.concatenate([[0], np.cumsum(begins)])
+    removed = sums[first[1:]] - sums[first[:-1]]
+    # A run that goes on over a text's edge belongs to both.
+    inner = first[:-1][(np.diff(first) > 0)]
+    over = np.zeros(len(removed), np.int64)
+    over[np.diff(first) > 0] = gone[inner] & ~begins[inner]
+    return np.diff(first).astype(np.int64), removed.astype(np.int64), (runs[first[1:]] - runs[first[:-1]] + over).astype(np.int64), gone, first
+
+
+def _kept(data: str, gone: np.ndarray) -> bytes:
+    words = data.encode().split()
+    return b" ".join(compress(words, (~gone).tolist()) if gone.any() else words)
+
+
+def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", window: int = WINDOW, texts_out: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and n_repeats for each row; ``kept`` too with ``texts_out``.
+
+    A word goes if some window of ``window`` words over it also starts in a
+    document with a smaller id.  Windows are those of the input.  ``n_repeats``
+    counts the maximal runs of such words.  Null and empty texts have no words;
+    their kept text is empty.  Rows with one id never shorten each other; null
+    ids come after all others.  Other columns are ignored.
+    """
+    source = in_blocks(docs, id_col, text_col)
+    folder, n = _asked(source, window)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_repeats long" + ", kept string" * texts_out
 
     def work(batches):
         for block, ids, texts in blocks(batches):
-            path, text, start, first = leaves(texts, window)
-            own = ids_of(ids)
-            p, least, place = nodes(path, own[text])
-            least = least.copy()
-            cut = bucket_edges(p, n)
-            for bucket, blob in delivered(folder, block).items():
-                where, told = unpack(blob)
-                least[cut[bucket] + where.astype(np.int64)] = told
-            hit = least[place] < own[text] if len(path) else np.zeros(0, bool)
-            words = int(first[-1])
-            depth = np.bincount(start[hit], minlength=words + 1) - np.bincount(start[hit] + window, minlength=words + 1)
-            gone = np.cumsum(depth[:words]) > 0
-            begins = gone.copy()
-            begins[1:] &= ~gone[:-1]
-            sums, runs = np.concatenate([[0], np.cumsum(gone)]), np.concatenate([[0], np.cumsum(begins)])
-            removed = sums[first[1:]] - sums[first[:-1]]
-            # A run that goes on over a text's edge belongs to both.
-            inner = first[:-1][(np.diff(first) > 0)]
-            over = np.zeros(len(removed), np.int64)
-            over[np.diff(first) > 0] = gone[inner] & ~begins[inner]
-            kept = []
-            for i, data in enumerate(texts.to_pylist()):
-                words = data.encode().split()
-                if removed[i]:
-                    words = compress(words, (~gone[first[i] : first[i + 1]]).tolist())
-                kept.append(b" ".join(words))
-            arrays = [ids, pa.array(np.diff(first).astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array((runs[first[1:]] - runs[first[:-1]] + over).astype(np.int64))]
+            words, removed, repeats, gone, first = _removed(block, ids, texts, folder, n, window)
+            kept = [_kept(data, gone[a:b]) for data, a, b in zip(texts.to_pylist(), first, first[1:])]
+            arrays = [ids, pa.array(words), pa.array(removed), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array(repeats)]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256", "n_repeats"]
             if texts_out:
-                arrays, names = [*arrays, pa.array([x.decode() for x in kept])], [*names, "kept"]
+                arrays, names = [*arrays, pa.array([x.decode() for x in kept], pa.string())], [*names, "kept"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return source.mapInArrow(work, schema)
 
 
+def without_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", removed_col="n_removed", window: int = WINDOW) -> DataFrame:
+    """Every row of ``docs`` with the words that ``remove_repeats`` removes gone from its text, and their number as ``removed_col``.
+
+    A text that loses nothing stays as it is, white space and null too.  Rows
+    go through one by one, so repeated and null ids don't matter to which text
+    a row gets.
+    """
+    others = [c for c in docs.columns if c != text_col]
+    source = in_blocks(docs, id_col, text_col, F.struct(*others, F.col(text_col).isNull().alias("__null")))
+    folder, n = _asked(source.drop("carried"), window)
+    carried = source.schema["carried"].dataType
+    schema = StructType().add("text", "string").add("removed", "long").add("carried", carried)
+
+    def work(batches):
+        for block, ids, texts, rest in blocks(batches, more=("carried",)):
+            _, removed, _, gone, first = _removed(block, ids, texts, folder, n, window)
+            out = [_kept(data, gone[a:b]).decode() if x else data for data, x, a, b in zip(texts.to_pylist(), removed, first, first[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(removed), rest], names=["text", "removed", "carried"])
+
+    rows = source.mapInArrow(work, schema)
+    text = F.when(~F.col("carried.__null"), F.col("text"))
+    return rows.select(*[(text if c == text_col else F.col("carried").getField(c)).alias(c) for c in docs.columns], F.col("removed").alias(removed_col))
+
+
 #: DuckDB SQL of the whole: kept words need arrays of words, so it's for small tables.
 ORACLE_SQL = r"""
 WITH w AS (

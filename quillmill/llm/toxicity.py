@@ -285,7 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text",
     sizes = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}  # two rows
     chosen = None
     for label in (0, 1):
-        one = usable.filter(F.col("toxic") == label).select("l_id", "toxic").orderBy(F.md5(F.col("l_id").cast("string").cast("binary")), "l_id").limit(texts)
+        one = usable.filter(F.col("toxic") == label).select("l_id", "toxic").distinct().orderBy(F.md5(F.col("l_id").cast("string").cast("binary")), "l_id").limit(texts)
         chosen = one if chosen is None else chosen.unionByName(one)
     # At most 2 * texts rows on either side of this join and on the driver.
     rows = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("l_id") == F.col("d_id")).filter(F.length("text").between(1, chars))
