@@ -1,7 +1,9 @@
 """Document fingerprints from closed syncmers, DataFrame operations only.
 
-A text is a sequence of units: its words, or its characters where it has under
-``SHORT`` words (short texts, and scripts without spaces).  A k-mer of units is
+A text is a sequence of units, by one rule for every size: a word is a unit, but
+of a word over 16 characters, and in scripts without spaces, each character is.
+k-1 blanks stand before and after the units, so that texts of a few units have
+k-mers too, and each text's first k-mer is an anchor.  A k-mer of units is
 a closed syncmer if the least hash among its s-mers is at its first or last
 place.  That depends on the k-mer alone, so a shared passage yields the same
 anchors wherever it stands, and two anchors' positions can be compared.
@@ -20,24 +22,27 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import WORD, partitions
+from ._shared import partitions
 
 K, S = 5, 2
-SHORT = 10
+_SCRIPTS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+_LETTER = rf"[^\x20\x09-\x0D{_SCRIPTS}]"
+UNIT = rf"(?<!{_LETTER}){_LETTER}{{1,16}}(?!{_LETTER})|[^\x20\x09-\x0D]"
 SKETCH = 128
 
 
 def with_anchors(df: DataFrame, text_col: str, out: str, k: int = K, s: int = S) -> DataFrame:
     """Adds ``out``: array of {pos, hash}, the closed syncmers of ``text_col`` in order.
 
-    A text of fewer than k units has one anchor, over all its units; an empty
-    or null one has none.  Helper columns begin with ``out`` and two underscores.
+    ``pos`` is the k-mer's first unit, below 0 where it begins with blanks.  A
+    text of white space alone has one anchor, over all of it; an empty or null
+    one has none.  Helper columns begin with ``out`` and two underscores.
     """
     u, h, m = f"{out}__u", f"{out}__h", f"{out}__m"
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = df.withColumn(u, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
-    df = df.withColumn(u, F.when(F.size(u) >= SHORT, F.col(u)).when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "")))
-    df = df.withColumn(h, F.transform(u, lambda x: F.xxhash64(x)))
+    df = df.withColumn(u, F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)))
+    blanks = F.array_repeat(F.lit(0).cast("bigint"), k - 1)
+    df = df.withColumn(h, F.when(F.size(u) > 0, F.concat(blanks, F.transform(u, lambda x: F.xxhash64(x)), blanks)).otherwise(F.array().cast("array<bigint>")))
     none = F.array().cast("array<bigint>")
     each = F.transform(F.sequence(F.lit(0), F.size(h) - s), lambda i: F.xxhash64(*[F.get(F.col(h), i + j) for j in range(s)]))
     df = df.withColumn(m, F.when(F.size(h) >= k, each).otherwise(none))
@@ -49,12 +54,12 @@ def with_anchors(df: DataFrame, text_col: str, out: str, k: int = K, s: int = S)
         return (mer[0](i) == least) | (mer[w](i) == least)
 
     def anchor(i: Column) -> Column:
-        return F.struct(i.cast("int").alias("pos"), F.xxhash64(*[F.get(F.col(m), i + j) for j in sorted({*range(0, w, s), w})]).alias("hash"))
+        return F.struct((i - (k - 1)).cast("int").alias("pos"), F.xxhash64(*[F.get(F.col(m), i + j) for j in sorted({*range(0, w, s), w})]).alias("hash"))
 
     some = F.transform(F.filter(F.sequence(F.lit(0), F.size(h) - k), closed), anchor)
-    whole = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(F.array_join(h, ",")).alias("hash")))
+    whole = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(text).alias("hash")))
     empty = F.array().cast("array<struct<pos:int,hash:bigint>>")
-    return df.withColumn(out, F.when(F.size(h) >= k, some).when(F.size(h) > 0, whole).otherwise(empty)).drop(u, h, m)
+    return df.withColumn(out, F.when(F.size(h) >= k, some).when(text != "", whole).otherwise(empty)).drop(u, h, m)
 
 
 def sketch(anchors: Column) -> Column:

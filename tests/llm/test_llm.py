@@ -71,6 +71,17 @@ def test_fingerprints(docs, empty):
     assert fingerprints.fingerprint_neighbours(empty).count() == 0
 
 
+def test_fingerprints_of_short_texts(spark):
+    """No switch of units between 9 and 10 words, and no text but the empty one without anchors."""
+    ten = "one two three four five six seven eight nine ten"
+    texts = [ten, ten[:-4], "This.", "Avec.", "hello", "world", "12345", " ", "", "日本語の文章です", "日本語の文章でも"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_neighbours(df).collect()}
+    assert got[0]["near_next"] > 0.3 and 0 < got[9]["near_next"] < 1
+    assert all((got[i]["n_anchors"] > 0) == (x != "") for i, x in enumerate(texts))
+    assert all(got[i]["near_next"] == 0 for i in range(2, 8)) and len({got[i]["fingerprint"] for i in range(2, 9)}) == 7
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 9, 10, 50])
 def test_ranges_of_ids(spark, n):
     bounds = [3 * i - 7 for i in range(n)]
