@@ -8,11 +8,10 @@ a closed syncmer if the least hash among its s-mers is at its first or last
 place.  That depends on the k-mer alone, so a shared passage yields the same
 anchors wherever it stands, and two anchors' positions can be compared.
 
-The fingerprint is the sorted list of the ``SKETCH`` least distinct anchor
-hashes (all of them in a text with fewer), eight hex digits each.  Likeness of
-two is the share of common hashes among the least of their union, the usual
-estimate of the Jaccard index of the anchors; it is exact for texts with at most
-``SKETCH`` anchors together.
+The fingerprint is the sorted list of all distinct anchor hashes, eight hex
+digits each; it grows with the text.  Likeness of two is the share of common
+hashes among their union: the Jaccard index of the anchors, but for clashes of
+32-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,7 +27,6 @@ K, S = 5, 2
 _SCRIPTS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 _LETTER = rf"[^\x20\x09-\x0D{_SCRIPTS}]"
 UNIT = rf"(?<!{_LETTER}){_LETTER}{{1,16}}(?!{_LETTER})|[^\x20\x09-\x0D]"
-SKETCH = 128
 
 
 def with_anchors(df: DataFrame, text_col: str, out: str, k: int = K, s: int = S) -> DataFrame:
@@ -62,10 +60,10 @@ def with_anchors(df: DataFrame, text_col: str, out: str, k: int = K, s: int = S)
     return df.withColumn(out, F.when(F.size(h) >= k, some).when(text != "", whole).otherwise(empty)).drop(u, h, m)
 
 
-def sketch(anchors: Column) -> Column:
-    """The least distinct 32-bit anchor hashes, sorted."""
+def distinct_hashes(anchors: Column) -> Column:
+    """All distinct 32-bit anchor hashes, sorted."""
     low = F.transform(anchors, lambda a: a["hash"].bitwiseAND(F.lit(0xFFFFFFFF)))
-    return F.slice(F.sort_array(F.array_distinct(low)), 1, SKETCH)
+    return F.sort_array(F.array_distinct(low))
 
 
 def as_text(s: Column) -> Column:
@@ -74,9 +72,8 @@ def as_text(s: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1; two empty fingerprints are alike, an empty and another one are not."""
-    least = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    same = F.size(F.array_intersect(F.array_intersect(least, a), b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(same / F.greatest(F.size(least), F.lit(1)))
+    same = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(same / (F.size(a) + F.size(b) - same))
 
 
 def _bounds(docs: DataFrame, count: int) -> list[int]:
@@ -120,13 +117,13 @@ def fingerprint_neighbours(docs: DataFrame, *, id_col="doc_id", text_col="text")
     firsts = base.join(F.broadcast(firsts), F.col("k") == F.col("b")).select("doc_id", "k", "text", "part", F.lit(1).alias("copy"))
     order = Window.partitionBy("part").orderBy("copy", "k", "text")
     rows = placed.unionByName(firsts).withColumn("next_text", F.lead("text").over(order))
-    rows = with_anchors(rows, "text", "anchors").withColumn("fp", sketch(F.col("anchors"))).withColumn("n_anchors", F.size("anchors").cast("long")).drop("anchors")
+    rows = with_anchors(rows, "text", "anchors").withColumn("fp", distinct_hashes(F.col("anchors"))).withColumn("n_anchors", F.size("anchors").cast("long")).drop("anchors")
     rows = rows.withColumn("next_fp", F.lead("fp").over(order)).filter("copy = 0")
     length = F.length("text")
     cut = F.floor(length / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), length - cut), F.substring(F.coalesce(F.col("next_text"), F.lit("")), F.lit(1), cut))
     rows = rows.withColumn("edited", edited).withColumn("n_chars", length.cast("long"))
-    rows = with_anchors(rows, "edited", "e_anchors").withColumn("e_fp", sketch(F.col("e_anchors")))
+    rows = with_anchors(rows, "edited", "e_anchors").withColumn("e_fp", distinct_hashes(F.col("e_anchors")))
     return rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("e_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("e_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "n_anchors",
