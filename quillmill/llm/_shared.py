@@ -4,19 +4,22 @@
 * ``WORD``: the word pattern of the contracts, white space being ASCII's six.
 * ``release``: what earlier tasks left in a reused worker goes.
 * ``spans`` / ``word_hashes``: words of a batch of texts as numpy arrays,
-  found and hashed without one Python object per word.
+  found and hashed without one Python object per word, by a key drawn for each call.
 """
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import os
+import secrets
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,16 +29,46 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below spark.checkpoint.dir, the folder all executors share.
 
-    Only where that setting is absent (a single-machine session, as in tests)
-    a temporary folder is made and kept for the session.
+    A temporary folder is made only where that setting is absent and the master
+    is local (one machine, as in tests); a cluster without it is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='quillmill-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of intermediate tables and answers that still stand; the driver's end deletes them.
+_TEMPORARY: set[str] = set()
+
+
+def temporary_path(spark: SparkSession, name: str) -> str:
+    """A ``shared_path`` for what only this session needs: deleted by ``drop_path``, or when the driver ends."""
+    path = shared_path(spark, name)
+    _TEMPORARY.add(path)
+    return path
+
+
+def drop_path(path: str) -> None:
+    """Delete an intermediate folder that nothing reads any more."""
+    fs, where = open_fs(path)
+    if fs.get_file_info(where).type == pafs.FileType.Directory:
+        fs.delete_dir(where)
+    _TEMPORARY.discard(path)
+
+
+@atexit.register
+def _drop_all() -> None:
+    for path in list(_TEMPORARY):
+        try:
+            drop_path(path)
+        except OSError:  # the store is gone already
+            pass
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -43,9 +76,25 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     executor costs only its running tasks, as the files stay.
     """
     spark = df.sparkSession
-    path = shared_path(spark, name)
+    path = temporary_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.staged_at = path
+    return staged
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for frame in staged:
+        drop_path(frame.staged_at)
+
+
+def fresh(name: str, columns) -> str:
+    """``name``, with as many underscores before it as make it none of ``columns`` (Spark ignores case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def numbered(docs: DataFrame, id_col: str) -> DataFrame:
@@ -110,34 +159,50 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-# An odd multiplier: it has an inverse modulo 2^64, so a prefix sum of
-# byte * BASE^i gives the hash of any span by one subtraction and one product.
-_BASE = 0x9E3779B97F4A7C55
-#: Bytes hashed at a time: the powers and sums stay in the processor's cache.
+#: The field of the word hash: residues modulo the Mersenne prime 2^61 - 1.
+_PRIME = (1 << 61) - 1
+#: Bytes hashed at a time: the powers and sums stay in the processor's cache, and 2^17 products below 2^40 add up to less than 2^64.
 _STEP = 1 << 17
-_INV = pow(_BASE, -1, 1 << 64)
+#: Key of hashes that must be the same in every session.
+FIXED_KEY = 0x9E3779B97F4A7C55 % _PRIME
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-        np.multiply.accumulate(out, out=out)
-    return out
+def new_key() -> int:
+    """A key for ``word_hashes``, drawn on the driver for each run: words can't be constructed to collide under it."""
+    return 1 << 32 | secrets.randbits(60)
+
+
+_low32, _low29, _p = np.uint64(0xFFFFFFFF), np.uint64((1 << 29) - 1), np.uint64(_PRIME)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _p) + (x >> np.uint64(61))
+    return np.where(x >= _p, x - _p, x)
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b in the field, from products of 32-bit halves; 2^61 counts as 1."""
+    a1, a0, b1, b0 = a >> np.uint64(32), a & _low32, b >> np.uint64(32), b & _low32
+    middle, low = a1 * b0 + a0 * b1, a0 * b0
+    return _reduced(a1 * b1 * np.uint64(8) + (middle >> np.uint64(29)) + ((middle & _low29) << np.uint64(32)) + (low & _p) + (low >> np.uint64(61)))
 
 
-_POW = _powers(_BASE, 1 << 12)
-_IPOW = _powers(_INV, 1 << 12)
+_powers: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse; those for a word beyond _STEP bytes aren't kept."""
-    global _POW, _IPOW
-    if n > _STEP + 1:
-        return _powers(_BASE, n), _powers(_INV, n)
-    if len(_POW) < n:
-        _POW, _IPOW = _powers(_BASE, _STEP + 1), _powers(_INV, _STEP + 1)
-    return _POW, _IPOW
+def _tables(key: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Low and high 32 bits of the key's powers 0 to n - 1, and the powers of its inverse; one key's are kept."""
+    if key not in _powers or len(_powers[key][0]) < n:
+        n = 1 << 12 if n <= 1 << 12 else _STEP + 1
+        both = []
+        for base in (key, pow(key, -1, _PRIME)):
+            out = np.ones(1, np.uint64)
+            while len(out) < n:
+                out = np.concatenate([out, _product(out, np.uint64(pow(base, len(out), _PRIME)))])
+            both.append(out[:n])
+        _powers.clear()
+        _powers[key] = both[0] & _low32, both[0] >> np.uint64(32), both[1]
+    return _powers[key]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -193,13 +258,16 @@ def spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, np.flatnonzero(ends) + 1, np.searchsorted(start, offsets)
 
 
-def word_hashes(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, lower: bool, key: int = FIXED_KEY) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word, and the first word's index for each text (n+1 values).
 
-    Words are cut at ASCII white space; ``lower`` folds A-Z only.  Equal words
-    have equal hashes in every process; different ones collide with chance
-    2^-64 for a pair.
+    Words are cut at ASCII white space; ``lower`` folds A-Z only.  A word is a
+    polynomial over the field of 2^61 - 1 elements, taken at ``key``: equal words
+    have equal hashes under one key, and two words of at most L bytes, however
+    they were chosen, collide for at most L of its 2^60 values.  Words beyond
+    ``_STEP`` bytes take xxh3 of their bytes, seeded by the key.
     """
+    key %= _PRIME
     raw, offsets = text_bytes(texts)
     if lower:
         raw = _LOWER[raw]
@@ -210,12 +278,20 @@ def word_hashes(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     a = 0
     while a < len(start):  # whole words of about _STEP bytes; a longer word stands alone
         b = max(a + 1, int(np.searchsorted(end, start[a] + _STEP, "right")))
-        low = start[a]
-        part = raw[low : end[b - 1]]
-        power, inverse = _tables(len(part) + 1)
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=total[1:])
-        h[a:b] = (total[end[a:b] - low] - total[start[a:b] - low]) * inverse[start[a:b] - low]
+        at = start[a]
+        if end[b - 1] - at > _STEP:
+            h[a] = xxhash.xxh3_64_intdigest(raw[at : end[a]].tobytes(), key)
+            a = b
+            continue
+        part = raw[at : end[b - 1]].astype(np.uint64) + np.uint64(1)
+        low, high, inverse = _tables(key, len(part) + 1)
+        total = np.zeros((2, len(part) + 1), np.uint64)
+        np.cumsum(part * low[: len(part)], out=total[0, 1:])
+        np.cumsum(part * high[: len(part)], out=total[1, 1:])
+        from_, to = start[a:b] - at, end[a:b] - at
+        lows, highs = total[0, to] - total[0, from_], total[1, to] - total[1, from_]
+        value = _reduced((lows & _p) + (lows >> np.uint64(61)) + (highs >> np.uint64(29)) + ((highs & _low29) << np.uint64(32)))
+        h[a:b] = _product(value, inverse[from_])
         a = b
     h += (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     return mix64(h), first

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import stage
+from ._shared import discard, stage
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
-    """(id, component) for every node of ``edges``; the component is its smallest id.
+    """(id, component), staged, for every node of ``edges``; the component is its smallest id.
 
     Each round hangs every node's larger, then smaller, neighbours on the least
     one it knows, until nothing moves; a chain of n takes about log n rounds.
@@ -26,9 +26,12 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c")
         joined = large.join(low, F.col("u") == F.col("c"))
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        pairs = stage(small, "edges")
+        old, pairs = pairs, stage(small, "edges")
+        discard(old)
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count(F.when(F.col("u") < F.col("v"), 1))).first()
         if state == before:
             break
         before = state
-    return pairs.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    found = stage(pairs.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), "components")
+    discard(pairs)
+    return found

@@ -11,8 +11,13 @@ holds the same rows whenever the table is read, by whichever task.  An operator
 3. ``deliver``s: each block's answers become one file in the shared folder,
    which the next pass over the text opens by the block's identity.
 
-So a hash met in every row still costs a bucket one entry for each block, text
-is never shuffled, and nothing passes through the driver.
+So a hash met in every row still costs a bucket one entry for each block, and
+text is never shuffled.  A block sends a bucket one row at most, and in all at most
+one row for each distinct hash it holds; its work doesn't grow with the number of
+buckets.  Every row asked is answered: a block that finds no file, or a file
+without the answer of a bucket it asked, raises, so that a lost answer is never
+taken for an empty one.  Rows of block -1 are for the driver: bounded statistics,
+which ``deliver`` hands back as a small table.
 """
 
 from __future__ import annotations
@@ -26,11 +31,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import open_fs, partitions, read_file, release, shared_path, stage, trim, write_file
+from ._shared import discard, drop_path, partitions, read_file, release, stage, temporary_path, trim, write_file
 
 BLOCK_BYTES = 4 << 20
 #: Bytes of text for each bucket, about.
 BUCKET_BYTES = 24 << 20
+#: Kind of a row in which a block lists the buckets it asked; its answer has bucket -1.
+MANIFEST = 6
 ROWS = "kind int, block long, bucket int, payload binary, a long, b long"
 
 
@@ -141,18 +148,24 @@ def row_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["kind", "block", "bucket", "payload", "a", "b"])
 
 
-def bucket_count(docs: DataFrame, text_col: str) -> int:
+def text_buckets(docs: DataFrame, text_col: str) -> tuple[int, int]:
+    """How many buckets the texts ask for, and their bytes."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    return max(partitions(docs.sparkSession), size // BUCKET_BYTES)
+    return max(partitions(docs.sparkSession), size // BUCKET_BYTES), size
 
 
-def bucket_edges(sorted_hashes: np.ndarray, n: int) -> np.ndarray:
-    """n+1 places that part sorted 64-bit hashes into n ranges of like width."""
-    bounds = np.array([(i << 64) // n for i in range(1, n)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(sorted_hashes, bounds), [len(sorted_hashes)]])
+def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of each 64-bit hash: one of n ranges of like width."""
+    return (((hashes >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
-def ask(source: DataFrame, questions, name: str) -> DataFrame:
+def runs_of(buckets: np.ndarray):
+    """(bucket, begin, end) for each run of equal values in sorted ``buckets``."""
+    at = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]])) if len(buckets) else np.zeros(0, np.int64)
+    return zip(buckets[at].tolist(), at.tolist(), [*at[1:].tolist(), len(buckets)])
+
+
+def ask(source: DataFrame, questions) -> DataFrame:
     """``questions(block, doc ids, texts)`` gives rows of ``ROWS`` for a block."""
 
     def work(batches):
@@ -193,39 +206,48 @@ def answer(asked: DataFrame, merge, n: int) -> DataFrame:
     return asked.repartition(n, "bucket").sortWithinPartitions("bucket", "block", "kind").mapInArrow(work, ROWS)
 
 
-def deliver(answers: DataFrame, name: str) -> str:
-    """One file for each block; returns their folder."""
+class Answers:
+    """Where blocks' answers lie, and the driver's rows as a small staged table."""
+
+    def __init__(self, folder: str, stats: DataFrame):
+        self.folder, self.stats = folder, stats
+
+    def drop(self) -> None:
+        """Delete both; nothing may read them any more."""
+        drop_path(self.folder)
+        discard(self.stats)
+
+
+def deliver(answers: DataFrame, name: str) -> Answers:
+    """One file for each block that asked; rows of block -1 go into ``stats``."""
     spark = answers.sparkSession
-    folder = shared_path(spark, name)
+    folder = temporary_path(spark, name)
 
     def work(batches):
         for block, rows in _grouped(batches, "block"):
+            if block < 0:
+                yield row_batch(rows)
+                continue
             data = b"".join(struct.pack("<iQ", r[2], len(r[3])) + r[3] for r in rows)
             write_file(f"{folder}/{block:016x}", data)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64())], names=["block"])
 
-    many = answers.select("kind", "block", "bucket", "payload", "a", "b").repartition(partitions(spark), "block").sortWithinPartitions("block", "bucket")
-    many.mapInArrow(work, "block long").agg(F.count("*")).first()
-    return folder
+    spread = F.when(F.col("block") < 0, F.col("bucket"))  # the driver's rows don't all go to one task
+    many = answers.select("kind", "block", "bucket", "payload", "a", "b").repartition(partitions(spark), "block", spread).sortWithinPartitions("block", "bucket")
+    return Answers(folder, stage(many.mapInArrow(work, ROWS), f"{name}-stats"))
 
 
-def delivered(folder: str, block: int) -> dict[int, bytes]:
-    """A block's answers by bucket; none if it asked nothing."""
-    try:
-        data = read_file(f"{folder}/{block:016x}")
-    except FileNotFoundError:
+def delivered(folder: str, block: int, asked=None) -> dict[int, bytes]:
+    """A block's answers by bucket; raises unless they are those of the buckets ``asked``, or of its manifest."""
+    if asked is not None and not len(asked):
         return {}
+    data = read_file(f"{folder}/{block:016x}")
     at, out = 0, {}
     while at < len(data):
         bucket, size = struct.unpack_from("<iQ", data, at)
         at += 12 + size
         out[bucket] = data[at - size : at]
+    if asked is None:
+        asked = unpack(out.pop(-1))[0].tolist()
+    if set(out) != set(asked):
+        raise RuntimeError(f"block {block:016x} asked {len(asked)} buckets and has answers of {len(out)}: its rows aren't those of the pass that asked")
     return out
-
-
-def discard(spark, frame: DataFrame) -> None:
-    """Delete a staged table that nothing reads any more, and let its shuffle files go."""
-    for name in frame.inputFiles()[:1]:
-        folder = name.rsplit("/", 1)[0]
-        fs, path = open_fs(folder)
-        fs.delete_dir(path)

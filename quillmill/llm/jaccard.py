@@ -1,6 +1,8 @@
 """N-gram Jaccard join: size-banded tiles, bitmap signatures, exact intersection.
 
-1. Shingle sets are sorted arrays of 64-bit hashes.  The corpus tells every
+1. Shingle sets are sorted arrays of 64-bit hashes under a key drawn for the run,
+   so that no words can be chosen to collide; for two sets of 1,000 shingles a
+   false common one has a chance of about 10^-12.  The corpus tells every
    block in how many texts each shingle stands, as a class (``exchange``).
 2. Two sets that link share a shingle among the first ``n - ceil(0.75 n) + 1`` of
    each, in any one order; rarest first, most of those stand in one text and
@@ -22,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import mix64, stage, word_hashes
+from ._shared import FIXED_KEY, discard, mix64, new_key, stage, word_hashes
 from .components import components
-from .exchange import answer, ask, blocks, bucket_count, bucket_edges, deliver, delivered, in_blocks, pack, unpack
+from .exchange import answer, ask, blocks, bucket_of, deliver, delivered, in_blocks, pack, runs_of, text_buckets, unpack
 
 WORDS = 5
 #: A set of n and a larger one link only if the ratio of their sizes is 0.75 or more; a band is a little wider.
@@ -34,9 +36,9 @@ TILE_SETS, TILE_SHINGLES = 500, 1_000_000
 _NULL = (1 << 63) - 1
 
 
-def shingles(texts: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+def shingles(texts: pa.Array, k: int = WORDS, key: int = FIXED_KEY) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of distinct shingles, sorted within each text, and each text's first (n+1 values)."""
-    h, first = word_hashes(texts, lower=True)
+    h, first = word_hashes(texts, lower=True, key=key)
     words = np.diff(first)
     full = np.maximum(words - k + 1, 0)
     counts = np.where(words >= k, full, (words > 0).astype(np.int64))
@@ -71,15 +73,15 @@ def _distinct(h: np.ndarray):
     return s[at], np.diff(np.append(at, len(s))), place
 
 
-def _sets(source: DataFrame, n_buckets: int) -> DataFrame:
+def _sets(source: DataFrame) -> DataFrame:
     """doc_id, n, s1, s2 (a digest of the set), and for candidates tokens (prefix shingles met elsewhere) and the set."""
+    (n_buckets, size), key = text_buckets(source, "text"), new_key()
+    # Ranks go by as many bits as leave few clashes; one only makes two shingles look more frequent.
+    cut = np.uint64(64 - min(64, max(40, int(size // 4).bit_length() + 7)))
 
     def questions(block, ids, texts):
-        h, _ = shingles(texts)
-        # 40 bits are enough to rank by: a clash only makes two shingles look more frequent.
-        p, counts, _ = _distinct(h >> np.uint64(24))
-        cut = bucket_edges(p << np.uint64(24), n_buckets)
-        return [(0, block, i, pack(p[a:b], counts[a:b].astype(np.uint64)), 0, 0) for i, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+        p, counts, _ = _distinct(shingles(texts, key=key)[0] >> cut)
+        return [(0, block, i, pack(p[a:b], counts[a:b].astype(np.uint64)), 0, 0) for i, a, b in runs_of(bucket_of(p << cut, n_buckets))]
 
     def merge(bucket, rows):
         parts = [unpack(r[3]) for r in rows]
@@ -93,15 +95,17 @@ def _sets(source: DataFrame, n_buckets: int) -> DataFrame:
             at += len(x[0])
         return out
 
-    folder = deliver(answer(ask(source, questions, "shingles"), merge, n_buckets), "ranks")
+    told = deliver(answer(ask(source, questions), merge, n_buckets), "ranks")
+    folder = told.folder
 
     def work(batches):
         for block, ids, texts in blocks(batches):
-            h, first = shingles(texts)
-            p, _, place = _distinct(h >> np.uint64(24))
-            rank, cut = np.zeros(len(p), np.uint8), bucket_edges(p << np.uint64(24), n_buckets)
-            for bucket, blob in delivered(folder, block).items():
-                rank[cut[bucket] : cut[bucket + 1]] = unpack(blob)[0]
+            h, first = shingles(texts, key=key)
+            p, _, place = _distinct(h >> cut)
+            rank, runs = np.zeros(len(p), np.uint8), list(runs_of(bucket_of(p << cut, n_buckets)))
+            found = delivered(folder, block, [i for i, _, _ in runs])
+            for i, a, b in runs:
+                rank[a:b] = unpack(found[i])[0]
             rank, size = rank[place], np.diff(first)
             text = np.repeat(np.arange(len(size)), size)
             order = np.lexsort((h, rank, text))
@@ -122,7 +126,9 @@ def _sets(source: DataFrame, n_buckets: int) -> DataFrame:
             )
 
     sets = source.mapInArrow(work, "doc_id long, n long, s1 long, s2 long, tokens array<long>, arr binary")
-    return stage(sets.withColumn("k", F.coalesce("doc_id", F.lit(_NULL))), "sets")
+    staged = stage(sets.withColumn("k", F.coalesce("doc_id", F.lit(_NULL))), "sets")
+    told.drop()
+    return staged
 
 
 # -------------------------------------------------------------------- tiles
@@ -204,7 +210,6 @@ def _relabel(frame: DataFrame, merged: DataFrame) -> DataFrame:
 
 def _verified(members: DataFrame) -> DataFrame:
     """(k, label) for candidates (k, n, arr, comp): classes by exact links."""
-    spark = members.sparkSession
     sizes = members.groupBy("comp").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
     sizes = sizes.select(F.col("comp").alias("g"), F.ceil(F.greatest(F.col("c") / TILE_SETS, F.col("t") / TILE_SHINGLES)).cast("int").alias("tiles"))
     members = stage(members.join(sizes, F.col("comp") == F.col("g")).drop("g"), "members")
@@ -212,6 +217,7 @@ def _verified(members: DataFrame) -> DataFrame:
     labels = stage(members.withColumn("tile", tile).select("comp", "tile", "k", "arr").groupBy("comp", "tile").applyInArrow(_tile, "k long, label long"), "labels")
     large = members.filter("tiles > 1")
     if not large.take(1):
+        discard(members)
         return labels
     # Groups of several tiles.  First, the first sets of classes meet, a tile's worth at a time.
     state = stage(large.join(labels, "k"), "large")
@@ -220,16 +226,16 @@ def _verified(members: DataFrame) -> DataFrame:
         sizes = heads.groupBy("comp").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
         sizes = sizes.select(F.col("comp").alias("g"), F.ceil(F.greatest(F.col("c") / TILE_SETS, F.col("t") / TILE_SHINGLES)).cast("int").alias("now"))
         dealt = heads.join(sizes, F.col("comp") == F.col("g")).withColumn("tile", F.pmod(F.xxhash64("k", F.lit(turn + 1)), F.col("now")).cast("int"))
-        before = heads.count()
+        before, several = heads.count(), bool(dealt.filter("now > 1").take(1))
         met = dealt.select("comp", "tile", "k", "arr").groupBy("comp", "tile").applyInArrow(_tile, "k long, label long").filter("k <> label")
         met = stage(met, "met")
-        state = stage(_relabel(state, met.select(F.col("k").alias("id"), F.col("label").alias("component"))), "large")
-        if state.filter("k = label").count() == before or not dealt.filter("now > 1").take(1):
+        state = _replaced(state, _relabel(state, met.select(F.col("k").alias("id"), F.col("label").alias("component"))), met)
+        if state.filter("k = label").count() == before or not several:
             break
     # Then all sets outside a group's largest class meet all its sets, tile by tile.
     classes = state.groupBy("comp", "label").agg(F.count("*").alias("c"))
     most = classes.groupBy("comp").agg(F.max(F.struct("c", "label")).alias("x")).select(F.col("comp").alias("g"), F.col("x.label").alias("main"))
-    state = state.join(most, F.col("comp") == F.col("g")).drop("g")
+    state = _replaced(state, state.join(most, F.col("comp") == F.col("g")).drop("g"))
     rest = state.filter("label <> main")
     if rest.take(1):
         chunks = rest.groupBy("comp").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
@@ -241,9 +247,17 @@ def _verified(members: DataFrame) -> DataFrame:
         found = each.unionByName(every).groupBy("comp", "chunk", "tile").applyInArrow(_between, "u long, v long")
         found = stage(found, "between")
         if found.take(1):
-            state = stage(_relabel(state, components(found)), "large")
-    small = labels.join(large.select("k"), "k", "left_anti")
-    return small.unionByName(state.select("k", "label"))
+            state = _replaced(state, _relabel(state, components(found)), found)
+    both = stage(labels.join(large.select("k"), "k", "left_anti").unionByName(state.select("k", "label")), "labels")
+    discard(members, labels, state)
+    return both
+
+
+def _replaced(old: DataFrame, new: DataFrame, *used: DataFrame) -> DataFrame:
+    """``new`` staged; ``old`` and what else it was made of deleted."""
+    new = stage(new, "large")
+    discard(old, *used)
+    return new
 
 
 def jaccard_components(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
@@ -255,26 +269,30 @@ def jaccard_components(docs: DataFrame, *, id_col="doc_id", text_col="text") ->
     them.  Other columns are ignored.
     """
     source = in_blocks(docs, id_col, text_col)
-    sets = _sets(source, bucket_count(source, "text"))
+    sets = _sets(source)
     # Equal sets: one of them, the least id, stands for all.
-    first = stage(sets.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("k").alias("rep"), F.count("*").alias("copies")), "classes")
-    first = first.select(F.col("n").alias("f_n"), F.col("s1").alias("f1"), F.col("s2").alias("f2"), "rep")
+    classes = stage(sets.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("k").alias("rep"), F.count("*").alias("copies")), "classes")
+    first = classes.select(F.col("n").alias("f_n"), F.col("s1").alias("f1"), F.col("s2").alias("f2"), "rep")
     same = (F.col("n") == F.col("f_n")) & (F.col("s1") == F.col("f1")) & (F.col("s2") == F.col("f2"))
     some = sets.filter(F.size("tokens") > 0).join(first, same & (F.col("k") == F.col("rep")))
     band = F.floor(F.log(F.col("n").cast("double")) / BAND).cast("int")
     keys = some.select("k", band.alias("b"), F.explode("tokens").alias("token")).select("k", "token", F.explode(F.array(F.col("b"), F.col("b") + 1)).alias("band"))
     least = keys.groupBy("token", "band").agg(F.min("k").alias("m"), F.max("k").alias("x")).filter("m <> x").select(F.col("token").alias("t"), F.col("band").alias("d"), "m")
     edges = keys.join(least, (F.col("token") == F.col("t")) & (F.col("band") == F.col("d"))).select(F.col("k").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-    groups = stage(components(edges), "groups")
+    groups = components(edges)
     members = sets.filter("arr is not null").select("k", "n", "arr", "s1", "s2").join(first, same & (F.col("k") == F.col("rep"))).select("k", "n", "arr").join(groups, F.col("k") == F.col("id")).select("k", "n", "arr", F.col("component").alias("comp"))
-    labels = _verified(members).filter("k <> label").groupBy("k").agg(F.min("label").alias("label"))
+    verified = _verified(members)
+    labels = verified.filter("k <> label").groupBy("k").agg(F.min("label").alias("label"))
     # A document repeated under one id, with other sets, ties their classes: those links join the verified ones.
     loose = sets.filter("n > 0").join(first, same).select("k", "rep").filter("k <> rep")
     ties = loose.unionByName(labels.select("k", F.col("label").alias("rep")))
-    final = stage(components(ties.select(F.col("k").alias("u"), F.col("rep").alias("v"))), "final").select(F.col("id").alias("c_id"), "component")
+    joined = components(ties.select(F.col("k").alias("u"), F.col("rep").alias("v")))
+    final = joined.select(F.col("id").alias("c_id"), "component")
     out = sets.select("doc_id", "n", "k").join(final, F.col("k") == F.col("c_id"), "left")
     component = F.coalesce("component", "k")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(component != _NULL, component).alias("component_id"))
+    result = stage(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(component != _NULL, component).alias("component_id")), "jaccard")
+    discard(sets, classes, groups, verified, joined)
+    return result
 
 
 #: DuckDB SQL: links through shared shingles, then the least id reachable.

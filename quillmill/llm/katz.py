@@ -1,18 +1,27 @@
-"""Katz backoff: word pairs with Good-Turing discounts and exactly normalised backoff weights.
+"""Katz backoff over words, pairs and triples, with Good-Turing discounts and exactly normalised backoff weights.
 
-    P(w | u) = d(r) * r / c(u)         for a pair seen r times in training
-             = alpha(u) * P(w)         else, alpha(u) chosen so that all words and the unknown one sum to 1
+    P(w | h) = d(r) * r / below(h)         for h w seen r times in training, d by its order
+             = alpha(h) * P(w | h')        else; h' is h without its first word
+             = P(w | h')                   where h was never seen
     P(w)     = (c(w) + 0.5) / (N + 0.5 (V + 1))
 
-u is the word before, or the text's beginning; a text's end is a word.  A
-context never seen backs off with weight 1.  Counts of words and pairs cover all
-training texts; they are merged by hash buckets (``exchange``), pairs of very
-frequent contexts by pair instead of by context, so that no context fills one
-bucket.  The pair table stays in the shared folder, partitioned by bucket.
+``below(h)`` is how often h was seen, and alpha(h) makes all words and the unknown
+one sum to 1; where nothing after h was discounted, one count more is set aside for
+the unseen.  Before a text stand two marks of its beginning; its end is a word.
+
+Words, pairs and triples are counted over all training texts by hash buckets
+(``exchange``), one exchange an order: a block sends the distinct grams it holds, with
+their counts and those of the next shorter gram; a bucket, which holds all that
+follows a context, adds them up and answers counts, and what the weight of a context
+with an unseen word is made of, in whole numbers.  The grams of very frequent contexts
+are dealt by the gram instead; those few contexts' sums go through the driver.
+Answers lie in the shared folder, a file for each block and order; each token is
+then evaluated by recursion over the orders.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -20,15 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import mix64, stage, word_hashes
-from .exchange import answer, ask, blocks, bucket_count, bucket_edges, deliver, delivered, discard, in_blocks, pack, unpack
+from ._shared import mix64, new_key, word_hashes
+from .exchange import ROWS, answer, ask, blocks, bucket_of, deliver, delivered, in_blocks, pack, row_batch, runs_of, text_buckets, unpack
 
+ORDER = 3
 #: Counts up to so many are discounted.
 K = 5
 HELD_OUT, OF = 1, 5
+#: Contexts more frequent than one token in so many (and than so many times) are dealt by gram: at most so many, whatever the input.
+HOT, LEAST_HOT = 4096, 1000
 _END = np.uint64(0x6A09E667F3BCC909)  # the end of a text, a word of its own
-_BEGIN = np.uint64(1)  # id of the beginning as a context; words' ids start at 2
-_DOUBLE = np.float64
+_BEGIN = 1  # id of the beginning as a context; words' ids start at 2
+_WORD = np.uint64(0xFFFFFFFF)
+_32 = np.uint64(32)
 
 
 def held_out(ids: list) -> np.ndarray:
@@ -36,9 +49,9 @@ def held_out(ids: list) -> np.ndarray:
     return np.array([zlib.crc32(b"" if x is None else str(x).encode()) % OF == HELD_OUT for x in ids], bool)
 
 
-def _stream(ids: pa.Array, texts: pa.Array):
+def _stream(ids: pa.Array, texts: pa.Array, key: int):
     """Distinct words of a block sorted, each token's place among them, each text's first token, and held-out marks."""
-    h, first = word_hashes(texts, lower=True)
+    h, first = word_hashes(texts, lower=True, key=key)
     count = len(texts)
     ends = first[1:] + np.arange(count)
     tokens = np.full(len(h) + count, _END, np.uint64)
@@ -49,24 +62,10 @@ def _stream(ids: pa.Array, texts: pa.Array):
     return words, place, np.concatenate([[0], ends + 1]), held_out(ids.to_pylist())
 
 
-def _pairs(place: np.ndarray, first: np.ndarray, ids: np.ndarray):
-    """Distinct (context id, word id) keys of a block sorted, and each token's place among them."""
-    word = ids[place]
-    before = np.empty_like(word)
-    before[1:] = word[:-1]
-    before[first[:-1]] = _BEGIN
-    return np.unique((before << np.uint64(32)) | word, return_inverse=True)
-
-
-def _bucket_of(keys: np.ndarray, context_count: np.ndarray, hot: int, n: int) -> np.ndarray:
-    """Bucket of each pair: by its context, or by the pair where the context is frequent."""
-    return (mix64(np.where(context_count > hot, keys, keys >> np.uint64(32))) % np.uint64(n)).astype(np.int64)
-
-
 def discounts(types: list[int]) -> np.ndarray:
-    """d(1..K) from the numbers of pairs seen 1, 2, ..., K + 1 times.
+    """d(1..K) from the numbers of grams of an order seen 1, 2, ..., K + 1 times.
 
-    Katz's formula where it lies in (0, 1]; where the counts don't allow it (small
+    Katz's formula where it lies in (0, 1); where the counts don't allow it (small
     corpora), the absolute discount 1 - D / r with D = n1 / (n1 + 2 n2).
     """
     n = np.array([0, *types], float)
@@ -80,166 +79,271 @@ def discounts(types: list[int]) -> np.ndarray:
     return np.array(out)
 
 
-def score(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row.
+# ------------------------------------------------------- sums of a context
+
+#: For each context: how many words follow it 1 to K times; of the shorter grams of all that follow, how many were
+#: seen 1 to K times; the sum of those seen more often; and how many words follow.
+SUMS = 2 * K + 2
+
+
+def sums_of(where: np.ndarray, n: int, seen: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """(SUMS, n) whole numbers over grams seen in training, each with its context's place."""
+    rows = [np.bincount(where[x == r], minlength=n) for x in (seen, lower) for r in range(1, K + 1)]
+    rows.append(np.bincount(where, np.where(lower > K, lower, 0), n))
+    rows.append(np.bincount(where, minlength=n))
+    return np.array(rows).astype(np.int64)
+
+
+class Model:
+    """What the driver knows after each order: sums, folders, discounts and at most ``HOT`` contexts' sums."""
+
+    def __init__(self, n: int, key: int):
+        self.n, self.key = n, key
+        self.total = self.distinct = self.texts = 0
+        self.folders, self.d, self.hot = {}, {}, {}
+        self.limit = 0
+
+    @property
+    def z(self) -> float:
+        return self.total + 0.5 * (self.distinct + 1)
+
+
+class Grams:
+    """The distinct grams of one order in a block, by context, then word; and where they are asked."""
+
+    def __init__(self, model: Model, order: int, left: np.ndarray, word: np.ndarray, context_key, context_count, lower: np.ndarray):
+        """``left``: for each token a number of its context, in the order of ``context_key`` of these numbers."""
+        code, index, self.at = np.unique((left << _32) | word, return_index=True, return_inverse=True)
+        lefts, self.of = np.unique(code >> _32, return_inverse=True)
+        self.order, self.word, self.lower = order, code & _WORD, lower[index].astype(np.int64)
+        self.context, self.count = context_key(lefts), context_count(lefts).astype(np.int64)
+        self.hot = self.count > model.limit
+        own = bucket_of(mix64(self.context), model.n)[self.of]
+        if self.hot.any():
+            salted = model.n + bucket_of(mix64(self.context[self.of] * np.uint64(0x9E3779B97F4A7C15) + self.word), model.n)
+            own = np.where(self.hot[self.of], salted, own)
+        self.by = np.argsort(own, kind="stable")
+        self.runs = list(runs_of(own[self.by]))
+
+    def ask(self, block: int, trained: np.ndarray):
+        seen = np.bincount(self.at[trained], minlength=len(self.word)).astype(np.uint64)
+        for i, a, b in self.runs:
+            o = self.by[a:b]
+            yield 0, block, i, pack(self.context[self.of[o]], self.word[o], seen[o], self.lower[o].astype(np.uint64)), 0, 0
+
+    def hear(self, model: Model, block: int, shorter: Grams | None):
+        """Sets each gram's training count ``seen``, and each context's ``below`` and ``alpha``."""
+        told = delivered(model.folders[self.order], block, [i for i, _, _ in self.runs])
+        self.seen = np.zeros(len(self.word), np.int64)
+        few, sums, asked = np.zeros(len(self.context), bool), np.zeros((SUMS, len(self.context)), np.int64), np.zeros(len(self.context), bool)
+        for i, a, b in self.runs:
+            o = self.by[a:b]
+            marks, *some = unpack(told[i])
+            if i >= model.n:
+                self.seen[o] = marks
+                continue
+            self.seen[o] = marks >> np.uint64(1)
+            few[self.of[o]] = marks & np.uint64(1)
+            new = np.unique(self.of[o[(self.seen[o] == 0) & (self.count[self.of[o]] > 0)]])
+            sums[:, new], asked[new] = np.array(some).reshape(SUMS, -1), True
+        if self.hot.any():
+            contexts, totals = model.hot[self.order]
+            sums[:, self.hot] = totals[:, np.searchsorted(contexts, self.context[self.hot])]
+            few[self.hot], asked[self.hot] = sums[:K, self.hot].any(0), True
+        # A context of which nothing was discounted sets one count aside; one never seen leaves all to the shorter model.
+        self.below = np.where(self.count > 0, self.count + ~few, 1)
+        self.alpha = np.ones(len(self.context))
+        self.alpha[asked] = self._alpha(model, asked, sums[:, asked], shorter)
+
+    def _alpha(self, model: Model, which: np.ndarray, sums: np.ndarray, shorter: Grams | None) -> np.ndarray:
+        r = np.arange(1, K + 1)[:, None]
+        d = model.d[self.order]
+        free = (sums[:K] * r * (1 - d[:, None])).sum(0) + (self.below[which] - self.count[which])
+        if shorter is None:  # the words' own model: (c + 0.5) / z each
+            lower = ((sums[K : 2 * K] * r).sum(0) + sums[2 * K] + 0.5 * sums[2 * K + 1]) / model.z
+        else:
+            last = np.searchsorted(shorter.context, self.context[which] & _WORD)
+            lower = ((sums[K : 2 * K] * r * model.d[self.order - 1][:, None]).sum(0) + sums[2 * K]) / shorter.below[last]
+        return free / self.below[which] / (1 - lower)
+
+    def log_probability(self, model: Model, shorter: np.ndarray) -> np.ndarray:
+        """log10 P of each token, from that of the shorter grams."""
+        d = np.concatenate([[1.0], model.d[self.order], [1.0]])[np.minimum(self.seen, K + 1)]
+        with np.errstate(divide="ignore"):
+            own = np.log10(d * self.seen / self.below[self.of])
+        return np.where(self.seen[self.at] > 0, own[self.at], np.log10(self.alpha)[self.of][self.at] + shorter)
+
+
+class Block:
+    """A block's tokens, its words' counts and ids, and its grams up to some order as far as they were answered."""
+
+    def __init__(self, model: Model, block: int, ids: pa.Array, texts: pa.Array, order: int):
+        """Grams up to ``order``; those below it hear their answers."""
+        words, self.place, self.first, self.held = _stream(ids, texts, model.key)
+        self.counts, self.ids = np.zeros(len(words), np.int64), np.zeros(len(words), np.uint64)
+        runs = list(runs_of(bucket_of(words, model.n)))
+        told = delivered(model.folders[1], block, [i for i, _, _ in runs])
+        for i, a, b in runs:
+            self.counts[a:b], self.ids[a:b] = unpack(told[i])
+        self.trained = np.repeat(~self.held, np.diff(self.first))
+        word, begin = self.ids[self.place], self.first[:-1]
+        by_id = np.argsort(self.ids)
+        left = np.empty_like(word)
+        left[1:], left[begin] = word[:-1], _BEGIN
+
+        def count_of(wanted):
+            found = by_id[np.minimum(np.searchsorted(self.ids, wanted, sorter=by_id), len(by_id) - 1)]
+            return np.where(wanted == _BEGIN, model.texts, self.counts[found])
+
+        self.grams = [Grams(model, 2, left, word, lambda x: x, count_of, self.counts[self.place])]
+        while self.grams[-1].order < order:
+            before = self.grams[-1]
+            before.hear(model, block, self.grams[-2] if len(self.grams) > 1 else None)
+            left = np.empty(len(word), np.uint64)
+            left[1:], left[begin] = before.at[:-1] + 1, 0
+            keys = np.concatenate([[np.uint64(_BEGIN << 32 | _BEGIN)], before.context[before.of] << _32 | before.word])
+            seen = np.concatenate([[model.texts], before.seen])
+            self.grams.append(Grams(model, before.order + 1, left, word, lambda x: keys[x.astype(np.int64)], lambda x: seen[x.astype(np.int64)], before.seen[before.at]))
+
+
+def _merge_grams(model: Model, order: int):
+    def merge(bucket, rows):
+        """Adds up the grams of the bucket's contexts and answers every block."""
+        parts = [unpack(r[3]) for r in rows]
+        context, word, seen, lower = (np.concatenate([x[i] for x in parts]) for i in range(4))
+        by = np.lexsort((word, context))
+        c, w = context[by], word[by]
+        new = np.ones(len(c), bool)
+        new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
+        at = np.flatnonzero(new)
+        place = np.empty(len(c), np.int64)
+        place[by] = np.cumsum(new) - 1
+        total = np.add.reduceat(seen[by].astype(np.int64), at)
+        contexts, where = np.unique(c[at], return_inverse=True)
+        some = total > 0
+        sums = sums_of(where[some], len(contexts), total[some], lower[by][at][some].astype(np.int64))
+        hot = bucket >= model.n
+        few, followed = sums[:K].any(0), sums[-1] > 0
+        out = [(3, -1, bucket, b"", r, int(sums[r - 1].sum())) for r in range(1, K + 1)]
+        out.append((3, -1, bucket, b"", K + 1, int((total == K + 1).sum())))
+        if hot:
+            out.append((4, -1, bucket, pack(contexts, *sums.astype(np.uint64)), 0, 0))
+        begin = 0
+        for row, x in zip(rows, parts):
+            mine = place[begin : begin + len(x[0])]
+            begin += len(mine)
+            r, of = total[mine], where[mine]
+            if hot:
+                out.append((0, row[1], bucket, pack(r.astype(np.uint64)), 0, 0))
+                continue
+            wanted = np.unique(of[(r == 0) & followed[of]])
+            out.append((0, row[1], bucket, pack((r * 2 + few[of]).astype(np.uint64), *sums[:, wanted].astype(np.uint64)), 0, 0))
+        return out
 
-    Null texts count as empty: the end alone.  Rows that repeat count each time.
-    With no training text all words are unknown.  Other columns are ignored.
-    """
-    spark = docs.sparkSession
-    source = in_blocks(docs, id_col, text_col)
-    n = bucket_count(source, "text")
+    return merge
+
+
+def _hot_sums(stats: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts dealt by gram, sorted, and their sums over all buckets: at most ``HOT`` contexts, added up in tasks first."""
+
+    def add(batches):
+        yield row_batch([(4, -1, 0, pack(*_added([x for b in batches for x in b.column("payload").to_pylist()])), 0, 0)])
+
+    rows = stats.filter("kind = 4").repartition(max(1, math.isqrt(n))).mapInArrow(add, ROWS)
+    contexts, *sums = _added([r["payload"] for r in rows.toLocalIterator()])
+    return contexts, np.array(sums).astype(np.int64)
+
+
+def _added(blobs: list[bytes]) -> list[np.ndarray]:
+    parts = [unpack(x) for x in blobs]
+    if not parts:
+        return [np.zeros(0, np.uint64)] * (SUMS + 1)
+    contexts, place = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+    out = [np.zeros(len(contexts), np.uint64) for _ in range(SUMS)]
+    for i, total in enumerate(out):
+        np.add.at(total, place, np.concatenate([x[i + 1] for x in parts]))
+    return [contexts, *out]
+
+
+def _fit(source: DataFrame, order: int) -> Model:
+    """Counts words, then grams order by order; after each, its answers lie in the shared folder."""
+    n, _ = text_buckets(source, "text")
+    model = Model(n, new_key())
 
-    # ---- words: their training counts and ids
     def ask_words(block, ids, texts):
-        words, place, first, held = _stream(ids, texts)
+        words, place, first, held = _stream(ids, texts, model.key)
         trained = np.repeat(~held, np.diff(first))
         counts = np.bincount(place[trained], minlength=len(words)).astype(np.uint64)
-        cut = bucket_edges(words, n)
-        return [(0, block, i, pack(words[a:b], counts[a:b]), 0, 0) for i, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+        rows = [(0, block, i, pack(words[a:b], counts[a:b]), 0, 0) for i, a, b in runs_of(bucket_of(words, n))]
+        return [*rows, (2, -1, block % n, b"", 0, int((~held).sum()))]
 
     def merge_words(bucket, rows):
+        out = [r for r in rows if r[0] == 2]
+        rows = [r for r in rows if r[0] == 0]
+        if not rows:
+            return out
         parts = [unpack(r[3]) for r in rows]
         words, place = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
-        counts = np.bincount(place, np.concatenate([x[1] for x in parts]).astype(_DOUBLE), len(words)).astype(np.uint64)
+        counts = np.bincount(place, np.concatenate([x[1] for x in parts]).astype(np.float64), len(words)).astype(np.uint64)
         rank = np.empty(len(words), np.uint64)
         rank[np.lexsort((words, counts))[::-1]] = np.arange(len(words), dtype=np.uint64)
         ids = rank * np.uint64(n) + np.uint64(bucket + 2)  # frequent words get small ids, which pack well
         if len(ids) and int(ids.max()) >= 1 << 32:
             raise OverflowError("over 2^32 words: pairs no longer fit 64 bits")
-        out, at = [(1, -1, bucket, b"", int(counts.sum()), int((counts > 0).sum()))], 0
+        out.append((1, -1, bucket, b"", int(counts.sum()), int((counts > 0).sum())))
+        at = 0
         for row, x in zip(rows, parts):
             here = place[at : at + len(x[0])]
             at += len(here)
             out.append((0, row[1], bucket, pack(counts[here], ids[here]), 0, 0))
         return out
 
-    words_asked = ask(source, ask_words, "words")
-    answers = stage(answer(words_asked, merge_words, n), "words")
-    total, distinct = answers.filter("kind = 1").agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
-    total, distinct = int(total), int(distinct)
-    word_files = deliver(answers.filter("kind = 0"), "word-counts")
-    discard(spark, answers)
-    z = total + 0.5 * (distinct + 1)
-    hot = max(1000, total // (16 * n))
-
-    def words_of(block, words):
-        """Counts and ids of a block's words, from its file."""
-        counts, ids = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64)
-        cut = bucket_edges(words, n)
-        for bucket, blob in delivered(word_files, block).items():
-            counts[cut[bucket] : cut[bucket + 1]], ids[cut[bucket] : cut[bucket + 1]] = unpack(blob)
-        return counts, ids
-
-    def pairs_of(block, ids, texts):
-        words, place, first, held = _stream(ids, texts)
-        counts, word_ids = words_of(block, words)
-        keys, at = _pairs(place, first, word_ids)
-        by_id = np.argsort(word_ids)
-
-        def count_of(wanted):  # the beginning is as frequent as can be
-            found = by_id[np.minimum(np.searchsorted(word_ids[by_id], wanted), len(by_id) - 1)]
-            return np.where(wanted == _BEGIN, np.uint64(total + 1), counts[found])
-
-        bucket = _bucket_of(keys, count_of(keys >> np.uint64(32)), hot, n)
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(n + 1))
-        return place, first, held, counts, keys, at, count_of, order, cut
-
-    # ---- pairs: their training counts, and what each context needs for its weight
-    def ask_pairs(block, ids, texts):
-        place, first, held, counts, keys, at, count_of, order, cut = pairs_of(block, ids, texts)
-        trained = np.repeat(~held, np.diff(first))
-        seen = np.bincount(at[trained], minlength=len(keys)).astype(np.uint64)
-        word_count = count_of(keys & np.uint64(0xFFFFFFFF))
-        rows = [(0, block, i, pack(keys[o], seen[o], word_count[o]), 0, 0) for i, o in ((i, order[a:b]) for i, (a, b) in enumerate(zip(cut, cut[1:]))) if len(o)]
-        contexts = np.unique(keys >> np.uint64(32))
-        bucket = (mix64(contexts) % np.uint64(n)).astype(np.int64)
-        rows += [(1, block, i, pack(contexts[bucket == i]), 0, 0) for i in np.unique(bucket).tolist()]
-        return rows
-
-    def merge_pairs(bucket, rows):
-        parts = [unpack(r[3]) for r in rows]
-        keys, at_first, place = np.unique(np.concatenate([x[0] for x in parts]), return_index=True, return_inverse=True)
-        seen = np.bincount(place, np.concatenate([x[1] for x in parts]).astype(_DOUBLE), len(keys)).astype(np.int64)
-        word_count = np.concatenate([x[2] for x in parts])[at_first].astype(np.int64)
-        out, at = [], 0
-        for row, x in zip(rows, parts):
-            out.append((0, row[1], bucket, pack(seen[place[at : at + len(x[0])]].astype(np.uint64)), 0, 0))
-            at += len(x[0])
-        keys, seen, word_count = keys[seen > 0], seen[seen > 0], word_count[seen > 0]
-        out.append((2, -1, bucket, pack(keys, seen.astype(np.uint64)), 0, 0))  # the table itself
-        out += [(3, -1, bucket, b"", r, int((seen == r).sum())) for r in range(1, K + 2)]
-        if len(keys):
-            contexts, where = np.unique(keys >> np.uint64(32), return_inverse=True)
-            sums = [np.bincount(where, seen == r, len(contexts)) for r in range(1, K + 1)]
-            sums += [np.bincount(where, np.where(seen > K, seen, 0), len(contexts)), np.bincount(where, minlength=len(contexts)), np.bincount(where, word_count, len(contexts))]
-            home = (mix64(contexts) % np.uint64(n)).astype(np.int64)
-            order = np.argsort(home, kind="stable")
-            cut = np.searchsorted(home[order], np.arange(n + 1))
-            for i, (a, b) in enumerate(zip(cut, cut[1:])):
-                if b > a:
-                    o = order[a:b]
-                    out.append((4, -1, i, pack(contexts[o], *[s[o].astype(np.uint64) for s in sums]), 0, 0))
-        return out
+    told = deliver(answer(ask(source, ask_words), merge_words, n), "words")
+    model.folders[1] = told.folder
+    sums = {r["kind"]: r for r in told.stats.groupBy("kind").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()}  # two rows
+    if 1 in sums:
+        model.total, model.distinct = int(sums[1]["a"]), int(sums[1]["b"])
+    model.texts = int(sums[2]["b"]) if 2 in sums else 0
+    model.limit = max(LEAST_HOT, model.total // HOT)
+    for now in range(2, order + 1):
+
+        def ask_grams(block, ids, texts, now=now):
+            some = Block(model, block, ids, texts, now)
+            return list(some.grams[-1].ask(block, some.trained))
+
+        told = deliver(answer(ask(source, ask_grams), _merge_grams(model, now), n), f"grams-{now}")
+        types = {r["a"]: r["s"] for r in told.stats.filter("kind = 3").groupBy("a").agg(F.sum("b").alias("s")).collect()}  # K + 1 rows
+        model.folders[now], model.d[now], model.hot[now] = told.folder, discounts([types.get(r, 0) or 0 for r in range(1, K + 2)]), _hot_sums(told.stats, n)
+    return model
 
-    asked = stage(ask(source, ask_pairs, "pairs"), "pairs-asked")
-    merged = stage(answer(asked.filter("kind = 0"), merge_pairs, n), "pairs")
-    types = {r["a"]: r["s"] for r in merged.filter("kind = 3").groupBy("a").agg(F.sum("b").alias("s")).collect()}  # K + 1 numbers
-    d = discounts([types.get(r, 0) or 0 for r in range(1, K + 2)])
-
-    # ---- contexts: denominators and backoff weights
-    def merge_contexts(bucket, rows):
-        """Alpha from whole numbers alone: how many words follow how often, and how often those stand anywhere."""
-        sums = [unpack(r[3]) for r in rows if r[0] == 4]
-        if sums:
-            contexts, place = np.unique(np.concatenate([x[0] for x in sums]), return_inverse=True)
-            s = [np.bincount(place, np.concatenate([x[i] for x in sums]).astype(_DOUBLE), len(contexts)) for i in range(1, K + 4)]
-            by_count, rest, kinds, word_count = np.array(s[:K]), s[K], s[K + 1], s[K + 2]
-            r = np.arange(1, K + 1)[:, None]
-            count = (by_count * r).sum(0) + rest
-            mass = (by_count * r * d[:, None]).sum(0) + rest
-            below = count + (count - mass < 1e-9)  # nothing was discounted: one count is set aside for the unseen
-            alpha = (1 - mass / below) / (1 - (word_count + 0.5 * kinds) / z)
-        out = []
-        for row in rows:
-            if row[0] != 1:
-                continue
-            (wanted,) = unpack(row[3])
-            a, b = np.ones(len(wanted)), np.ones(len(wanted))
-            if sums:
-                at = np.minimum(np.searchsorted(contexts, wanted), len(contexts) - 1)
-                known = contexts[at] == wanted
-                a[known], b[known] = alpha[at[known]], below[at[known]]
-            out.append((0, row[1], bucket, np.concatenate([a, b]).astype("<f8").tobytes(), 0, 0))
-        return out
 
-    pair_files = deliver(merged.filter("kind = 0"), "pair-counts")
-    weight_files = deliver(answer(asked.filter("kind = 1").unionByName(merged.filter("kind = 4")), merge_contexts, n), "weights")
-    discard(spark, asked)
+def score(docs: DataFrame, *, id_col="doc_id", text_col="text", order: int = ORDER) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row.
+
+    Null and empty texts are the end alone.  Rows that repeat count, and are
+    scored, each time; null ids count as the empty text for ``held_out``.  With no
+    training text all words are unknown.  An empty table gives no rows.  Other
+    columns are ignored, whatever their names.  ``order`` is 2 or 3: a pair of
+    32-bit word ids is a context of 64 bits.
+    """
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
+    source = in_blocks(docs, id_col, text_col)
+    model = _fit(source, order)
 
     def work(batches):
         for block, ids, texts in blocks(batches):
-            place, first, held, counts, keys, at, count_of, order, cut = pairs_of(block, ids, texts)
-            seen = np.zeros(len(keys), np.int64)
-            for bucket, blob in delivered(pair_files, block).items():
-                seen[order[cut[bucket] : cut[bucket + 1]]] = unpack(blob)[0].astype(np.int64)
-            context, where = np.unique(keys >> np.uint64(32), return_inverse=True)
-            home = (mix64(context) % np.uint64(n)).astype(np.int64)
-            alpha, below = np.ones(len(context)), np.ones(len(context))
-            for bucket, blob in delivered(weight_files, block).items():
-                mine = home == bucket
-                alpha[mine], below[mine] = np.frombuffer(blob, "<f8").reshape(2, -1)
-            single = np.log10((count_of(keys & np.uint64(0xFFFFFFFF)).astype(_DOUBLE) + 0.5) / z)
-            factor = np.concatenate([[1.0], d, [1.0]])[np.minimum(seen, K + 1)]
-            with np.errstate(divide="ignore"):
-                logp = np.where(seen > 0, np.log10(factor * np.maximum(seen, 1) / below[where]), np.log10(alpha[where]) + single)
-            base = np.log10((counts.astype(_DOUBLE) + 0.5) / z)[place]
-            known = (counts > 0)[place].astype(np.int64)
-            begin, length = first[:-1], np.diff(first)
+            some = Block(model, block, ids, texts, order)
+            some.grams[-1].hear(model, block, some.grams[-2] if order > 2 else None)
+            counts = some.counts[some.place]
+            base = np.log10((counts + 0.5) / model.z)
+            logp = base
+            for grams in some.grams:
+                logp = grams.log_probability(model, logp)
+            begin, length = some.first[:-1], np.diff(some.first)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(held), pa.array(length.astype(np.int64)), pa.array(np.add.reduceat(known, begin)), pa.array(np.full(len(length), total, np.int64)),
-                 pa.array(np.add.reduceat(base, begin)), pa.array(np.add.reduceat(logp[at], begin))],
+                [ids, pa.array(some.held), pa.array(length.astype(np.int64)), pa.array(np.add.reduceat((counts > 0).astype(np.int64), begin)), pa.array(np.full(len(length), model.total, np.int64)),
+                 pa.array(np.add.reduceat(base, begin)), pa.array(np.add.reduceat(logp, begin))],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 

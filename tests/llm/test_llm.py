@@ -1,15 +1,20 @@
 """Operators against brute force on small tables with nulls, empty texts, repeats and clashing columns."""
 
+import functools
 import hashlib
+import os
 import re
+import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillmill.llm import fingerprints, jaccard, katz, licenses, media, mixing, substrings, toxicity, trie_bpe, wavelet
+from quillmill.llm import _shared as shared
+from quillmill.llm import exchange, fingerprints, jaccard, katz, licenses, media, mixing, substrings, toxicity, trie_bpe, wavelet
 from quillmill.llm._shared import word_hashes
 from quillmill.llm.components import components
 
@@ -165,6 +170,98 @@ def test_katz(docs, empty):
     assert katz.score(empty).count() == 0
 
 
+def thue_morse(n):
+    """Two words that collide under every polynomial hash modulo a power of two."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_constructed_words_do_not_collide(spark):
+    x, y = thue_morse(1024)
+    for key in (shared.FIXED_KEY, shared.new_key()):
+        assert len(set(word_hashes(pa.array([f"{x} {y} {'q' * 200_000} {'q' * 200_001}"]), False, key)[0])) == 4
+    rest = [f"r{i}" for i in range(30)]
+    texts = [" ".join([w if i % 3 == 0 else r for i, r in enumerate(rest)]) for w in (x, y)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["component_id"] for r in sorted(jaccard.jaccard_components(df).collect())] == [0, 1]
+    assert [r["n_removed"] for r in substrings.remove_repeats(df).collect()] == [0, 0]
+    assert {r["doc_id"]: r["n_known"] for r in katz.score(df).collect()}[1] == len(rest) + 1
+
+
+@pytest.mark.parametrize("operator", [substrings.remove_repeats, katz.score])
+def test_lost_answers_raise(docs, operator):
+    """A deleted answer file, or all of them, is an error and not an answer."""
+    before = set(shared._TEMPORARY)
+    lazy = operator(docs)
+    (folder,) = (p.removeprefix("file://") for p in shared._TEMPORARY - before if "-stats" not in p and ("repeats-" in p or "grams-3" in p))
+    assert os.listdir(folder)
+    for name in os.listdir(folder):
+        os.remove(f"{folder}/{name}")
+    with pytest.raises(Exception, match="FileNotFoundError|No such file"):
+        lazy.collect()
+
+
+def test_delivered_checks_its_buckets(tmp_path):
+    path = f"{tmp_path}/{7:016x}"
+    exchange.write_file(path, struct.pack("<iQ", 3, 2) + b"ab")
+    assert exchange.delivered(str(tmp_path), 7, [3]) == {3: b"ab"} and exchange.delivered(str(tmp_path), 8, []) == {}
+    with pytest.raises(RuntimeError):
+        exchange.delivered(str(tmp_path), 7, [3, 4])
+
+
+def katz_brute(rows, order):
+    """Dictionaries of counts and plain recursion; gives a scorer, the vocabulary and the contexts."""
+    train = [[*words(r[1], True), "</s>"] for r in rows if zlib.crc32(str(r[0]).encode()) % 5 != 1]
+    flat = [w for t in train for w in t]
+    one = Counter(flat)
+    z = len(flat) + 0.5 * (len(one) + 1)
+    counts = {k: Counter(tuple((["<s>"] * (k - 1) + t)[i : i + k]) for t in train for i in range(len(t))) for k in range(2, order + 1)}
+    d = {k: katz.discounts([sum(v == r for v in c.values()) for r in range(1, katz.K + 2)]) for k, c in counts.items()}
+    after = {}
+    for c in counts.values():
+        for gram, n in c.items():
+            after.setdefault(gram[:-1], {})[gram[-1]] = n
+
+    @functools.cache
+    def parts(h):
+        follow, dd = after[h], d[len(h) + 1]
+        total = sum(follow.values())
+        below = total + all(r > katz.K for r in follow.values())
+        seen = {w: (dd[r - 1] if r <= katz.K else 1) * r / below for w, r in follow.items()}
+        return seen, (1 - sum(seen.values())) / (1 - sum(p(w, h[1:]) for w in seen))
+
+    def p(w, h):
+        if not h:
+            return (one[w] + 0.5) / z
+        if h not in after:
+            return p(w, h[1:])
+        seen, alpha = parts(h)
+        return seen[w] if w in seen else alpha * p(w, h[1:])
+
+    return p, one, list(after)
+
+
+@pytest.mark.parametrize("order, hot", [(2, 4096), (3, 4096), (3, 1)])
+def test_katz_scores(spark, monkeypatch, order, hot):
+    """Every score equals the brute force, whether contexts are dealt by gram or not, and every context sums to 1."""
+    some = np.random.default_rng(order)
+    vocab = [f"v{i}" for i in range(30)]
+    rows = [(i, " ".join(some.choice(vocab, some.integers(0, 60), p=np.arange(30, 0, -1) / 465))) for i in range(60)] + [(100, "Zq zq zq"), (101, None), (6, "v1 v1")]
+    p, one, contexts = katz_brute(rows, order)
+    for h in contexts:
+        assert abs(sum(p(w, h) for w in one) + p("never met", h) - 1) < 1e-9
+    if hot == 1:
+        monkeypatch.setattr(katz, "HOT", 10**9)
+        monkeypatch.setattr(katz, "LEAST_HOT", 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], round(r["score"], 7)) for r in katz.score(df, order=order).collect())
+    want = Counter()
+    for i, text in rows:
+        t = ["<s>"] * (order - 1) + [*words(text, True), "</s>"]
+        want[i, round(sum(np.log10(p(t[j], tuple(t[j - order + 1 : j]))) for j in range(order - 1, len(t))), 7)] += 1
+    assert got == want
+
+
 def brute_components(rows):
     sets = {}
     for r in rows:
@@ -210,6 +307,57 @@ def test_substrings(docs, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("window", [1, 3, 13])
+def test_maximal_repeats(spark, window):
+    """Spans of maximal repeats against brute force, over several blocks' worth of groups, for shallow and deep trees."""
+    some = np.random.default_rng(window)
+    vocab = ["a", "ab", "b", "\x01", "é", "x" * 300, *(f"w{i}" for i in range(40))]
+    passages = [list(some.choice(vocab, 40)) for _ in range(4)]
+    rows = []
+    for i in range(40):
+        w = []
+        for _ in range(some.integers(0, 4)):
+            w += [*some.choice(vocab, some.integers(0, 20)), *passages[some.integers(4)][some.integers(0, 20) :]]
+        rows.append((int(some.integers(0, 30)) if i % 9 else None, "  ".join(w)))
+    first = {}
+    key = lambda i: (i is None, i or 0)
+    for i, text in rows:
+        w = words(text)
+        for j in range(len(w) - window + 1):
+            first[tuple(w[j : j + window])] = min(first.get(tuple(w[j : j + window]), (True, 1)), key(i))
+    want = []
+    for i, text in rows:
+        w, spans = words(text), []
+        for j in sorted({j + k for j in range(len(w) - window + 1) if first[tuple(w[j : j + window])] < key(i) for k in range(window)}):
+            if spans and spans[-1][0] + spans[-1][1] == j:
+                spans[-1][1] += 1
+            else:
+                spans.append([j, 1])
+        want.append((i, text, tuple(map(tuple, spans))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = substrings.remove_repeats(df, window=window, spans_out=True, texts_out=True).collect()
+    assert Counter((r["doc_id"], r["n_words"], tuple(map(tuple, r["repeats"]))) for r in got) == Counter((i, len(words(t)), s) for i, t, s in want)
+    assert any(s for _, _, s in want)
+
+
+def test_subtree_parts():
+    """Separators are prefixes of whole words in order, and groups take every suffix once, equal ones together."""
+    some = np.random.default_rng(3)
+    suffixes = sorted(b" ".join(some.choice([b"a", b"b", b"c", b"\x02"], 4)) for _ in range(500))
+    cuts = substrings.separators(suffixes, 40)
+    assert cuts == sorted(set(cuts)) and len({c.count(b" ") for c in cuts}) > 1
+    assert [x for _, a, b in substrings.group_of(suffixes, cuts) for x in suffixes[a:b]] == suffixes
+    assert substrings.group_of(suffixes[:5], cuts) == [(i, a, b) for i, a, b in substrings.group_of(suffixes[:5], cuts) if b > a]
+    of = {x: g for g, a, b in substrings.group_of(suffixes, cuts) for x in suffixes[a:b]}
+    assert all(of[x] == g for g, a, b in substrings.group_of(suffixes[::7], cuts) for x in suffixes[::7][a:b])
+    parts = [(suffixes[i::3], some.integers(0, 99, len(suffixes[i::3])).astype(np.uint64)) for i in range(3)]
+    least = {}
+    for names, owners in parts:
+        for x, o in zip(names, owners):
+            least[x] = min(least.get(x, 10**9), o)
+    assert [list(t) for t in substrings.deep_nodes(parts)] == [[least[x] for x in names] for names, _ in parts]
+
+
 def test_licenses(docs, empty):
     got = {r["doc_id"]: r for r in licenses.scan_licenses(docs).collect()}
     last = got[len(ROWS) - 1]
