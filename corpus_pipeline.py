@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from quillmill.llm import jaccard, mixing, substrings, toxicity, trie_bpe
-from quillmill.llm._shared import numbered, stage
+from quillmill.llm._shared import fresh, numbered, stage
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -36,8 +36,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of repeated passages; a text that loses nothing keeps its white space."""
-    kept = substrings.without_repeats(docs, removed_col="__removed")
-    n_chars = F.when(F.col("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    removed = fresh("removed", docs.columns)
+    kept = substrings.without_repeats(docs, removed_col=removed)
+    n_chars = F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.select(*[n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
