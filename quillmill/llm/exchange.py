@@ -44,34 +44,40 @@ ROWS = "kind int, block long, bucket int, payload binary, a long, b long"
 # ------------------------------------------------------------------ packing
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Integer arrays as zstd of their byte planes, each less its minimum; sorted ones as steps."""
-    out = []
+    """Integer arrays as one zstd of their byte planes, each less its minimum; sorted ones as steps."""
+    heads, planes = [], []
     for array in arrays:
-        x = np.ascontiguousarray(array).astype(np.uint64) if array.dtype != np.uint64 else array
-        steps = len(x) > 1 and bool((x[1:] >= x[:-1]).all())
-        low = np.uint64(0)
+        x = array if array.dtype == np.uint64 else array.astype(np.uint64)
+        steps, low = False, 0
         if len(x):
-            low = x[0] if steps else x.min()
-            x = np.concatenate([[np.uint64(0)], np.diff(x)]) if steps else x - low
+            steps = len(x) > 1 and bool((x[1:] >= x[:-1]).all())
+            low = int(x[0] if steps else x.min())
+            if steps:
+                x = np.diff(x, prepend=x[:1])
+            elif low:
+                x = x - np.uint64(low)
         width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
-        planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width]).tobytes()
-        data = zstandard.ZstdCompressor(level=1).compress(planes) if width else b""
-        out.append(struct.pack("<QQBBQ", len(x), int(low), steps, width, len(data)) + data)
-    return b"".join(out)
+        heads.append(struct.pack("<QQBB", len(x), low, steps, width))
+        planes += [x.astype(np.uint8) if i == 0 else (x >> np.uint64(8 * i)).astype(np.uint8) for i in range(width)]
+    data = zstandard.ZstdCompressor(level=1).compress(np.concatenate(planes).tobytes()) if planes else b""
+    return b"".join([bytes([len(arrays)]), *heads, data])
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
     """The arrays of ``pack``, as uint64."""
-    at, out = 0, []
-    while at < len(blob):
-        n, low, steps, width, size = struct.unpack_from("<QQBBQ", blob, at)
-        at += 26
-        x = np.zeros((n, 8), np.uint8)
-        if width:
-            x[:, :width] = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[at : at + size]), np.uint8).reshape(width, n).T
-        at += size
-        x = x.reshape(-1).view("<u8").astype(np.uint64)
-        out.append((np.cumsum(x, dtype=np.uint64) if steps else x) + np.uint64(low))
+    at, out, heads = 1 + 18 * blob[0], [], [struct.unpack_from("<QQBB", blob, 1 + 18 * i) for i in range(blob[0])]
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[at:]), np.uint8) if at < len(blob) else np.zeros(0, np.uint8)
+    at = 0
+    for n, low, steps, width in heads:
+        x = data[at : at + n].astype(np.uint64) if width else np.zeros(n, np.uint64)
+        for i in range(1, width):
+            x |= data[at + i * n : at + (i + 1) * n].astype(np.uint64) << np.uint64(8 * i)
+        at += n * width
+        if steps:
+            np.cumsum(x, out=x)
+        if low:
+            x += np.uint64(low)
+        out.append(x)
     return out
 
 

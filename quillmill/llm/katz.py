@@ -10,7 +10,8 @@ one sum to 1; where nothing after h was discounted, one count more is set aside
 the unseen.  Before a text stand two marks of its beginning; its end is a word.
 
 Words, pairs and triples are counted over all training texts by hash buckets
-(``exchange``), one exchange an order: a block sends the distinct grams it holds, with
+(``exchange``), one exchange an order.  The first pass keeps the text as words' numbers,
+a file for each block, which the later passes read.  A block sends the distinct grams it holds, with
 their counts and those of the next shorter gram; a bucket, which holds all that
 follows a context, adds them up and answers counts, and what the weight of a context
 with an unseen word is made of, in whole numbers.  The grams of very frequent contexts
@@ -29,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import mix64, new_key, word_hashes
-from .exchange import ROWS, answer, ask, blocks, bucket_of, deliver, delivered, in_blocks, pack, row_batch, runs_of, text_buckets, unpack
+from ._shared import mix64, new_key, read_file, release, temporary_path, trim, word_hashes, write_file
+from .exchange import ROWS, answer, ask, bucket_of, deliver, delivered, in_blocks, pack, row_batch, runs_of, text_buckets, unpack
 
 ORDER = 3
 #: Counts up to so many are discounted.
@@ -38,6 +39,8 @@ K = 5
 HELD_OUT, OF = 1, 5
 #: Contexts more frequent than one token in so many (and than so many times) are dealt by gram: at most so many, whatever the input.
 HOT, LEAST_HOT = 4096, 1000
+#: Buckets for each that ``exchange`` would have: grams of three words take more room.
+SPLIT = 2
 _END = np.uint64(0x6A09E667F3BCC909)  # the end of a text, a word of its own
 _BEGIN = 1  # id of the beginning as a context; words' ids start at 2
 _WORD = np.uint64(0xFFFFFFFF)
@@ -50,7 +53,7 @@ def held_out(ids: list) -> np.ndarray:
 
 
 def _stream(ids: pa.Array, texts: pa.Array, key: int):
-    """Distinct words of a block sorted, each token's place among them, each text's first token, and held-out marks."""
+    """Distinct words of a block sorted, each token's place among them, each text's first token (n+1 values), and held-out marks."""
     h, first = word_hashes(texts, lower=True, key=key)
     count = len(texts)
     ends = first[1:] + np.arange(count)
@@ -95,67 +98,95 @@ def sums_of(where: np.ndarray, n: int, seen: np.ndarray, lower: np.ndarray) -> n
 
 
 class Model:
-    """What the driver knows after each order: sums, folders, discounts and at most ``HOT`` contexts' sums."""
+    """What the driver knows after each order: sums, folders, discounts and at most ``HOT`` contexts' sums.
+
+    ``listed`` names the blocks whose tokens are saved in the folder ``blocks``.
+    """
 
     def __init__(self, n: int, key: int):
         self.n, self.key = n, key
         self.total = self.distinct = self.texts = 0
         self.folders, self.d, self.hot = {}, {}, {}
-        self.limit = 0
+        self.limit, self.blocks, self.listed = 0, "", None
+
+    def __getstate__(self):  # tasks don't need the table
+        return {**self.__dict__, "listed": None}
 
     @property
     def z(self) -> float:
         return self.total + 0.5 * (self.distinct + 1)
 
 
+def _by_digits(order: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """``order`` sorted stably by ``key[order]``, 16 bits at a time, which numpy sorts by radix."""
+    for shift in range(0, int(key.max(initial=0)).bit_length(), 16):
+        order = order[np.argsort((key[order] >> shift).astype(np.uint16), kind="stable")]
+    return order
+
+
 class Grams:
     """The distinct grams of one order in a block, by context, then word; and where they are asked."""
 
-    def __init__(self, model: Model, order: int, left: np.ndarray, word: np.ndarray, context_key, context_count, lower: np.ndarray):
-        """``left``: for each token a number of its context, in the order of ``context_key`` of these numbers."""
-        code, index, self.at = np.unique((left << _32) | word, return_index=True, return_inverse=True)
-        lefts, self.of = np.unique(code >> _32, return_inverse=True)
-        self.order, self.word, self.lower = order, code & _WORD, lower[index].astype(np.int64)
-        self.context, self.count = context_key(lefts), context_count(lefts).astype(np.int64)
+    def __init__(self, model: Model, order: int, block: Block, left: np.ndarray, keys: np.ndarray, counts: np.ndarray, shorter: np.ndarray, lower: np.ndarray):
+        """``left``: for each token the number of its context; ``keys`` and ``counts``: what contexts of these numbers are called, ascending, and how often they were seen.
+
+        ``shorter``: each token's place among the shorter grams; ``lower``: how often these were seen.
+        """
+        by = _by_digits(block.by_word, left)
+        l, w = left[by], block.place[by]
+        other = np.ones(len(by), bool)
+        other[1:] = l[1:] != l[:-1]
+        new = other.copy()
+        new[1:] |= w[1:] != w[:-1]
+        self.at = np.empty(len(by), np.int32)
+        self.at[by] = np.cumsum(new, dtype=np.int32) - 1
+        self.order, self.word, self.shorter = order, block.ids[w[new]], shorter[by[new]]
+        self.lower = lower[self.shorter]
+        self.of = np.cumsum(other[new], dtype=np.int32) - 1
+        self.context, self.count = keys[l[other]], counts[l[other]]
         self.hot = self.count > model.limit
         own = bucket_of(mix64(self.context), model.n)[self.of]
         if self.hot.any():
-            salted = model.n + bucket_of(mix64(self.context[self.of] * np.uint64(0x9E3779B97F4A7C15) + self.word), model.n)
-            own = np.where(self.hot[self.of], salted, own)
-        self.by = np.argsort(own, kind="stable")
+            some = np.flatnonzero(self.hot[self.of])
+            own[some] = model.n + bucket_of(mix64(self.context[self.of[some]] * np.uint64(0x9E3779B97F4A7C15) + self.word[some]), model.n)
+        self.by = _by_digits(np.arange(len(own)), own)
         self.runs = list(runs_of(own[self.by]))
 
     def ask(self, block: int, trained: np.ndarray):
-        seen = np.bincount(self.at[trained], minlength=len(self.word)).astype(np.uint64)
+        seen = np.bincount(self.at[trained], minlength=len(self.word))[self.by]
+        context, word, lower = self.context[self.of[self.by]], self.word[self.by], self.lower[self.by]
         for i, a, b in self.runs:
-            o = self.by[a:b]
-            yield 0, block, i, pack(self.context[self.of[o]], self.word[o], seen[o], self.lower[o].astype(np.uint64)), 0, 0
+            yield 0, block, i, pack(context[a:b], word[a:b], seen[a:b], lower[a:b]), 0, 0
 
-    def hear(self, model: Model, block: int, shorter: Grams | None):
+    def hear(self, model: Model, block: int, shorter: "Grams | None"):
         """Sets each gram's training count ``seen``, and each context's ``below`` and ``alpha``."""
         told = delivered(model.folders[self.order], block, [i for i, _, _ in self.runs])
-        self.seen = np.zeros(len(self.word), np.int64)
-        few, sums, asked = np.zeros(len(self.context), bool), np.zeros((SUMS, len(self.context)), np.int64), np.zeros(len(self.context), bool)
+        marks, of, n = np.zeros(len(self.word), np.uint64), self.of[self.by], len(self.context)
+        known = self.count > 0
+        few, sums, asked = np.zeros(n, bool), np.zeros((SUMS, n), np.int64), np.zeros(n, bool)
         for i, a, b in self.runs:
-            o = self.by[a:b]
-            marks, *some = unpack(told[i])
+            marks[a:b], *some = unpack(told[i])
             if i >= model.n:
-                self.seen[o] = marks
+                marks[a:b] <<= np.uint64(1)
                 continue
-            self.seen[o] = marks >> np.uint64(1)
-            few[self.of[o]] = marks & np.uint64(1)
-            new = np.unique(self.of[o[(self.seen[o] == 0) & (self.count[self.of[o]] > 0)]])
-            sums[:, new], asked[new] = np.array(some).reshape(SUMS, -1), True
+            new = of[a:b][marks[a:b] < 2]
+            new = new[known[new]]
+            if len(new):
+                new = new[np.concatenate([[True], new[1:] != new[:-1]])]
+                sums[:, new], asked[new] = np.array(some).reshape(SUMS, -1), True
+        few[of] = marks & np.uint64(1)
+        self.seen = np.empty(len(self.word), np.int64)
+        self.seen[self.by] = marks >> np.uint64(1)
         if self.hot.any():
             contexts, totals = model.hot[self.order]
             sums[:, self.hot] = totals[:, np.searchsorted(contexts, self.context[self.hot])]
             few[self.hot], asked[self.hot] = sums[:K, self.hot].any(0), True
         # A context of which nothing was discounted sets one count aside; one never seen leaves all to the shorter model.
-        self.below = np.where(self.count > 0, self.count + ~few, 1)
+        self.below = np.where(known, self.count + ~few, 1)
         self.alpha = np.ones(len(self.context))
         self.alpha[asked] = self._alpha(model, asked, sums[:, asked], shorter)
 
-    def _alpha(self, model: Model, which: np.ndarray, sums: np.ndarray, shorter: Grams | None) -> np.ndarray:
+    def _alpha(self, model: Model, which: np.ndarray, sums: np.ndarray, shorter: "Grams | None") -> np.ndarray:
         r = np.arange(1, K + 1)[:, None]
         d = model.d[self.order]
         free = (sums[:K] * r * (1 - d[:, None])).sum(0) + (self.below[which] - self.count[which])
@@ -167,43 +198,56 @@ class Grams:
         return free / self.below[which] / (1 - lower)
 
     def log_probability(self, model: Model, shorter: np.ndarray) -> np.ndarray:
-        """log10 P of each token, from that of the shorter grams."""
+        """log10 P of each gram's last word, from that of the shorter grams."""
         d = np.concatenate([[1.0], model.d[self.order], [1.0]])[np.minimum(self.seen, K + 1)]
         with np.errstate(divide="ignore"):
             own = np.log10(d * self.seen / self.below[self.of])
-        return np.where(self.seen[self.at] > 0, own[self.at], np.log10(self.alpha)[self.of][self.at] + shorter)
+        return np.where(self.seen > 0, own, np.log10(self.alpha)[self.of] + shorter[self.shorter])
 
 
 class Block:
-    """A block's tokens, its words' counts and ids, and its grams up to some order as far as they were answered."""
-
-    def __init__(self, model: Model, block: int, ids: pa.Array, texts: pa.Array, order: int):
-        """Grams up to ``order``; those below it hear their answers."""
-        words, self.place, self.first, self.held = _stream(ids, texts, model.key)
-        self.counts, self.ids = np.zeros(len(words), np.int64), np.zeros(len(words), np.uint64)
-        runs = list(runs_of(bucket_of(words, model.n)))
-        told = delivered(model.folders[1], block, [i for i, _, _ in runs])
-        for i, a, b in runs:
-            self.counts[a:b], self.ids[a:b] = unpack(told[i])
-        self.trained = np.repeat(~self.held, np.diff(self.first))
-        word, begin = self.ids[self.place], self.first[:-1]
-        by_id = np.argsort(self.ids)
-        left = np.empty_like(word)
-        left[1:], left[begin] = word[:-1], _BEGIN
-
-        def count_of(wanted):
-            found = by_id[np.minimum(np.searchsorted(self.ids, wanted, sorter=by_id), len(by_id) - 1)]
-            return np.where(wanted == _BEGIN, model.texts, self.counts[found])
-
-        self.grams = [Grams(model, 2, left, word, lambda x: x, count_of, self.counts[self.place])]
-        while self.grams[-1].order < order:
-            before = self.grams[-1]
-            before.hear(model, block, self.grams[-2] if len(self.grams) > 1 else None)
-            left = np.empty(len(word), np.uint64)
-            left[1:], left[begin] = before.at[:-1] + 1, 0
-            keys = np.concatenate([[np.uint64(_BEGIN << 32 | _BEGIN)], before.context[before.of] << _32 | before.word])
-            seen = np.concatenate([[model.texts], before.seen])
-            self.grams.append(Grams(model, before.order + 1, left, word, lambda x: keys[x.astype(np.int64)], lambda x: seen[x.astype(np.int64)], before.seen[before.at]))
+    """A block's tokens as places among its words, by ascending id; its words' ids and counts; its documents."""
+
+    def __init__(self, docs: pa.Array, length: np.ndarray, place: np.ndarray, ids: np.ndarray, counts: np.ndarray):
+        self.docs, self.place, self.ids, self.counts = docs, place.astype(np.int32), ids, counts.astype(np.int64)
+        self.length, self.first = length.astype(np.int64), np.cumsum(length.astype(np.int64)) - length.astype(np.int64)
+        self.held = held_out(docs.to_pylist())
+        self.trained = np.repeat(~self.held, self.length)
+
+    @staticmethod
+    def save(path: str, docs: pa.Array, length: np.ndarray, place: np.ndarray, runs: list) -> None:
+        """Tokens as places among the block's words in the order of their hashes; ``runs``: those words by bucket."""
+        null, ids = np.array(docs.is_null()), docs.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        write_file(path, pack(null, ids, length, place, np.array([i for i, _, _ in runs]), np.array([b for _, _, b in runs])))
+
+    @classmethod
+    def load(cls, model: Model, block: int) -> "Block":
+        null, docs, length, place, buckets, ends = unpack(read_file(f"{model.blocks}/{block:016x}"))
+        ends = ends.astype(np.int64).tolist()
+        counts, ids, told = np.zeros(ends[-1], np.uint64), np.zeros(ends[-1], np.uint64), delivered(model.folders[1], block, buckets.tolist())
+        for i, a, b in zip(buckets.tolist(), [0, *ends], ends):
+            counts[a:b], ids[a:b] = unpack(told[i])
+        order = np.argsort(ids)
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        return cls(pa.array(docs.view(np.int64), mask=null.astype(bool)), length, rank[place.astype(np.int32)], ids[order], counts[order])
+
+    def grams(self, model: Model, block: int, order: int) -> list[Grams]:
+        """Grams of two words up to ``order``; all but the last have heard their answers."""
+        self.by_word = _by_digits(np.arange(len(self.place)), self.place)
+        left = np.empty(len(self.place), np.int32)
+        # Context 0 is the text's beginning; the others follow in the order of words or shorter grams.
+        left[1:], left[self.first] = self.place[:-1] + 1, 0
+        keys, counts, shorter, lower, out = np.concatenate([[np.uint64(_BEGIN)], self.ids]), np.concatenate([[model.texts], self.counts]), self.place, self.counts, []
+        for k in range(2, order + 1):
+            out.append(Grams(model, k, self, left, keys, counts, shorter, lower))
+            if k < order:
+                now = out[-1]
+                now.hear(model, block, out[-2] if k > 2 else None)
+                left[1:], left[self.first] = now.at[:-1] + 1, 0
+                keys = np.concatenate([[np.uint64(_BEGIN << 32 | _BEGIN)], now.context[now.of] << _32 | now.word])
+                counts, shorter, lower = np.concatenate([[model.texts], now.seen]), now.at, now.seen
+        return out
 
 
 def _merge_grams(model: Model, order: int):
@@ -211,17 +255,19 @@ def _merge_grams(model: Model, order: int):
         """Adds up the grams of the bucket's contexts and answers every block."""
         parts = [unpack(r[3]) for r in rows]
         context, word, seen, lower = (np.concatenate([x[i] for x in parts]) for i in range(4))
-        by = np.lexsort((word, context))
-        c, w = context[by], word[by]
-        new = np.ones(len(c), bool)
-        new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
+        contexts, where = np.unique(context, return_inverse=True)
+        code = where.astype(np.uint64) << _32 | word
+        by = np.argsort(code)
+        code = code[by]
+        new = np.ones(len(code), bool)
+        new[1:] = code[1:] != code[:-1]
         at = np.flatnonzero(new)
-        place = np.empty(len(c), np.int64)
+        place = np.empty(len(code), np.int64)
         place[by] = np.cumsum(new) - 1
-        total = np.add.reduceat(seen[by].astype(np.int64), at)
-        contexts, where = np.unique(c[at], return_inverse=True)
+        total, lower = np.add.reduceat(seen[by].astype(np.int64), at), lower[by[at]].astype(np.int64)
+        where = (code[at] >> _32).astype(np.int64)
         some = total > 0
-        sums = sums_of(where[some], len(contexts), total[some], lower[by][at][some].astype(np.int64))
+        sums = sums_of(where[some], len(contexts), total[some], lower[some])
         hot = bucket >= model.n
         few, followed = sums[:K].any(0), sums[-1] > 0
         out = [(3, -1, bucket, b"", r, int(sums[r - 1].sum())) for r in range(1, K + 1)]
@@ -267,15 +313,18 @@ def _added(blobs: list[bytes]) -> list[np.ndarray]:
 
 def _fit(source: DataFrame, order: int) -> Model:
     """Counts words, then grams order by order; after each, its answers lie in the shared folder."""
-    n, _ = text_buckets(source, "text")
+    n = SPLIT * text_buckets(source, "text")[0]
     model = Model(n, new_key())
+    model.blocks = temporary_path(source.sparkSession, "tokens")
 
     def ask_words(block, ids, texts):
         words, place, first, held = _stream(ids, texts, model.key)
         trained = np.repeat(~held, np.diff(first))
         counts = np.bincount(place[trained], minlength=len(words)).astype(np.uint64)
-        rows = [(0, block, i, pack(words[a:b], counts[a:b]), 0, 0) for i, a, b in runs_of(bucket_of(words, n))]
-        return [*rows, (2, -1, block % n, b"", 0, int((~held).sum()))]
+        runs = list(runs_of(bucket_of(words, n)))
+        Block.save(f"{model.blocks}/{block:016x}", ids, np.diff(first), place, runs)
+        rows = [(0, block, i, pack(words[a:b], counts[a:b]), 0, 0) for i, a, b in runs]
+        return [*rows, (2, -1, block % n, b"", block, int((~held).sum()))]
 
     def merge_words(bucket, rows):
         out = [r for r in rows if r[0] == 2]
@@ -300,23 +349,38 @@ def _fit(source: DataFrame, order: int) -> Model:
 
     told = deliver(answer(ask(source, ask_words), merge_words, n), "words")
     model.folders[1] = told.folder
-    sums = {r["kind"]: r for r in told.stats.groupBy("kind").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()}  # two rows
+    model.listed = told.stats.filter("kind = 2").select(F.col("a").alias("block"))
+    sums = {r["kind"]: r for r in told.stats.groupBy("kind").agg(F.sum(F.when(F.col("kind") == 1, F.col("a"))).alias("a"), F.sum("b").alias("b")).collect()}  # two rows
     if 1 in sums:
         model.total, model.distinct = int(sums[1]["a"]), int(sums[1]["b"])
     model.texts = int(sums[2]["b"]) if 2 in sums else 0
     model.limit = max(LEAST_HOT, model.total // HOT)
     for now in range(2, order + 1):
-
-        def ask_grams(block, ids, texts, now=now):
-            some = Block(model, block, ids, texts, now)
-            return list(some.grams[-1].ask(block, some.trained))
-
-        told = deliver(answer(ask(source, ask_grams), _merge_grams(model, now), n), f"grams-{now}")
+        asked = _each_block(model, ROWS, lambda block, now=now: row_batch(_asked(model, block, now)))
+        told = deliver(answer(asked, _merge_grams(model, now), n), f"grams-{now}")
         types = {r["a"]: r["s"] for r in told.stats.filter("kind = 3").groupBy("a").agg(F.sum("b").alias("s")).collect()}  # K + 1 rows
         model.folders[now], model.d[now], model.hot[now] = told.folder, discounts([types.get(r, 0) or 0 for r in range(1, K + 2)]), _hot_sums(told.stats, n)
     return model
 
 
+def _asked(model: Model, block: int, order: int) -> list[tuple]:
+    some = Block.load(model, block)
+    return list(some.grams(model, block, order)[-1].ask(block, some.trained))
+
+
+def _each_block(model: Model, schema: str, make) -> DataFrame:
+    """``make(block)`` for every saved block: what it needs of the text lies in the block's file."""
+
+    def work(batches):
+        release()
+        for batch in batches:
+            for block in batch.column("block").to_pylist():
+                yield make(block)
+                trim()
+
+    return model.listed.repartition(2 * model.n, "block").mapInArrow(work, schema)
+
+
 def score(docs: DataFrame, *, id_col="doc_id", text_col="text", order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row.
 
@@ -328,23 +392,18 @@ def score(docs: DataFrame, *, id_col="doc_id", text_col="text", order: int = ORD
     """
     if order not in (2, 3):
         raise ValueError("order is 2 or 3")
-    source = in_blocks(docs, id_col, text_col)
-    model = _fit(source, order)
-
-    def work(batches):
-        for block, ids, texts in blocks(batches):
-            some = Block(model, block, ids, texts, order)
-            some.grams[-1].hear(model, block, some.grams[-2] if order > 2 else None)
-            counts = some.counts[some.place]
-            base = np.log10((counts + 0.5) / model.z)
-            logp = base
-            for grams in some.grams:
-                logp = grams.log_probability(model, logp)
-            begin, length = some.first[:-1], np.diff(some.first)
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(some.held), pa.array(length.astype(np.int64)), pa.array(np.add.reduceat((counts > 0).astype(np.int64), begin)), pa.array(np.full(len(length), model.total, np.int64)),
-                 pa.array(np.add.reduceat(base, begin)), pa.array(np.add.reduceat(logp, begin))],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
-
-    return source.mapInArrow(work, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    model = _fit(in_blocks(docs, id_col, text_col), order)
+
+    def scored(block: int) -> pa.RecordBatch:
+        some = Block.load(model, block)
+        grams = some.grams(model, block, order)
+        grams[-1].hear(model, block, grams[-2] if order > 2 else None)
+        base = np.log10((some.counts + 0.5) / model.z)
+        logp = base
+        for one in grams:
+            logp = one.log_probability(model, logp)
+        sums = [np.add.reduceat(x, some.first) for x in ((some.counts > 0).astype(np.int64)[some.place], base[some.place], logp[grams[-1].at])]
+        arrays = [some.docs, pa.array(some.held), pa.array(some.length), pa.array(sums[0]), pa.array(np.full(len(some.length), model.total, np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return _each_block(model, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", scored)
