@@ -16,12 +16,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from ._shared import KEPT, lowered, ragged
+from ._shared import KEPT, lowered, new_key, ragged, word_hashes
 
 #: Pieces remembered by a worker; the memory is emptied when full.
 REMEMBERED = 1_000_000
 #: Pieces joined into one text for the library.
-JOINED = 200
+JOINED = 1000
 
 
 def pieces(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -41,60 +41,132 @@ def pieces(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
 
 
 class PieceEncoder:
-    """Ids of texts by way of ``encode_many``: list of pieces -> list of id sequences, or of their bytes."""
+    """Ids of texts by way of ``encode_many``: list of pieces -> list of id sequences, or of their bytes.
+
+    The ids of known pieces lie one after the other in ``pool``.  A piece is known
+    by two 64-bit hashes under keys drawn for the worker: one is looked up in
+    a sorted array, the other must agree.  Piece 0 is the empty one.
+    """
 
     def __init__(self, encode_many):
-        self.encode_many, self.known = encode_many, {"": b""}
+        self.encode_many, self.keys = encode_many, (new_key(), new_key())
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.checks, self.number = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.pool, self.ends = array("I"), array("q", [0, 0])
+
+    def _add(self, some: list[str]) -> None:
+        for at in range(0, len(some), 20_000):
+            for ids in self.encode_many(some[at : at + 20_000]):
+                self.pool.frombytes(ids) if isinstance(ids, bytes) else self.pool.extend(ids)
+                self.ends.append(len(self.pool))
+
+    def numbers(self, names: pa.Array) -> np.ndarray:
+        """The number of each of these distinct pieces; those not known yet are encoded first."""
+        (h, first), (check, _) = (word_hashes(names, False, key) for key in self.keys)
+        out, single = np.zeros(len(names), np.int64), np.diff(first) == 1
+        place = np.flatnonzero(single)
+        h, check = h[first[place]], check[first[place]]
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            hit = (self.hashes[at] == h) & (self.checks[at] == check)
+            out[place[hit]] = self.number[at[hit]]
+            new = np.flatnonzero(~hit)
+            if len(self.hashes) + len(new) > REMEMBERED:
+                self.forget()
+                new = np.arange(len(place))
+        else:
+            new = np.arange(len(place))
+        if len(new):
+            number = len(self.ends) - 1 + np.arange(len(new))
+            self._add(names.take(pa.array(place[new])).to_pylist())
+            out[place[new]] = number
+            new = new[order := np.argsort(h[new])]
+            at = np.searchsorted(self.hashes, h[new])
+            self.hashes, self.checks, self.number = np.insert(self.hashes, at, h[new]), np.insert(self.checks, at, check[new]), np.insert(self.number, at, number[order])
+        odd = [(i, x) for i, x in zip(np.flatnonzero(~single).tolist(), names.take(pa.array(np.flatnonzero(~single))).to_pylist()) if x]
+        if odd:  # white space alone, or within: not a piece of a text
+            out[[i for i, _ in odd]] = len(self.ends) - 1 + np.arange(len(odd))
+            self._add([x for _, x in odd])
+        return out
 
     def lookup(self, names: list[str]) -> list[bytes]:
-        found = list(map(self.known.get, names))
-        missing = [x for x, ids in zip(names, found) if ids is None]
-        if not missing:
-            return found
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known = {"": b""}
-            missing = [x for x in names if x]
-        for at in range(0, len(missing), 20_000):
-            some = missing[at : at + 20_000]
-            ids = self.encode_many(some)
-            self.known.update(zip(some, ids if isinstance(ids[0], bytes) else (array("I", x).tobytes() for x in ids)))
-        return [self.known[x] for x in names]
+        """The ids of each piece as little-endian bytes."""
+        at, raw, ends = self.numbers(pa.array(names, pa.large_string())), np.array(self.pool, "<u4").tobytes(), np.array(self.ends)
+        return [raw[4 * a : 4 * b] for a, b in zip(ends[at].tolist(), ends[at + 1].tolist())]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order and each text's first id (n+1 values)."""
         coded, first = pieces(texts)
-        found = self.lookup(coded.dictionary.to_pylist())
-        pool = np.frombuffer(b"".join(found), "<u4")
-        length = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        start = np.cumsum(length) - length
-        index = coded.indices.to_numpy()
-        ids = pool[ragged(start[index], length[index])] if len(index) else np.zeros(0, np.uint32)
-        ends = np.concatenate([[0], np.cumsum(length[index])]) if len(index) else np.zeros(1, np.int64)
-        return ids, ends[first]
+        number = self.numbers(coded.dictionary)
+        if not len(number):
+            return np.zeros(0, np.uint32), np.zeros(len(first), np.int64)
+        pool, ends = np.frombuffer(self.pool, np.uint32) if len(self.pool) else np.zeros(0, np.uint32), np.frombuffer(self.ends, np.int64)
+        number = number[coded.indices.to_numpy()]
+        start, length = ends[number], ends[number + 1] - ends[number]
+        ids = pool[ragged(start, length)]
+        return ids, np.concatenate([[0], np.cumsum(length)])[first]
 
 
 _encoders: dict[str, PieceEncoder] = {}
 KEPT.append(_encoders)
 
 
+def _ends_of_words(tok) -> np.ndarray | None:
+    """Whether each id ends a pre-token, if the tokenizer marks that by a suffix; else None."""
+    suffix = getattr(tok.model, "end_of_word_suffix", None)
+    if not suffix:
+        return None
+    ends = np.zeros(tok.get_vocab_size(with_added_tokens=True), bool)
+    for token, number in tok.get_vocab(with_added_tokens=False).items():
+        ends[number] = token.endswith(suffix)
+    return ends
+
+
+def _plain(piece: str) -> bool:
+    """Letters below U+0250 alone, none of which composes or falls apart: one pre-token, whatever stands beside it."""
+    return piece.isalpha() and (piece.isascii() or (max(piece) < "\u0250" and "\u0130" not in piece))
+
+
 def _joined(tok):
-    """Encodes pieces many at a time, a special token between them.
+    """Encodes pieces many at a time.
 
-    The library cuts texts at special tokens before anything else, so each
-    piece between two is encoded as if alone.  Pieces that may hold such
-    a token themselves are encoded one by one.
+    Pieces of plain letters are one pre-token each, so they are joined by
+    spaces, which the tokenizer drops, and parted by the mark that ends
+    a pre-token.  Between others goes a special token: the library cuts texts there
+    before anything else, so each piece is encoded as if alone.  Pieces
+    that may hold such a token themselves are encoded one by one.
     """
     fit = [(x.content, number) for number, x in tok.get_added_tokens_decoder().items() if x.content.startswith("<|") and not (x.normalized or x.single_word or x.lstrip or x.rstrip)]
+    word_end = _ends_of_words(tok)
+
+    def joined(some: list[str], mark: str) -> np.ndarray:
+        texts = [mark.join([*some[i : i + JOINED], ""]) for i in range(0, len(some), JOINED)]
+        return np.array(array("I", chain.from_iterable(e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False))), "<u4")
+
+    def parted(ids: np.ndarray, ends: np.ndarray, skipped: int) -> list[bytes]:
+        raw, ends = ids.tobytes(), ends.tolist()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *[x + skipped for x in ends]], ends)]
 
     def encode_many(some: list[str]) -> list:
         if not fit or any("<|" in x for x in some):
             return [e.ids for e in tok.encode_batch_fast(some, add_special_tokens=False)]
-        mark, number = fit[0]
-        texts = [mark.join([*some[i : i + JOINED], ""]) for i in range(0, len(some), JOINED)]
-        ids = np.array(array("I", chain.from_iterable(e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False))), "<u4")
-        ends = np.flatnonzero(ids == number).tolist()
-        raw = ids.tobytes()
-        return [raw[4 * a : 4 * b] for a, b in zip([0, *[x + 1 for x in ends]], ends)]
+        plain = [i for i, x in enumerate(some) if word_end is not None and _plain(x)]
+        out: list = [None] * len(some)
+        if plain:
+            ids = joined([some[i] for i in plain], " ")
+            ends = np.flatnonzero(word_end[ids]) + 1
+            if len(ends) == len(plain) and ends[-1] == len(ids):
+                for i, x in zip(plain, parted(ids, ends, 0)):
+                    out[i] = x
+        rest = [i for i, x in enumerate(out) if x is None]
+        if rest:
+            mark, number = fit[0]
+            ids = joined([some[i] for i in rest], mark)
+            for i, x in zip(rest, parted(ids, np.flatnonzero(ids == number), 1)):
+                out[i] = x
+        return out
 
     return encode_many
 

@@ -26,6 +26,8 @@ from .tokens import library_encoder
 BLOCK = 512
 #: Bytes of text for each shard, about.
 SHARD_BYTES = 8 << 20
+#: Bytes of text encoded at a time.
+SLICE_BYTES = 8 << 20
 END_ID = 1
 
 
@@ -37,6 +39,7 @@ def _narrow(levels: int) -> type:
 def build(ids: np.ndarray, doc_ids: list, lengths: np.ndarray) -> bytes:
     """The file's bytes for the ids of documents in order."""
     squeeze = zstandard.ZstdCompressor(level=1).compress
+    ids = np.asarray(ids)
     levels = max(1, int(ids.max()).bit_length()) if len(ids) else 1
     out = [b"QWM1", struct.pack("<QIB", len(ids), len(doc_ids), levels)]
 
@@ -48,7 +51,7 @@ def build(ids: np.ndarray, doc_ids: list, lengths: np.ndarray) -> bytes:
     section(np.array([d is None for d in doc_ids], "u1"))
     section(np.asarray(lengths, "<u4"))
     kind = _narrow(levels)
-    rest = np.asarray(ids).astype(kind)
+    rest = ids.astype(kind)
     for level in reversed(range(levels)):
         bit = (rest & kind(1 << level)) != 0
         packed = np.packbits(bit)
@@ -62,7 +65,11 @@ def build(ids: np.ndarray, doc_ids: list, lengths: np.ndarray) -> bytes:
 
 
 class WaveletMatrix:
-    """A shard read from its bytes: documents, token access, counts and places of a token."""
+    """A shard read from its bytes: documents, token access, counts and places of a token.
+
+    Planes stay packed; what stands before a place is the directory's count for
+    its block and the set bits of at most eight words.  Places may be arrays.
+    """
 
     def __init__(self, data: bytes):
         if data[:4] != b"QWM1":
@@ -79,55 +86,74 @@ class WaveletMatrix:
         ids, null, self.lengths = section("<i8"), section("u1"), section("<u4")
         self.doc_ids = [None if x else int(d) for d, x in zip(ids, null)]
         assert len(self.doc_ids) == docs
-        self.planes = []
+        self.planes, self.zeros = [], []
         for _ in range(self.levels):
+            words = np.zeros(-(-self.n // BLOCK) * (BLOCK // 64) + 1, ">u8")
             packed = section("u1")
-            self.planes.append((packed, section("<u4"), np.unpackbits(packed, count=self.n).astype(bool)))
-        self.zeros = [int(self.n - bits.sum()) for _, _, bits in self.planes]
-
-    def _ones(self, level: int, i: int) -> int:
-        """Ones before place i: the directory's block, then the bits within it."""
-        _, directory, bits = self.planes[level]
-        block = min(i // BLOCK, max(0, len(directory) - 1))
-        return (int(directory[block]) if len(directory) else 0) + int(bits[block * BLOCK : i].sum())
-
-    def access(self, i: int) -> int:
-        """The token at place i."""
-        value = 0
+            words.view(np.uint8)[: len(packed)] = packed
+            directory = np.append(section("<u4").astype(np.int64), 0)
+            self.planes.append((words.astype(np.uint64), directory))
+            directory[-1] = (directory[-2] if len(directory) > 1 else 0) + int(np.bitwise_count(words[-1 - BLOCK // 64 :]).sum())
+            self.zeros.append(int(self.n - directory[-1]))
+
+    def _bit(self, level: int, i: np.ndarray) -> np.ndarray:
+        return (self.planes[level][0][i >> 6] >> (63 - (i & 63)).astype(np.uint64)) & np.uint64(1) != 0
+
+    def _ones(self, level: int, i: np.ndarray) -> np.ndarray:
+        """Ones before places i: the directory's count, whole words of the block, then bits of one word."""
+        words, directory = self.planes[level]
+        word, out = i >> 6, directory[i // BLOCK].copy()
+        for j in range(1, BLOCK // 64):
+            out += np.where(j <= word % (BLOCK // 64), np.bitwise_count(words[np.maximum(word - j, 0)]), 0)
+        part = words[word] >> np.uint64(1) >> (63 - (i & 63)).astype(np.uint64)
+        return out + np.bitwise_count(part)
+
+    def access(self, i):
+        """The tokens at places ``i``."""
+        one_place, i = np.ndim(i) == 0, np.atleast_1d(np.asarray(i, np.int64))
+        value = np.zeros(len(i), np.uint32)
         for level in range(self.levels):
-            one, before = bool(self.planes[level][2][i]), self._ones(level, i)
-            value = value << 1 | one
-            i = self.zeros[level] + before if one else i - before
-        return value
+            one, before = self._bit(level, i), self._ones(level, i)
+            value = value << np.uint32(1) | one
+            i = np.where(one, self.zeros[level] + before, i - before)
+        return int(value[0]) if one_place else value
 
-    def rank(self, token: int, i: int) -> int:
-        """How often ``token`` stands before place i."""
-        if token >> self.levels:
-            return 0
-        lo = 0
+    def _down(self, token: int, *ends: np.ndarray) -> list[np.ndarray]:
+        """Places ``ends`` followed down all levels along the token's bits."""
         for level in range(self.levels):
-            one = token >> (self.levels - 1 - level) & 1
-            a, b = self._ones(level, lo), self._ones(level, i)
-            lo, i = (self.zeros[level] + a, self.zeros[level] + b) if one else (lo - a, i - b)
-        return i - lo
+            ones = [self._ones(level, x) for x in ends]
+            ends = [self.zeros[level] + o for o in ones] if token >> (self.levels - 1 - level) & 1 else [x - o for x, o in zip(ends, ones)]
+        return ends
+
+    def rank(self, token: int, i):
+        """How often ``token`` stands before places ``i``."""
+        one_place, i = np.ndim(i) == 0, np.atleast_1d(np.asarray(i, np.int64))
+        if token >> self.levels:
+            out = np.zeros(len(i), np.int64)
+        else:
+            begin, end = self._down(token, np.zeros(1, np.int64), i)
+            out = end - begin
+        return int(out[0]) if one_place else out
 
     def count(self, token: int) -> int:
         return self.rank(token, self.n)
 
+    def _nth(self, level: int, one: int, k: int) -> int:
+        """The place of bit number k (from 0) of a kind: the block by search in the directory, then within its words."""
+        words, directory = self.planes[level]
+        before = directory[:-1] if one else np.arange(len(directory) - 1) * BLOCK - directory[:-1]
+        block = int(np.searchsorted(before, k, "right")) - 1
+        bits = np.unpackbits(words[block * (BLOCK // 64) : (block + 1) * (BLOCK // 64)].astype(">u8").view(np.uint8))
+        return block * BLOCK + int(np.flatnonzero(bits == one)[k - int(before[block])])
+
     def select(self, token: int, k: int) -> int:
         """The place of occurrence k (from 0) of ``token``: down to its run, then back up."""
         if not 0 <= k < self.count(token):
             raise IndexError(k)
-        lo = 0
-        for level in range(self.levels):
-            one = token >> (self.levels - 1 - level) & 1
-            a = self._ones(level, lo)
-            lo = self.zeros[level] + a if one else lo - a
-        i = lo + k
+        i = int(self._down(token, np.zeros(1, np.int64))[0][0]) + k
         for level in reversed(range(self.levels)):
-            bits, one = self.planes[level][2], token >> (self.levels - 1 - level) & 1
-            k = i - self.zeros[level] if one else i
-            i = int(np.flatnonzero(bits if one else ~bits)[k])
+            one = token >> (self.levels - 1 - level) & 1
+            i = self._nth(level, one, i - self.zeros[level] if one else i)
         return i
 
     def tokens(self) -> np.ndarray:
@@ -135,7 +161,7 @@ class WaveletMatrix:
         kind = _narrow(self.levels)
         value = np.zeros(self.n, kind)
         for level in reversed(range(self.levels)):
-            _, _, bits = self.planes[level]
+            bits = np.unpackbits(self.planes[level][0].astype(">u8").view(np.uint8), count=self.n).view(bool)
             up = np.empty_like(value)
             up[~bits] = value[: self.zeros[level]]
             up[bits] = value[self.zeros[level] :] | kind(1 << (self.levels - 1 - level))
@@ -146,63 +172,50 @@ class WaveletMatrix:
 def write_shards(docs: DataFrame, tokenizer: str, *, id_col="doc_id", text_col="text", end_id: int = END_ID) -> DataFrame:
     """Encode all texts and write the shards; returns the staged manifest (shard, path, n_docs, n_tokens, n_bytes).
 
-    Shards are ranges of ascending id with like many rows, their number set by
-    the bytes of text; rows of one id are ordered by their ids' bytes, null ids
-    come last.  Null texts count as empty and hold only the end id.  An empty
-    table gives no shards.  Other columns are ignored.
+    Shards are ranges of ascending id with like many rows, null ids last, their
+    number set by the bytes of text.  Rows of one id, or without, are ordered and
+    parted by a digest of the text, so that a shard needn't hold all of them.
+    Null texts count as empty and hold only the end id.  An empty table gives
+    no shards.  Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     folder = shared_path(spark, "wavelet")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size = base.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
-    count = max(1, min(size["n"] or 1, -(-(size["b"] or 0) // SHARD_BYTES)))
-    cuts = base.agg(F.percentile_approx("k", [i / count for i in range(1, count)] or [0.5], 20_000).alias("c")).first()["c"] or [] if count > 1 else []
-    cuts = sorted(set(cuts))
-    shard = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("k"))) if cuts else F.lit(0)
-
-    def encode(batches):
-        coder = library_encoder(tokenizer)
-        for batch in batches:
-            texts = batch.column("text")
-            for a, b in slices(texts):
-                ids, first = coder.encode(texts.slice(a, b - a))
-                raw = ids.astype("<u4").tobytes()
-                blobs = [raw[4 * first[i] : 4 * first[i + 1]] for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([batch.column("shard").slice(a, b - a), batch.column("k").slice(a, b - a), batch.column("doc_id").slice(a, b - a), pa.array(blobs, pa.binary())], names=["shard", "k", "doc_id", "ids"])
-
-    coded = base.select(shard.cast("int").alias("shard"), "k", "doc_id", "text").mapInArrow(encode, "shard int, k long, doc_id long, ids binary")
-    parts = max(count, partitions(spark))
-
-    end = struct.pack("<I", end_id)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
+    ranged = base.repartitionByRange(max(1, -(-size // SHARD_BYTES)), *order).sortWithinPartitions(*order)
 
     def write(batches):
-        def flush(number, rows):
-            lengths = np.array([len(blob) // 4 + 1 for _, blob in rows])
-            ids = np.frombuffer(end.join([blob for _, blob in rows] + [b""]), "<u4")
-            data = build(ids, [d for d, _ in rows], lengths)
+        coder, ids, docs_, lengths, number = library_encoder(tokenizer), [], [], [], None
+        for batch in batches:
+            number, texts = batch.column("shard")[0].as_py(), batch.column("text")
+            docs_ += batch.column("doc_id").to_pylist()
+            for a, b in slices(texts, SLICE_BYTES):
+                found, first = coder.encode(texts.slice(a, b - a))
+                n = np.diff(first) + 1  # with the end id
+                every = np.full(len(found) + len(n), end_id, np.uint32)
+                inside = np.ones(len(every), bool)
+                inside[np.cumsum(n) - 1] = False
+                every[inside] = found
+                ids.append(every.astype(np.uint16) if every.max() < 1 << 16 else every)
+                lengths.append(n)
+        if docs_:
+            every, n = np.concatenate(ids), np.concatenate(lengths)
+            data = build(every, docs_, n)
             path = f"{folder}/shard-{number:08d}-{uuid.uuid4().hex}.qwm"
             write_file(path, data)
-            return pa.RecordBatch.from_pydict({"shard": pa.array([number], pa.int32()), "path": [path], "n_docs": [len(rows)], "n_tokens": [int(lengths.sum())], "n_bytes": [len(data)]})
-
-        now, rows = None, []
-        for batch in batches:
-            for number, doc, blob in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
-                if number != now and rows:
-                    yield flush(now, rows)
-                    rows = []
-                now = number
-                rows.append((doc, blob))
-        if rows:
-            yield flush(now, rows)
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([number], pa.int32()), "path": [path], "n_docs": [len(docs_)], "n_tokens": [len(every)], "n_bytes": [len(data)]})
 
-    sorted_rows = coded.repartition(parts, "shard").sortWithinPartitions("shard", "k", "ids").select("shard", "doc_id", "ids")
-    return stage(sorted_rows.mapInArrow(write, "shard int, path string, n_docs long, n_tokens long, n_bytes long"), "wavelet-manifest")
+    rows = ranged.select(F.spark_partition_id().alias("shard"), "doc_id", "text")
+    return stage(rows.mapInArrow(write, "shard int, path string, n_docs long, n_tokens long, n_bytes long"), "wavelet-manifest")
 
 
-def read_shards(manifest: DataFrame) -> DataFrame:
+def read_shards(manifest: DataFrame, *, end_id: int = END_ID) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 for every document, from the files alone.
 
-    ``start`` counts the ids of all documents before it; the shards' offsets
+    The ids at the documents' ends are looked up by ``access`` and must be the
+    end id: a shard that isn't what was written raises.  ``start`` counts the ids of all documents before it; the shards' offsets
     come from a window over the manifest, one row per shard.
     """
     spark = manifest.sparkSession
@@ -217,6 +230,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 raw = matrix.tokens().astype("<u4").tobytes()
                 ends = np.cumsum(matrix.lengths.astype(np.int64))
                 begins = ends - matrix.lengths
+                if (matrix.access(ends - 1) != end_id).any():
+                    raise ValueError(f"a document of {path} doesn't end with the end id")
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins, ends)]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(matrix.doc_ids, pa.int64()), "start": pa.array(begins + offset, pa.int64()), "n_tokens": pa.array(matrix.lengths.astype(np.int64)), "ids_crc32": pa.array(crc, pa.int64())})
 

@@ -125,9 +125,9 @@ def test_joined_pieces_encode_as_if_alone():
     from quillmill.llm import tokens
 
     tok, coder = Tokenizer.from_file(tokenizer()), tokens.library_encoder(tokenizer())
-    some = ["plain", "<", "|>", "\u0301e", "e\u0301", "a\u00a0b", "\u2003", "'s", "ΟΔΟΣ", "日本", "\U0001f600", "x" * 5000, *[f"q{i}" for i in range(3 * tokens.JOINED)]]
+    some = ["plain", "<", "|>", "\u0301e", "e\u0301", "a\u00a0b", "\u2003", "'s", "ΟΔΟΣ", "日本", "\U0001f600", "x" * 5000, "İx", "ñandú", "ßß", "ŉa", "ªº", "aǅ", "ĳ", "é", "don't", "A", "ÀÉ", *[f"q{i}" for i in range(3 * tokens.JOINED)]]
     for names in (some, [*some, "a<|endoftext|>b", "<|x"]):
-        coder.known = {"": b""}
+        coder.forget()
         assert coder.lookup(names) == [np.array(tok.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in names]
 
 
@@ -150,13 +150,32 @@ def test_capitals_compose_before_they_are_folded(spark):
     assert [r["ids_crc32"] for r in got] == [zlib.crc32(np.array([*x, 1], "<u4").tobytes()) for x in ids[:12]]
 
 
-def test_wavelet_queries():
-    ids = rng.integers(0, 50, 3000).astype(np.uint32)
-    m = wavelet.WaveletMatrix(wavelet.build(ids, [1, None], np.array([1000, 2000])))
-    assert (m.tokens() == ids).all() and m.doc_ids == [1, None]
-    for i in (0, 511, 512, 2999):
-        assert m.access(i) == ids[i] and m.rank(7, i) == (ids[:i] == 7).sum()
-    assert m.select(7, 3) == np.flatnonzero(ids == 7)[3] and m.count(99) == 0
+@pytest.mark.parametrize("n, most", [(0, 1), (1, 1), (1, 70_000), (511, 2), (512, 50), (513, 50), (3000, 50), (5000, 70_000)])
+def test_wavelet_queries(n, most):
+    """Access, rank, count and select of every place and token against the ids themselves."""
+    ids = rng.integers(0, most, n).astype(np.uint32)
+    m = wavelet.WaveletMatrix(wavelet.build(ids, [1, None], np.array([n // 2, n - n // 2])))
+    assert (m.tokens() == ids).all() and m.doc_ids == [1, None] and m.lengths.tolist() == [n // 2, n - n // 2]
+    assert (m.access(np.arange(n)) == ids).all() and all(m.access(i) == ids[i] for i in range(0, n, 97))
+    for token in {*ids[:20].tolist(), 0, 7, 99_999}:
+        places = np.flatnonzero(ids == token)
+        assert (m.rank(token, np.arange(n + 1)) == np.concatenate([[0], np.cumsum(ids == token)])).all() and m.count(token) == len(places)
+        assert all(m.select(token, k) == p for k, p in list(enumerate(places))[:: max(1, len(places) // 20)])
+        with pytest.raises(IndexError):
+            m.select(token, len(places))
+
+
+def test_wavelet_repeated_and_null_ids(spark, monkeypatch):
+    """Rows of one id, or without, are spread over shards; starts add up, and a damaged file raises."""
+    monkeypatch.setattr(wavelet, "SHARD_BYTES", 400)
+    rows = [(i, f"text number {j} of many, repeated") for j, i in enumerate([7] * 40 + [None] * 40 + [1, 2, 3])] + [(4, "x" * 5000)]
+    manifest = wavelet.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer())
+    assert manifest.count() > 4 and manifest.agg(F.sum("n_docs")).first()[0] == len(rows) and manifest.agg(F.max("n_docs")).first()[0] < 40
+    got = sorted(wavelet.read_shards(manifest).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted((i for i, _ in rows if i is not None)) + [None] * 40
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1]]
+    with pytest.raises(Exception, match="end id"):
+        wavelet.read_shards(manifest, end_id=2).collect()
 
 
 def test_katz(docs, empty):
