@@ -18,6 +18,8 @@ class Config:
     max_total_tokens: int = 2_000_000
     dimensions: int = 1536
     sweep_limit: int = 50
+    sweep_seconds: int = 60
+    health_check_seconds: float = 5.0
     tokenizer: str = "word"
     worker_id: str = "quillmill"
 

@@ -31,16 +31,45 @@ def hash_provider(dimensions: int) -> Provider:
     return embed
 
 
-def embed(df: DataFrame, provider: Provider, *, content: str = "content", out: str = "embedding") -> DataFrame:
-    """``df`` with the provider's vector of each content; one call for each Arrow batch."""
+class EmbeddingRejected(Exception):
+    """A provider's refusal of a request that no retry would mend."""
 
-    @F.arrow_udf(T.ArrayType(T.FloatType()))
+
+_OUT = pa.struct([("vector", pa.list_(pa.float32())), ("error", pa.string())])
+_RESULT = T.StructType([T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType())])
+
+
+def _code(error: Exception) -> str:
+    return "EMBEDDING_REQUEST_REJECTED" if isinstance(error, EmbeddingRejected) else type(error).__name__
+
+
+def _embedded(provider: Provider, texts: list[str]) -> list[dict]:
+    """A vector or an error for each text.  Where a call for all of them fails, each is asked for alone: one text's failure is its own."""
+    try:
+        vectors = provider(texts)
+        if len(vectors) != len(texts):
+            raise ValueError("a vector for each text was asked for")
+        return [{"vector": v, "error": None} for v in vectors]
+    except Exception as error:  # whatever a provider raises becomes data
+        if len(texts) <= 1:
+            return [{"vector": None, "error": _code(error)} for _ in texts]
+        return [x for text in texts for x in _embedded(provider, [text])]
+
+
+def embed(df: DataFrame, provider: Provider, *, content: str = "content", out: str = "embedding", error: str = "provider_error") -> DataFrame:
+    """``df`` with the provider's vector of each content, or the code of what it raised as ``error``.
+
+    One call for each Arrow batch.  ``EmbeddingRejected`` is final; other exceptions go by
+    their class's name, and are tried again by whoever reads them.
+    """
+
+    @F.arrow_udf(_RESULT)
     def vectors(texts: pa.Array) -> pa.Array:
-        return pa.array(provider(texts.to_pylist()), pa.list_(pa.float32()))
+        return pa.array(_embedded(provider, texts.to_pylist()), _OUT)
 
-    return df.withColumn(out, vectors(F.col(content)))
+    return df.withColumn("__embedded", vectors(F.col(content))).withColumn(out, F.col("__embedded.vector")).withColumn(error, F.col("__embedded.error")).drop("__embedded")
 
 
 def embed_and_validate(df: DataFrame, provider: Provider, *, dimensions: int = DEFAULT.dimensions) -> DataFrame:
-    """Vectors and ``embedding_error``."""
-    return embed(df, provider).withColumn("embedding_error", embedding_error(F.col("embedding"), dimensions))
+    """Vectors and ``embedding_error``: the provider's error, else what is wrong with the vector."""
+    return embed(df, provider).withColumn("embedding_error", F.coalesce("provider_error", embedding_error(F.col("embedding"), dimensions))).drop("provider_error")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..errors import first_error
+from ..functions.text import trim
 
 EVENT = "eventId string, eventType string, schemaVersion int, tenantId long, documentId long, documentVersionId long, occurredAt timestamp, traceId string"
 
@@ -14,7 +15,7 @@ EVENT = "eventId string, eventType string, schemaVersion int, tenantId long, doc
 def trace_id(headers: Column) -> Column:
     """The last ``traceId`` header as text; blank is null."""
     found = F.filter(headers, lambda h: h["key"] == "traceId")
-    return F.when(F.size(found) > 0, F.nullif(F.trim(F.element_at(found, -1)["value"].cast("string")), F.lit("")))
+    return F.when(F.size(found) > 0, F.nullif(trim(F.element_at(found, -1)["value"].cast("string")), F.lit("")))
 
 
 def decode_events(records: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import re
 import signal
+import struct
 import threading
 import zipfile
 import zlib
@@ -125,16 +126,25 @@ def page_blocks(pages: list[str]) -> Iterator[Block]:
 
 
 class PdfParser(Parser):
-    """Minimal PDF text: Flate or plain content streams, literal strings, pages in file order.
+    """PDF text without a library: plain and Flate streams, object streams, literal and hex strings, pages by the page tree.
 
-    Fonts with their own encodings and object streams need a library; text that
-    can't be read this way is missing.  A vertical step of over 1.5 lines
-    parts paragraphs.
+    Fonts with their own encodings need a library; their codes are read as
+    Latin-1, or as UTF-16 where they begin with its mark.  A vertical step of
+    over 1.5 lines parts paragraphs.
     """
 
     mime_types = frozenset({"application/pdf"})
-    version = "pdf-parser/1.0.0"
-    _TOKEN = re.compile(rb"\((?:\\.|[^\\()])*\)|\[(?:[^\]\\]|\\.)*\]|[-+.\d]+|T\*|[A-Za-z'\"]+", re.S)
+    version = "pdf-parser/1.1.0"
+    _TOKEN = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\[(?:[^\]\\]|\\.)*\]|[-+.\d]+|T\*|[A-Za-z'\"]+", re.S)
+    _STRING = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>", re.S)
+
+    @classmethod
+    def _string(cls, raw: bytes) -> str:
+        if raw[:1] == b"(":
+            return cls._literal(raw[1:-1])
+        digits = re.sub(rb"\s", b"", raw[1:-1])
+        data = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+        return data[2:].decode("utf-16-be", "replace") if data[:2] == b"\xfe\xff" else data.decode("latin-1")
 
     @staticmethod
     def _literal(raw: bytes) -> str:
@@ -146,7 +156,7 @@ class PdfParser(Parser):
         out, args, leading = [], [], 12.0
         for m in self._TOKEN.finditer(stream):
             word = m[0]
-            if word[:1] in b"([" or re.fullmatch(rb"[-+.\d]+", word):
+            if word[:1] in b"([<" or re.fullmatch(rb"[-+.\d]+", word):
                 args.append(word)
                 continue
             numbers = [float(a) for a in args if re.fullmatch(rb"[-+]?\d*\.?\d+", a)]
@@ -161,30 +171,62 @@ class PdfParser(Parser):
             elif word in (b"Tj", b"'", b'"', b"TJ"):
                 if word in (b"'", b'"'):
                     out.append("\n")
-                out += [self._literal(x[1:-1]) for a in args if a[:1] in b"([" for x in (re.findall(rb"\((?:\\.|[^\\()])*\)", a, re.S))]
+                out += [self._string(x) for a in args if a[:1] in b"([<" for x in self._STRING.findall(a)]
             args = []
         return "".join(out)
 
     def parse(self, content):
         if not content.startswith(b"%PDF"):
-            raise ValueError("not a PDF")
+            raise CorruptedFile("not a PDF")
         objects = {int(m[1]): m[2] for m in re.finditer(rb"(\d+)\s+\d+\s+obj(.*?)endobj", content, re.S)}
-        pages = []
-        for body in objects.values():
-            if not re.search(rb"/Type\s*/Page\b(?!s)", body):
+        for body in list(objects.values()):
+            if re.search(rb"/Type\s*/ObjStm\b", body):
+                objects.update(self._packed(body))
+        yield from page_blocks([self._page(self._content(objects, page)) for page in self._pages(objects)])
+
+    @staticmethod
+    def _stream(body: bytes) -> bytes:
+        found = re.search(rb"stream\r?\n(.*?)\r?\n?endstream", body, re.S)
+        if not found:
+            return b""
+        return zlib.decompressobj().decompress(found[1]) if b"FlateDecode" in body[: found.start()] else found[1]
+
+    def _packed(self, body: bytes) -> dict[int, bytes]:
+        """The objects of an object stream: pairs of number and place, then the objects from /First on."""
+        count, first = (re.search(rb"/" + name + rb"\s+(\d+)", body) for name in (b"N", b"First"))
+        if not count or not first:
+            raise CorruptedFile("an object stream without /N or /First")
+        data, n, at = self._stream(body), int(count[1]), int(first[1])
+        heads = [int(x) for x in data[:at].split()[: 2 * n]]
+        ends = [*heads[3::2], len(data) - at]
+        return {number: data[at + a : at + b] for number, a, b in zip(heads[::2], heads[1::2], ends)}
+
+    @staticmethod
+    def _pages(objects: dict[int, bytes]) -> list[bytes]:
+        """Pages in the order of the tree, or of the file where no catalogue leads to one."""
+        refs = lambda body, name: [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", m[1])] if (m := re.search(rb"/" + name + rb"\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)) else []
+        is_page = lambda body: re.search(rb"/Type\s*/Page\b(?!s)", body)
+        todo = [r for body in objects.values() if re.search(rb"/Type\s*/Catalog\b", body) for r in refs(body, b"Pages")][:1]
+        found, seen = [], set()
+        while todo:
+            number = todo.pop(0)
+            body = objects.get(number, b"")
+            if number in seen:
                 continue
-            refs = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)
-            text = []
-            for ref in re.findall(rb"(\d+)\s+\d+\s+R", refs[1]) if refs else []:
-                found = re.search(rb"stream\r?\n(.*?)\r?\nendstream", objects.get(int(ref), b""), re.S)
-                if found:
-                    text.append(self._page(zlib.decompress(found[1]) if b"FlateDecode" in objects[int(ref)] else found[1]))
-            pages.append("\n".join(text))
-        yield from page_blocks(pages)
+            seen.add(number)
+            if is_page(body):
+                found.append(body)
+            else:
+                todo = refs(body, b"Kids") + todo
+        return found or [body for body in objects.values() if is_page(body)]
+
+    def _content(self, objects: dict[int, bytes], page: bytes) -> bytes:
+        refs = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", page)
+        return b"\n".join(self._stream(objects.get(int(x), b"")) for x in re.findall(rb"(\d+)\s+\d+\s+R", refs[1])) if refs else b""
 
 
 class HwpParser(Parser):
-    """HWP through an extractor of the user's (bytes -> whole text); none is at hand without a library."""
+    """HWP through an extractor (bytes -> whole text), that of ``hwp`` if none is given."""
 
     mime_types = frozenset({"application/x-hwp", "application/haansofthwp"})
     version = "hwp-parser/1.0.0"
@@ -193,9 +235,9 @@ class HwpParser(Parser):
         self.extract = extract
 
     def parse(self, content):
-        if self.extract is None:
-            raise ValueError("no HWP extractor was given")
-        parts = (p.strip(_SPACE) for p in _BLANK_LINE.split(self.extract(content)))
+        from . import hwp
+
+        parts = (p.strip(_SPACE) for p in _BLANK_LINE.split((self.extract or hwp.text)(content)))
         for order, text in enumerate(p for p in parts if p):
             yield Block(order, "PARAGRAPH", text, None, [])
 
@@ -215,6 +257,14 @@ class ParserRegistry:
         return self.by_type.get(mime)
 
 
+class CorruptedFile(ValueError):
+    """The bytes aren't what their MIME type says."""
+
+
+#: What reading damaged bytes raises; anything else is the parser's failure and not the file's.
+_BAD_BYTES = (OSError, CorruptedFile, UnicodeError, EOFError, zipfile.BadZipFile, zlib.error, ElementTree.ParseError, struct.error)
+
+
 class _Timeout(Exception):
     pass
 
@@ -252,8 +302,10 @@ def parse_documents(df: DataFrame, registry: ParserRegistry | None = None, *, ke
                         found = [vars(b) for b in _guarded(parser, data or b"", timeout)]
                     except _Timeout:
                         code = "ParseTimeoutException"
-                    except Exception:  # what a parser raises on bad bytes
+                    except _BAD_BYTES:
                         code = "CORRUPTED_FILE"
+                    except Exception as error:  # a parser's own failure: its class's name, which is tried again
+                        code = type(error).__name__
                 blocks.append(found)
                 versions.append(parser.version if parser else None)
                 errors.append(code)

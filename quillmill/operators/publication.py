@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
@@ -10,7 +10,13 @@ from ..functions.text import is_blank
 
 
 def upsert_chunks(current: DataFrame, incoming: DataFrame, documents: DataFrame) -> DataFrame:
-    """``current`` with ``incoming`` in place of rows of the same (document_version_id, chunk_no); tenants come from ``documents``."""
+    """``current`` with ``incoming`` in place of rows of the same (document_version_id, chunk_no); tenants come from ``documents``.
+
+    Of incoming rows that repeat a key, one stays: that of the greatest content.
+    """
+    first = [c for c in ("content", "content_hash") if c in incoming.columns]
+    order = Window.partitionBy("document_version_id", "chunk_no").orderBy(*[F.col(c).desc_nulls_last() for c in first or ["document_id"]])
+    incoming = incoming.withColumn("__nth", F.row_number().over(order)).filter("__nth = 1").drop("__nth")
     tenants = documents.select(F.col("id").alias("document_id"), "tenant_id")
     rows = incoming.drop("tenant_id").join(tenants, "document_id")
     kept = current.join(rows.select("document_version_id", "chunk_no"), ["document_version_id", "chunk_no"], "left_anti")
@@ -33,10 +39,20 @@ def stored_count_check(chunks: DataFrame, published: DataFrame) -> DataFrame:
     return want.join(count_chunks(chunks), "document_version_id", "left").select("document_version_id", "expected", F.coalesce("n_chunks", F.lit(0)).alias("stored"), (F.coalesce("n_chunks", F.lit(0)) == F.col("expected")).alias("ok"))
 
 
-def publication_errors(published: DataFrame, batch_key: str = "batch") -> DataFrame:
-    """(batch, error_code): IllegalStateException where a batch mixes documents or versions."""
-    sums = published.groupBy(batch_key).agg(F.count_distinct("document_id").alias("d"), F.count_distinct("document_version_id").alias("v"))
-    return sums.select(batch_key, F.when((F.col("d") > 1) | (F.col("v") > 1), "IllegalStateException").alias("error_code"))
+def publication_errors(incoming: DataFrame, documents: DataFrame) -> DataFrame:
+    """(document_version_id, error_code) for every version in ``incoming``: what forbids publishing it, null if nothing does.
+
+    Before embedding, INVALID_EMBEDDING: chunk numbers must be 0..n-1, contents and hashes not blank.  Then
+    IllegalStateException: all chunks of one document, and as many would be stored as
+    are published: each number once, and a document to take the tenant from.
+    """
+    known = documents.select(F.col("id").alias("document_id"), F.lit(True).alias("__known"))
+    n = F.count("*")
+    blank = is_blank(F.col("content")) | (is_blank(F.col("content_hash")) if "content_hash" in incoming.columns else F.lit(False))
+    odd = (F.min("chunk_no") != 0) | (F.max("chunk_no") != n - 1) | (F.count_distinct("chunk_no") != n) | F.bool_or(F.coalesce(blank, F.lit(True)))
+    mixed = (F.count_distinct("document_id") > 1) | (F.count("__known") != n)
+    rows = incoming.join(known, "document_id", "left")
+    return rows.groupBy("document_version_id").agg(F.when(odd, "INVALID_EMBEDDING").when(mixed, "IllegalStateException").alias("error_code"))
 
 
 def complete_versions(versions: DataFrame, published: DataFrame, now: Column) -> DataFrame:
@@ -84,13 +100,6 @@ def sweep_candidates(documents: DataFrame, chunks: DataFrame, limit: int = DEFAU
     return left.orderBy("deleted_at", "id").limit(limit).select(F.col("id").alias("document_id"), "deleted_at")
 
 
-def check_chunks(chunks: DataFrame) -> DataFrame:
-    """(document_version_id, error_code): numbers 0..n-1 without gaps, contents and hashes not blank."""
-    n = F.count("*")
-    bad = (F.min("chunk_no") != 0) | (F.max("chunk_no") != n - 1) | (F.count_distinct("chunk_no") != n) | F.bool_or(is_blank(F.col("content")) | is_blank(F.col("content_hash")))
-    return chunks.groupBy("document_version_id").agg(F.when(bad, "INVALID_EMBEDDING").alias("error_code"))
-
-
 def embedding_error(vector: Column, dimensions: int) -> Column:
     """INVALID_EMBEDDING unless the vector has so many values, all finite."""
     odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

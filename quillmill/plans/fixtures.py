@@ -83,6 +83,13 @@ def incoming_rows(spark, sf_dir) -> DataFrame:
     return rows.withColumn("content", F.expr("concat('new ', document_id, ' ', chunk_no)"))
 
 
+def faulty_rows(spark, sf_dir) -> DataFrame:
+    """``incoming_rows`` with faults: gaps, repeated numbers, blank contents, mixed and unknown documents."""
+    document = F.expr("case when document_id % 19 = 0 and chunk_no = 1 then document_id + 1 else document_id + if(document_id % 23 = 0, 100000000, 0) end")
+    number = F.expr("cast(chunk_no + case when document_id % 7 = 0 then 1 when document_id % 11 = 0 and chunk_no = 1 then -1 else 0 end as int)")
+    return incoming_rows(spark, sf_dir).select(document.alias("document_id"), "document_version_id", number.alias("chunk_no"), F.expr("if(document_id % 13 = 0, ' ', content)").alias("content"))
+
+
 #: The same tables for DuckDB, as a WITH prefix.
 SQL = r"""
 nd AS (SELECT count(*) AS n FROM documents),

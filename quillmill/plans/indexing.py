@@ -39,7 +39,12 @@ def publish(state: State, rows: DataFrame, done: DataFrame, now: Column) -> Stat
 
 
 def run_batch(state: State, decoded: DataFrame, sources: DataFrame, now: Column, *, config: Config = DEFAULT, registry=None, provider=None, keep=lambda df, name: df) -> State:
-    """Deletions, then index requests, of one micro-batch.
+    """Deletions and index requests of one micro-batch, as if each document's records were taken in order of their offsets.
+
+    All records of a document have one key, hence one partition.  What stood
+    before the batch goes with a deletion at once; a request before the deletion in
+    the batch runs too, and then the deletion takes its chunks and ends its job if
+    that is still active; a request after the deletion stands.
 
     ``decoded``: rows of ``events.decode_events``; ``sources``: (source_object_key,
     content).  Jobs due for another try run along.  ``keep(df, name)`` may
@@ -49,7 +54,8 @@ def run_batch(state: State, decoded: DataFrame, sources: DataFrame, now: Column,
     provider = provider or embedding.hash_provider(config.dimensions)
     kind = events.route(F.col("event_type"), F.col("document_version_id"))
     routed = keep(decoded.withColumn("route", kind), "routed")
-    gone = events.validate_deletions(routed.filter("route = 'delete'"), state.documents, config=config).filter("error_code is null")
+    deletions = keep(events.validate_deletions(routed.filter("route = 'delete'"), state.documents, config=config), "deletions")
+    gone = deletions.filter("error_code is null").groupBy("document_id").agg(F.max("kafka_offset").alias("gone_at"))
     state = apply_deletions(state, gone.select("document_id"), now)
 
     wanted = routed.filter("route = 'index'").drop("route")
@@ -71,20 +77,39 @@ def run_batch(state: State, decoded: DataFrame, sources: DataFrame, now: Column,
     loaded = loaded.withColumn("error_code", code)
     parsed = keep(parsing.parse_documents(loaded.filter("error_code is null"), registry, key="source_event_id", timeout=config.parse_timeout_seconds), "parsed")
     good = parsed.filter("parse_error is null")
-    cut = chunking.chunk(good, config.strategy, key="source_event_id", max_tokens=config.max_tokens, tokenizer=config.tokenizer, **({"overlap": config.overlap} if config.strategy == "PARAGRAPH_OVERLAP" else {}))
-    guard = keep(chunking.guard_chunks(good, cut, key="source_event_id", max_chunks=config.max_chunks, max_total_tokens=config.max_total_tokens), "guard")
+    overlap = {"overlap": config.overlap} if config.strategy == "PARAGRAPH_OVERLAP" else {}
+    cut = chunking.chunk(good, config.strategy, key="source_event_id", max_tokens=config.max_tokens, tokenizer=config.tokenizer, **overlap)
+    guard = keep(chunking.guard_chunks(good, config.strategy, key="source_event_id", max_chunks=config.max_chunks, max_total_tokens=config.max_total_tokens, max_tokens=config.max_tokens, tokenizer=config.tokenizer, **overlap), "guard")
     passed = cut.join(guard.filter("error_code is null").select("source_event_id"), "source_event_id", "left_semi")
     vectors = keep(embedding.embed_and_validate(passed, provider, dimensions=config.dimensions), "vectors")
-    odd = vectors.filter("embedding_error is not null").select("source_event_id", F.col("embedding_error").alias("error_code")).distinct()
+    about = started.select("source_event_id", "document_id", "document_version_id")
+    # One error for a document: the provider's or a vector's, else what forbids publishing its version.
+    wrong = publication.publication_errors(vectors.join(about, "source_event_id"), state.documents).filter("error_code is not null")
+    wrong = about.join(wrong, "document_version_id").select("source_event_id", "error_code")
+    odd = vectors.filter("embedding_error is not null").groupBy("source_event_id").agg(F.min("embedding_error").alias("error_code"))
+    odd = odd.unionByName(wrong.join(odd.select("source_event_id"), "source_event_id", "left_anti"))
     failed = checked.filter("error_code is not null").select("source_event_id", "error_code")
     for some in (loaded.filter("error_code is not null").select("source_event_id", "error_code"), parsed.filter("parse_error is not null").select("source_event_id", F.col("parse_error").alias("error_code")), guard.filter("error_code is not null").select("source_event_id", "error_code"), odd):
         failed = failed.unionByName(some)
     failed = keep(failed.withColumn("error_message", F.col("error_code")).withColumn("permanent", is_permanent(F.col("error_code"))), "failed")
     stages = F.create_map(*[F.lit(x) for name, (_, place) in ERRORS.items() for x in (name, place)])
-    about = started.select("source_event_id", "document_id", "document_version_id")
     rows = vectors.join(failed, "source_event_id", "left_anti").join(about, "source_event_id").withColumn("embedded_at", now)
     done = rows.select("source_event_id").distinct()
     phases = failed.select("source_event_id", jobs.phase_of(stages[F.col("error_code")]).alias("p")).unionByName(done.withColumn("p", F.lit(jobs.PHASES[-1])))
     table = table.join(phases, "source_event_id", "left").withColumn("phase", F.coalesce("p", "phase")).select(*before.columns)
     table = jobs.record_failures(table, failed, now, max_attempts=config.max_attempts, base_delay=config.base_delay_seconds)
-    return publish(replace(state, jobs=table), keep(rows.drop("source_event_id", "embedding_error"), "rows"), done, now)
+    out = publish(replace(state, jobs=table), keep(rows.drop("source_event_id", "embedding_error"), "rows"), done, now)
+    # Requests that a deletion in this batch came after: it takes what they published, unless a later request published the same.
+    placed = wanted.join(gone, "document_id").select("source_event_id", "document_id", "document_version_id", (F.col("kafka_offset") < F.col("gone_at")).alias("early"))
+    ended = placed.groupBy("source_event_id", "document_id", "document_version_id").agg(F.bool_and("early").alias("early"))
+    versions = ended.groupBy("document_version_id").agg(F.bool_and("early").alias("early")).filter("early").select("document_version_id")
+    active = out.jobs.join(ended.filter("early").select("source_event_id"), "source_event_id", "left_semi")
+    failed_now = jobs.fail_jobs_for_deleted(active, gone.select("document_id"), now)
+    rest = out.jobs.join(ended.filter("early").select("source_event_id"), "source_event_id", "left_anti")
+    return replace(out, jobs=rest.unionByName(failed_now.select(*rest.columns)), chunks=out.chunks.join(versions, "document_version_id", "left_anti").select(*out.chunks.columns))
+
+
+def rejected_deletions(decoded: DataFrame, documents: DataFrame, *, config: Config = DEFAULT) -> DataFrame:
+    """Deletion events that fail their checks, with ``error_code``."""
+    kind = events.route(F.col("event_type"), F.col("document_version_id"))
+    return events.validate_deletions(decoded.filter(kind == "delete"), documents, config=config).filter("error_code is not null")

@@ -41,7 +41,7 @@ def chunk_overlap(spark, sf_dir):
 
 def chunk_guard(spark, sf_dir):
     parsed = _parsed(spark, sf_dir)
-    return chunking.guard_chunks(parsed, chunking.chunk_fixed(parsed, max_tokens=64), max_chunks=12, max_total_tokens=600)
+    return chunking.guard_chunks(parsed, max_tokens=64, max_chunks=12, max_total_tokens=600)
 
 
 def content_integrity(spark, sf_dir):
@@ -131,6 +131,15 @@ def stored_count(spark, sf_dir):
     return publication.stored_count_check(publication.delete_trailing(both, new), new)
 
 
+def publish_batch(spark, sf_dir):
+    """What forbids publishing each version of a faulty batch, and what is stored of the rest."""
+    new, documents = fx.faulty_rows(spark, sf_dir), fx.documents(spark, sf_dir)
+    errors = publication.publication_errors(new, documents)
+    fine = new.join(errors.filter("error_code is null"), "document_version_id", "left_semi")
+    stored = publication.delete_trailing(publication.upsert_chunks(fx.chunk_rows(spark, sf_dir), fine, documents), fine)
+    return errors.join(publication.count_chunks(stored), "document_version_id", "left").select("document_version_id", "error_code", F.coalesce("n_chunks", F.lit(0)).alias("stored"))
+
+
 def complete_version(spark, sf_dir):
     return publication.complete_versions(fx.versions(spark, sf_dir), fx.incoming_rows(spark, sf_dir), now()).select("id", "chunk_count", "indexed_at")
 
@@ -239,6 +248,7 @@ def _sql() -> dict[str, str]:
         "upsert_chunks": (",", _UP.rstrip(",") + " SELECT * FROM up"),
         "trailing_delete": (",", _TR + " SELECT * FROM tr"),
         "stored_count": (",", _TR + " SELECT document_version_id, e.expected, coalesce(s.stored, 0) AS stored, coalesce(s.stored, 0) = e.expected AS ok FROM (SELECT document_version_id, count(*) AS expected FROM newc GROUP BY 1) e LEFT JOIN (SELECT document_version_id, count(*) AS stored FROM tr GROUP BY 1) s USING (document_version_id)"),
+        "publish_batch": (",", _OLD + _NEW + "bad AS (SELECT CASE WHEN document_id % 19 = 0 AND chunk_no = 1 THEN document_id + 1 ELSE document_id + CASE WHEN document_id % 23 = 0 THEN 100000000 ELSE 0 END END AS document_id, document_version_id, chunk_no + CASE WHEN document_id % 7 = 0 THEN 1 WHEN document_id % 11 = 0 AND chunk_no = 1 THEN -1 ELSE 0 END AS chunk_no, CASE WHEN document_id % 13 = 0 THEN ' ' ELSE content END AS content FROM newc), err AS (SELECT document_version_id, CASE WHEN min(chunk_no) <> 0 OR max(chunk_no) <> count(*) - 1 OR count(DISTINCT chunk_no) <> count(*) OR bool_or(trim(content) = '') THEN 'INVALID_EMBEDDING' WHEN count(DISTINCT document_id) > 1 OR count(d.id) <> count(*) THEN 'IllegalStateException' END AS error_code FROM bad LEFT JOIN document d ON d.id = bad.document_id GROUP BY 1), fine AS (SELECT * FROM bad WHERE document_version_id IN (SELECT document_version_id FROM err WHERE error_code IS NULL)), every AS (SELECT document_version_id, chunk_no FROM oldc UNION SELECT document_version_id, chunk_no FROM fine), kept AS (SELECT e.* FROM every e LEFT JOIN (SELECT document_version_id, max(chunk_no) AS m FROM fine GROUP BY 1) l USING (document_version_id) WHERE m IS NULL OR chunk_no <= m) SELECT document_version_id, error_code, coalesce(n, 0) AS stored FROM err LEFT JOIN (SELECT document_version_id, count(*) AS n FROM kept GROUP BY 1) k USING (document_version_id)"),
         "complete_version": (",", _NEW.rstrip(",") + f" SELECT v.id, CAST(c.n AS INT) AS chunk_count, CASE WHEN c.n IS NOT NULL THEN {_T} END AS indexed_at FROM version v LEFT JOIN (SELECT document_version_id, document_id, count(*) AS n FROM newc GROUP BY 1, 2) c ON c.document_version_id = v.id AND c.document_id = v.document_id"),
         "promote_searchable": (",", _NEW + "cand AS (SELECT n.document_id, max(v.embedding_version_no) AS e, arg_max(v.id, v.embedding_version_no) AS c FROM (SELECT DISTINCT document_id, document_version_id FROM newc) n JOIN version v ON v.id = n.document_version_id AND v.document_id = n.document_id GROUP BY 1), st AS (SELECT d.*, c.e, c.c, d.deleted_at IS NULL AND c.c IS NOT NULL AND (d.searchable_version_id IS NULL OR s.embedding_version_no < c.e) AS hit FROM document d LEFT JOIN cand c ON c.document_id = d.id LEFT JOIN version s ON s.id = d.searchable_version_id) SELECT id, CASE WHEN hit THEN c ELSE searchable_version_id END AS searchable_version_id, CASE WHEN hit THEN greatest(latest_embedding_version_no, e) ELSE latest_embedding_version_no END AS latest_embedding_version_no FROM st"),
         "searchable_embedding_version": "SELECT d.id AS document_id, v.embedding_version_no FROM document d JOIN version v ON v.id = d.searchable_version_id",

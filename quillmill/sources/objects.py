@@ -24,8 +24,3 @@ def load_sources(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     key = F.regexp_replace(F.col("path"), "^.*?" + root.rstrip("/").replace("file:", "").replace(".", r"\.") + "/", "")
     return files.select(key.alias("source_object_key"), "content", F.col("length").alias("content_length"))
-
-
-def content_ok(content: Column, stored: Column) -> Column:
-    """Whether the stored hash is exactly that of the content."""
-    return F.concat(F.lit("sha256:"), F.sha2(content, 256)) == stored

@@ -6,27 +6,44 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Buckets of a table that is stored by the key of its rows.
+BUCKETS = 64
+
+
+def bucket_of(key):
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
 class SnapshotStore:
-    """Tables below ``root``: ``<table>/<snapshot>``, and ``_pointer`` naming each table's snapshot and the last batch.
+    """Tables below ``root``: ``<table>/<snapshot>``, and pointers ``_pointer.<number>`` naming each table's parts and the last batch.
 
-    The pointer is written aside and renamed, through Hadoop's file system, so
-    the store works wherever Spark writes.  One writer at a time.
+    A pointer is written aside and renamed to the next number through
+    Hadoop's file system, and the highest one counts: a crash at any point leaves the
+    one before.  The rename fails where the number is taken, so of two writers one
+    raises.  Tables in ``keyed`` are written by bucket of that column, and a
+    commit may replace some buckets only; those in ``appended`` only grow.
+    ``keep`` pointers, and what they name, are left for readers; older ones go.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, *, keyed: dict[str, str] | None = None, appended: tuple[str, ...] = (), keep: int = 3):
+        self.spark, self.root, self.keyed, self.appended, self.keep = spark, root.rstrip("/"), keyed or {}, appended, keep
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._io = jvm.org.apache.commons.io.IOUtils
 
-    def _pointer(self) -> dict:
-        at = self._path(f"{self.root}/_pointer")
-        if not self._fs.exists(at):
-            return {"batch": -1, "tables": {}}
-        src = self._fs.open(at)
+    def _numbers(self) -> list[int]:
+        root = self._path(self.root)
+        names = [x.getPath().getName() for x in self._fs.listStatus(root)] if self._fs.exists(root) else []
+        return sorted(int(n.split(".")[1]) for n in names if n.startswith("_pointer.") and n.split(".")[1].isdigit())
+
+    def _pointer(self, number: int | None = None) -> dict:
+        numbers = self._numbers() if number is None else [number]
+        if not numbers:
+            return {"batch": -1, "number": -1, "tables": {}}
+        src = self._fs.open(self._path(f"{self.root}/_pointer.{numbers[-1]}"))
         try:
             return json.loads(self._io.toString(src, "UTF-8"))
         finally:
@@ -36,27 +53,69 @@ class SnapshotStore:
         return self._pointer()["batch"]
 
     def read(self, table: str, schema: str) -> DataFrame:
-        name = self._pointer()["tables"].get(table)
-        return self.spark.createDataFrame([], schema) if name is None else self.spark.read.parquet(f"{self.root}/{table}/{name}")
+        """All rows of a table; a bucketed one is read from its parts."""
+        parts = self._pointer()["tables"].get(table)
+        return self.spark.createDataFrame([], schema) if not parts else self.spark.read.parquet(*[f"{self.root}/{table}/{x}" for x in parts])
 
-    def commit(self, batch: int, tables: dict[str, DataFrame]) -> bool:
-        """Write all ``tables`` and move the pointer; a batch already committed is left alone."""
+    def commit(self, batch: int | None, tables: dict[str, DataFrame], touched: dict[str, list[int]] | None = None) -> bool:
+        """Write ``tables`` and move the pointer; a batch already committed is left alone, None is work outside the stream.
+
+        ``touched`` names the only buckets of keyed tables that may differ; appended tables get the new rows.
+        """
         pointer = self._pointer()
-        if batch <= pointer["batch"]:
+        if batch is not None and batch <= pointer["batch"]:
             return False
+        number = pointer["number"] + 1
         for table, df in tables.items():
-            name = f"v{batch:012d}-{uuid.uuid4().hex[:8]}"
-            df.write.parquet(f"{self.root}/{table}/{name}")
-            pointer["tables"][table] = name
-        pointer["batch"] = batch
-        aside, at = self._path(f"{self.root}/_pointer.{uuid.uuid4().hex}"), self._path(f"{self.root}/_pointer")
+            name, parts = f"v{number:012d}-{uuid.uuid4().hex[:8]}", pointer["tables"].get(table, [])
+            target = f"{self.root}/{table}/{name}"
+            if table in self.keyed:
+                some = (touched or {}).get(table)
+                df = df.withColumn("__bucket", bucket_of(self.keyed[table]))
+                if some is not None:
+                    df = df.filter(F.col("__bucket").isin(some))
+                df.repartition("__bucket").write.partitionBy("__bucket").parquet(target)
+                kept = [x for x in parts if some is not None and int(x.rsplit("=", 1)[1]) not in some]
+                made = [x.getPath().getName() for x in self._fs.listStatus(self._path(target))]
+                pointer["tables"][table] = kept + [f"{name}/{x}" for x in made if x.startswith("__bucket=")]
+            elif table in self.appended:
+                if df.take(1):
+                    df.write.parquet(target)
+                    pointer["tables"][table] = [*parts, name]
+            else:
+                df.write.parquet(target)
+                pointer["tables"][table] = [name]
+        pointer |= {"batch": pointer["batch"] if batch is None else batch, "number": number}
+        aside, at = self._path(f"{self.root}/_aside.{uuid.uuid4().hex}"), self._path(f"{self.root}/_pointer.{number}")
         out = self._fs.create(aside)
         try:
             out.write(bytearray(json.dumps(pointer).encode()))
         finally:
             out.close()
-        if self._fs.exists(at):
-            self._fs.delete(at, False)
-        if not self._fs.rename(aside, at):
-            raise OSError("the pointer could not be moved")
+        if self._fs.exists(at) or not self._fs.rename(aside, at):
+            raise OSError(f"another writer has committed number {number}")
+        self._vacuum()
         return True
+
+    def work_folder(self) -> str:
+        """A fresh folder beside the tables for what a batch computes on its way."""
+        return f"{self.root}/_work/{uuid.uuid4().hex}"
+
+    def drop_folder(self, folder: str) -> None:
+        self._fs.delete(self._path(folder), True)
+
+    def _vacuum(self) -> None:
+        """Delete pointers but the last few, and snapshots that none of those names."""
+        numbers = self._numbers()
+        named: dict[str, set[str]] = {}
+        for n in numbers[-self.keep :]:
+            for table, parts in self._pointer(n)["tables"].items():
+                named.setdefault(table, set()).update(x.split("/")[0] for x in parts)
+        oldest = min(numbers[-self.keep :])
+        for n in numbers[: -self.keep]:
+            self._fs.delete(self._path(f"{self.root}/_pointer.{n}"), False)
+        for table, names in named.items():
+            for x in self._fs.listStatus(self._path(f"{self.root}/{table}")) if self._fs.exists(self._path(f"{self.root}/{table}")) else []:
+                name = x.getPath().getName()
+                if name not in names and int(name[1:13]) < oldest:
+                    self._fs.delete(x.getPath(), True)

@@ -3,56 +3,126 @@
 from __future__ import annotations
 
 import datetime
+import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..operators import events, jobs
-from ..plans.indexing import CHUNK, State, run_batch
-from ..sources.store import SnapshotStore
+from ..operators import events, jobs, publication
+from ..plans.indexing import CHUNK, State, apply_deletions, rejected_deletions, run_batch
+from ..sources.store import SnapshotStore, bucket_of
 
 DOCUMENT = "id long, tenant_id long, latest_upload_version_no long, latest_embedding_version_no long, searchable_version_id long, deleted_at timestamp"
 VERSION = "id long, document_id long, version_no long, embedding_version_no long, source_object_key string, mime_type string, file_size long, content_hash string, extracted_metadata string, chunk_count int, indexed_at timestamp"
 TABLES = {"documents": DOCUMENT, "versions": VERSION, "jobs": jobs.JOB, "chunks": CHUNK}
-CORRUPT = "topic string, partition int, offset long, value string, reason string"
+REJECTED = "topic string, partition int, offset long, value string, reason string, trace_id string"
+METRIC = "batch long, name string, value double"
 
 
-def batch_handler(store: SnapshotStore, sources: DataFrame, *, config: Config = DEFAULT, clock=None, **how):
+def open_store(spark, root: str) -> SnapshotStore:
+    """The store of the stream's tables: chunks by document, rejected records and metrics appended."""
+    return SnapshotStore(spark, root, keyed={"chunks": "document_id"}, appended=("rejected", "metrics"))
+
+
+class HealthGate:
+    """Holds a batch back while ``probe`` says the stores can't be reached; counts the pauses."""
+
+    def __init__(self, probe: Callable[[], bool], *, every_seconds: float = 5.0, sleep=time.sleep):
+        self.probe, self.every, self.sleep, self.paused = probe, every_seconds, sleep, 0
+
+    def wait(self) -> None:
+        held = False
+        while not self._healthy():
+            self.paused += not held
+            held = True
+            self.sleep(self.every)
+
+    def _healthy(self) -> bool:
+        try:
+            return bool(self.probe())
+        except Exception:  # a probe that fails says no
+            return False
+
+
+def _run(store: SnapshotStore, batch: int | None, decoded: DataFrame, sources: DataFrame, now, rejected: DataFrame | None, config: Config, swept: int, how: dict) -> None:
+    """One run over the store's tables: ``decoded`` events, jobs that are due, and at most ``swept`` leftovers of deletions."""
+    began = time.monotonic()
+    state = State(*[store.read(name, schema) for name, schema in TABLES.items()])
+    work = store.work_folder()
+
+    def keep(df, name):
+        """Written and read again: computed once, whoever is lost, and the plans of what follows stay short."""
+        df.write.parquet(f"{work}/{name}")
+        return store.spark.read.schema(df.schema).parquet(f"{work}/{name}")
+
+    try:
+        left = keep(publication.sweep_candidates(state.documents, state.chunks, swept), "left") if swept else None
+        if left is not None:
+            state = apply_deletions(state, left, now)
+        out = run_batch(state, decoded, sources, now, config=config, keep=keep, **how)
+        done = keep(out.jobs.select(*state.jobs.columns), "jobs")
+        # Only documents of this run's events, jobs and leftovers can have other chunks than before: a few buckets.
+        moved = done.join(state.jobs, [c for c in state.jobs.columns if c in ("source_event_id", "status", "attempt_count")], "left_anti").select("document_id").unionByName(decoded.select("document_id"))
+        moved = moved if left is None else moved.unionByName(left.select("document_id"))
+        buckets = [r[0] for r in moved.select(bucket_of("document_id")).distinct().collect()]
+        counts = done.join(state.jobs.select("source_event_id", F.col("status").alias("was")), "source_event_id", "left").filter("was is null or was <> status").groupBy("status").count().collect()
+        values = {f"jobs_{r['status'].lower()}": float(r["count"]) for r in counts} | {"batch_seconds": time.monotonic() - began}
+        metrics = store.spark.createDataFrame([(batch, k, v) for k, v in values.items()], METRIC)
+        tables = {"documents": out.documents, "versions": out.versions, "jobs": done, "chunks": out.chunks, "metrics": metrics}
+        store.commit(batch, tables if rejected is None else tables | {"rejected": rejected}, {"chunks": buckets})
+    finally:
+        store.drop_folder(work)
+
+
+def batch_handler(store: SnapshotStore, sources: DataFrame, *, config: Config = DEFAULT, clock=None, gate: HealthGate | None = None, **how):
     """A function for ``foreachBatch``.  ``clock()`` gives a batch's time, one for all its rows.
 
-    Corrupt records and unknown event types go to the table ``rejected``; a
-    failure of the store raises, and the batch is replayed from the checkpoint.
+    Corrupt records, unknown event types and refused deletions go to the table
+    ``rejected``, counts and times to ``metrics``; a failure of the store raises,
+    and the batch is replayed from the checkpoint.  ``gate`` holds batches back.
     """
-    clock = clock or (lambda: datetime.datetime.now(datetime.UTC).replace(tzinfo=None))
+    clock = clock or _utc
 
     def handle(records: DataFrame, batch: int) -> None:
+        if gate is not None:
+            gate.wait()
         if batch <= store.last_batch():
             return
-        now = F.lit(clock()).cast("timestamp")
         decoded, corrupt = events.decode_events(records)
-        state = State(*[store.read(name, schema) for name, schema in TABLES.items()])
-        kept = []
-
-        def keep(df, name):
-            df = df.persist()
-            kept.append(df)
-            return df
-
-        out = run_batch(state, decoded, sources, now, config=config, keep=keep, **how)
         odd = decoded.filter(events.route(F.col("event_type"), F.col("document_version_id")).isin("unknown", "drop"))
-        rejected = store.read("rejected", CORRUPT).unionByName(
-            corrupt.select("topic", F.col("partition").cast("int").alias("partition"), F.col("offset").cast("long").alias("offset"), F.col("value").cast("string").alias("value"), F.lit("DESERIALIZATION").alias("reason"))
-        ).unionByName(odd.select(F.col("kafka_topic").alias("topic"), F.col("kafka_partition").alias("partition"), F.col("kafka_offset").alias("offset"), F.lit(None).cast("string").alias("value"), F.when(F.col("event_type") == "INDEXING_REQUESTED", "MISSING_DOCUMENT_VERSION_ID").otherwise("UNKNOWN_EVENT_TYPE").alias("reason")))
-        try:
-            store.commit(batch, {"documents": out.documents, "versions": out.versions, "jobs": out.jobs, "chunks": out.chunks, "rejected": rejected})
-        finally:
-            for df in kept:
-                df.unpersist()
+        reason = F.when(F.col("event_type") == "INDEXING_REQUESTED", "MISSING_DOCUMENT_VERSION_ID").otherwise("UNKNOWN_EVENT_TYPE")
+        refused = rejected_deletions(decoded, store.read("documents", DOCUMENT), config=config).withColumn("reason", F.col("error_code"))
+        place = [F.col("kafka_topic").alias("topic"), F.col("kafka_partition").alias("partition"), F.col("kafka_offset").alias("offset"), F.lit(None).cast("string").alias("value"), "reason", "trace_id"]
+        bad = corrupt.select("topic", F.col("partition").cast("int").alias("partition"), F.col("offset").cast("long").alias("offset"), F.col("value").cast("string").alias("value"), F.lit("DESERIALIZATION").alias("reason"), F.lit(None).cast("string").alias("trace_id"))
+        rejected = bad.unionByName(odd.withColumn("reason", reason).select(*place)).unionByName(refused.select(*place))
+        _run(store, batch, decoded, sources, F.lit(clock()).cast("timestamp"), rejected, config, 0, how)
 
     return handle
 
 
+def maintenance(store: SnapshotStore, sources: DataFrame, *, config: Config = DEFAULT, clock=None, **how):
+    """Work that time alone calls for: jobs due for another try, and the sweep.  ``start_maintenance`` runs it on a timer, as may any scheduler."""
+    clock = clock or _utc
+
+    def tick() -> None:
+        none = events.decode_events(store.spark.createDataFrame([], "topic string, partition int, offset long, key string, value string"))[0]
+        _run(store, None, none, sources, F.lit(clock()).cast("timestamp"), None, config, config.sweep_limit, how)
+
+    return tick
+
+
+def start_maintenance(spark, tick, checkpoint: str, seconds: int = DEFAULT.sweep_seconds):
+    """``tick`` every so many seconds, as a stream of its own.  It must not run beside the event stream's batches on one store."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda _, __: tick()).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+
+
+def _utc() -> datetime.datetime:
+    return datetime.datetime.now(datetime.UTC).replace(tzinfo=None)
+
+
 def start(stream: DataFrame, checkpoint: str, handler, **trigger):
     """Run ``handler`` on the stream's micro-batches."""
     return stream.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -43,8 +43,27 @@ def test_bpe_round_trip(spark):
     assert len(got) == 1 and got[0]["content"] == text
 
 
-@pytest.mark.parametrize("counts,limits,code", [([], (3, 1000), "EMPTY_EXTRACTION"), ([1] * 4, (3, 1000), "CHUNK_LIMIT_EXCEEDED"), ([10] * 3, (3, 30), None), ([10] * 3, (3, 25), "TOTAL_TOKEN_LIMIT_EXCEEDED"), ([None] * 3, (3, 5), None)])
+@pytest.mark.parametrize("counts,limits,code", [([], (3, 1000), "EMPTY_EXTRACTION"), ([1] * 4, (3, 1000), "CHUNK_LIMIT_EXCEEDED"), ([10] * 3, (3, 30), None), ([10] * 3, (3, 25), "TOTAL_TOKEN_LIMIT_EXCEEDED"), ([0] * 3, (3, 5), None)])
 def test_guard(spark, counts, limits, code):
-    chunks = spark.createDataFrame([(1, c) for c in counts], "doc_id long, token_count int")
-    got = chunking.guard_chunks(spark.range(1, 2).select(F.col("id").alias("doc_id")), chunks, max_chunks=limits[0], max_total_tokens=limits[1]).first()
-    assert got["error_code"] == code
+    rows = [(1, [(i, "PARAGRAPH", " ".join(["w"] * c), None, []) for i, c in enumerate(counts)])]
+    parsed = spark.createDataFrame(rows, "doc_id long, blocks array<struct<order:int,type:string,text:string,page_no:int,heading_path:array<string>>>")
+    got = chunking.guard_chunks(parsed, "PARAGRAPH", max_chunks=limits[0], max_total_tokens=limits[1]).first()
+    assert (got["n_chunks"], got["total_tokens"], got["error_code"]) == (len(counts), sum(counts), code)
+    assert chunking.chunk_fixed(parsed).count() == chunking.guard_chunks(parsed).first()["n_chunks"]
+
+
+def test_bpe_ids_are_the_librarys(spark):
+    """Ids of all test texts equal those of the library read from the same rank file."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    from quillmill.operators.tokenizers import PATTERN, bpe_ids
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(path, "rb") if x.strip())}
+    coder = tiktoken.Encoding("test", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["", "plain words, don't", "日本語 ñandú", "<|endoftext|>", "\u0000\n\t  x", "a" * 3000, None]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", bpe_ids(F.col("t"), path).alias("ids")).orderBy("i").collect()
+    assert [r["ids"] for r in got] == [None if t is None else coder.encode_ordinary(t) for t in texts]

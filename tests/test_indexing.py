@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quillmill.config import Config
 from quillmill.operators import events, jobs, publication
-from quillmill.sources.store import SnapshotStore
-from quillmill.streaming.indexing import TABLES, batch_handler
+from quillmill.operators import embedding
+from quillmill.streaming.indexing import METRIC, REJECTED, TABLES, HealthGate, batch_handler, maintenance, open_store
 
 T0 = datetime.datetime(2024, 3, 1)
 
@@ -47,7 +47,7 @@ def test_promotion_is_strict(spark):
 def test_stream_batches_replay_and_delete(spark, tmp_path):
     text = b"# Title\nhello world"
     digest = "sha256:" + hashlib.sha256(text).hexdigest()
-    store = SnapshotStore(spark, str(tmp_path / "store"))
+    store = open_store(spark, str(tmp_path / "store"))
     documents = spark.createDataFrame([(1, 7, 1, 0, None, None), (2, 7, 1, 0, None, None)], TABLES["documents"])
     versions = spark.createDataFrame([(10, 1, 1, 1, "a", "text/markdown", 19, digest, None, None, None), (20, 2, 1, 1, "b", "text/plain", 19, "sha256:bad", None, None, None)], TABLES["versions"])
     store.commit(0, {"documents": documents, "versions": versions})
@@ -65,3 +65,119 @@ def test_stream_batches_replay_and_delete(spark, tmp_path):
     assert sorted(os.listdir(tmp_path / "store" / "chunks")) == before
     handle(records(spark, record(5, 1, None, "DOCUMENT_DELETED")), 2)
     assert read("chunks") == [] and len(read("jobs")) == 2
+
+
+def opened(spark, tmp_path, n=3):
+    """A store of n documents of one version each, and their sources."""
+    store = open_store(spark, str(tmp_path / "store"))
+    text = b"# Title\nhello world"
+    digest = "sha256:" + hashlib.sha256(text).hexdigest()
+    documents = spark.createDataFrame([(i, 7, 1, 0, None, None) for i in range(1, n + 1)], TABLES["documents"])
+    versions = spark.createDataFrame([(10 * i, i, 1, 1, f"k{i}", "text/markdown", 19, digest, None, None, None) for i in range(1, n + 1)], TABLES["versions"])
+    store.commit(0, {"documents": documents, "versions": versions})
+    sources = spark.createDataFrame([(f"k{i}", text) for i in range(1, n + 1)], "source_object_key string, content binary")
+    return store, sources, lambda name: store.read(name, TABLES.get(name) or {"rejected": REJECTED, "metrics": METRIC}[name]).collect()
+
+
+def test_records_of_a_document_keep_their_order(spark, tmp_path):
+    """Index then delete leaves no chunk; delete then index leaves the chunks; others aren't touched."""
+    store, sources, read = opened(spark, tmp_path)
+    handle = batch_handler(store, sources, config=Config(dimensions=8), clock=lambda: T0)
+    handle(records(spark, record(0, 1, 10), record(1, 1, None, "DOCUMENT_DELETED"), record(2, 2, None, "DOCUMENT_DELETED"), record(3, 2, 20), record(4, 3, 30), record(5, 9, None, "DOCUMENT_DELETED")), 1)
+    assert sorted(r["document_id"] for r in read("chunks")) == [2, 3]
+    assert {r["source_event_id"]: r["status"] for r in read("jobs")} == {"e0": "COMPLETED", "e3": "COMPLETED", "e4": "COMPLETED"}
+    assert [(r["offset"], r["reason"]) for r in read("rejected")] == [(5, "DOCUMENT_NOT_FOUND")]
+    assert {r["name"] for r in read("metrics")} == {"jobs_completed", "batch_seconds"}
+
+
+def test_a_provider_error_is_one_documents(spark, tmp_path):
+    """A refusal is final, another failure is tried again by time alone; neither stops the other documents."""
+    store, sources, read = opened(spark, tmp_path)
+    sources = sources.unionByName(sources.limit(0))
+    texts = {"k1": b"refuse me", "k2": b"fail me", "k3": b"fine"}
+    sources = spark.createDataFrame(list(texts.items()), "source_object_key string, content binary")
+    versions = spark.createDataFrame([(10 * i, i, 1, 1, f"k{i}", "text/plain", 9, "sha256:" + hashlib.sha256(texts[f"k{i}"]).hexdigest(), None, None, None) for i in (1, 2, 3)], TABLES["versions"])
+    store.commit(1, {"versions": versions})
+
+    def provider(some):
+        if any("refuse" in x for x in some):
+            raise embedding.EmbeddingRejected("no")
+        if any("fail" in x for x in some):
+            raise ConnectionError("later")
+        return [[1.0] * 8 for _ in some]
+
+    handle = batch_handler(store, sources, config=Config(dimensions=8), clock=lambda: T0, provider=provider)
+    handle(records(spark, record(0, 1, 10), record(1, 2, 20), record(2, 3, 30)), 2)
+    assert {r["source_event_id"]: (r["status"], r["last_error_code"]) for r in read("jobs")} == {"e0": ("FAILED", "EMBEDDING_REQUEST_REJECTED"), "e1": ("RETRY_WAIT", "ConnectionError"), "e2": ("COMPLETED", None)}
+    assert [r["document_id"] for r in read("chunks")] == [3]
+    # No record comes, but time: the waiting job runs, and a deleted document's chunks are swept.
+    gone = spark.createDataFrame([(i, 7, 1, 0, None, T0 if i == 3 else None) for i in (1, 2, 3)], TABLES["documents"])
+    store.commit(None, {"documents": gone})
+    maintenance(store, sources, config=Config(dimensions=8), clock=lambda: T0 + datetime.timedelta(hours=1), provider=lambda some: [[1.0] * 8 for _ in some])()
+    assert {r["source_event_id"]: r["status"] for r in read("jobs")} == {"e0": "FAILED", "e1": "COMPLETED", "e2": "COMPLETED"}
+    assert [r["document_id"] for r in read("chunks")] == [2] and store.last_batch() == 2
+
+
+def test_a_commit_that_breaks_off_leaves_the_last_one(spark, tmp_path, monkeypatch):
+    store, _, read = opened(spark, tmp_path)
+    rows = spark.createDataFrame([(7, 10 * i, i, 0, "c", "h", 1, None, None, None, [0.0], T0) for i in (1, 2, 3)], TABLES["chunks"])
+    store.commit(1, {"chunks": rows})
+    was = sorted(os.listdir(tmp_path / "store"))
+
+    class Broken:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            if name == "rename":
+                raise OSError("lost")
+            return getattr(self.fs, name)
+
+    fs = store._fs
+    store._fs = Broken(fs)
+    try:
+        store.commit(2, {"chunks": rows.limit(0)})
+        raise AssertionError
+    except OSError:
+        store._fs = fs
+    assert store.last_batch() == 1 and len(read("chunks")) == 3
+    assert [x for x in sorted(os.listdir(tmp_path / "store")) if not x.startswith("_aside") and not x.startswith("._aside")] == was
+    # Buckets that weren't touched stay the files they are, and old snapshots go.
+    from quillmill.sources.store import bucket_of
+
+    bucket = spark.createDataFrame([(2,)], "document_id long").select(bucket_of("document_id")).first()[0]
+    for batch in range(2, 8):
+        store.commit(batch, {"chunks": rows.filter("document_id <> 2")}, {"chunks": [bucket]})
+    assert sorted(r["document_id"] for r in read("chunks")) == [1, 3]
+    assert len([x for x in os.listdir(tmp_path / "store") if x.startswith("_pointer.")]) == 3 and len(os.listdir(tmp_path / "store" / "chunks")) <= 4
+
+
+def test_health_gate_waits():
+    answers, slept = iter([False, OSError, True, True]), []
+
+    def probe():
+        x = next(answers)
+        if x is OSError:
+            raise OSError
+        return x
+
+    gate = HealthGate(probe, sleep=slept.append)
+    gate.wait()
+    gate.wait()
+    assert slept == [5.0, 5.0] and gate.paused == 1
+
+
+def test_trace_id_header(spark):
+    """The last header wins over the payload; white space of any kind around it goes, and a blank one counts as none."""
+    value = json.dumps({"eventId": "e", "eventType": "X", "schemaVersion": 1, "tenantId": 1, "documentId": 1, "occurredAt": "2026-08-16T09:14:22Z", "traceId": "payload"})
+    rows = [("t", 0, i, "k", value, h) for i, h in enumerate([None, [], [("traceId", b"a"), ("traceId", "\u3000b\u2003".encode())], [("traceId", "\u3000".encode())], [("other", b"x")]])]
+    df = spark.createDataFrame(rows, "topic string, partition int, offset long, key string, value string, headers array<struct<key:string,value:binary>>")
+    assert [r["trace_id"] for r in events.decode_events(df)[0].orderBy("kafka_offset").collect()] == ["payload", "payload", "b", "payload", "payload"]
+
+
+def test_sources_by_key(spark, tmp_path):
+    from quillmill.sources.objects import load_sources
+
+    os.makedirs(tmp_path / "objects" / "a")
+    (tmp_path / "objects" / "a" / "x.md").write_bytes(b"hello")
+    assert [(r["source_object_key"], bytes(r["content"]), r["content_length"]) for r in load_sources(spark, str(tmp_path / "objects")).collect()] == [("a/x.md", b"hello", 5)]

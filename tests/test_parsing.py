@@ -4,6 +4,8 @@ import zlib
 
 import pytest
 
+from quillmill.operators import parsing
+
 from quillmill.operators.parsing import DocxParser, HwpParser, ParserRegistry, PdfParser, TextParser, page_blocks, parse_documents
 
 
@@ -59,3 +61,93 @@ def test_parse_documents_codes(spark):
     rows = [(1, b"hello", "text/plain"), (2, b"x", "application/octet-stream"), (3, b"x", "application/pdf"), (4, None, "text/plain")]
     got = {r["doc_id"]: r for r in parse_documents(spark.createDataFrame(rows, "doc_id long, content binary, mime_type string")).collect()}
     assert got[1]["blocks"][0]["text"] == "hello" and got[2]["parse_error"] == "UNSUPPORTED_MIME_TYPE" and got[3]["parse_error"] == "CORRUPTED_FILE" and got[4]["blocks"] == []
+
+
+def run_one(spark, parser, content, mime):
+    df = spark.createDataFrame([(1, content, mime)], "doc_id long, content binary, mime_type string")
+    return parsing.parse_documents(df, parsing.ParserRegistry([parser])).first()
+
+
+def test_failures_of_the_file_and_of_the_parser(spark):
+    """Damaged bytes are final; a parser's own failure is tried again."""
+
+    class Odd(parsing.Parser):
+        mime_types = frozenset({"x/y"})
+
+        def parse(self, content):
+            raise RuntimeError("a bug") if content == b"bug" else OSError("damaged")
+
+    assert run_one(spark, Odd(), b"bug", "x/y")["parse_error"] == "RuntimeError"
+    assert run_one(spark, Odd(), b"bytes", "x/y")["parse_error"] == "CORRUPTED_FILE"
+    for mime, parser in (("application/pdf", parsing.PdfParser()), ("application/x-hwp", parsing.HwpParser()), ("application/vnd.openxmlformats-officedocument.wordprocessingml.document", parsing.DocxParser())):
+        assert run_one(spark, parser, b"no such file", mime)["parse_error"] == "CORRUPTED_FILE"
+
+
+def test_pdf_hex_strings_tree_order_and_object_streams():
+    import zlib
+
+    inner = b"<< /Type /Page /Contents 8 0 R >>"
+    packed = b"7 0 " + inner
+    stream = zlib.compress(packed)
+    objects = [
+        b"1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj",
+        b"2 0 obj << /Type /Pages /Kids [7 0 R 4 0 R] /Count 2 >> endobj",
+        b"4 0 obj << /Type /Page /Contents [5 0 R] >> endobj",
+        b"5 0 obj << /Length 1 >> stream\nBT /F1 12 Tf (second \\(page\\)) Tj ET\nendstream endobj",
+        b"6 0 obj << /Type /ObjStm /N 1 /First 4 /Filter /FlateDecode >> stream\n" + stream + b"\nendstream endobj",
+        b"8 0 obj << >> stream\nBT <48656c6c6f> Tj [<FEFF0021> -200 ( there)] TJ ET\nendstream endobj",
+    ]
+    got = list(parsing.PdfParser().parse(b"%PDF-1.5\n" + b"\n".join(objects)))
+    assert [(b.text, b.page_no) for b in got] == [("Hello! there", 1), ("second (page)", 2)]
+
+
+def compound(streams: dict[str, bytes]) -> bytes:
+    """A compound file of 512-byte sectors, all streams in full sectors (none is small: the cutoff is 0)."""
+    import struct
+
+    sectors, fat, entries = [], [], []
+
+    def add(data):
+        first = len(sectors)
+        parts = [data[i : i + 512].ljust(512, b"\0") for i in range(0, max(len(data), 1), 512)]
+        sectors.extend(parts)
+        fat.extend([*range(first + 1, first + len(parts)), 0xFFFFFFFE])
+        return first
+
+    def entry(name, kind, left, right, child, start, size):
+        raw = (name + "\0").encode("utf-16-le")
+        return raw.ljust(64, b"\0") + struct.pack("<HBBIII", len(raw), kind, 1, left, right, child) + b"\0" * 36 + struct.pack("<IQ", start, size)
+
+    none = 0xFFFFFFFF
+    starts = {k: add(v) for k, v in streams.items()}
+    # root -> FileHeader (right: BodyText) ; BodyText -> Section0 (right: Section1 ...)
+    sections = [k for k in streams if k != "FileHeader"]
+    entries = [entry("Root Entry", 5, none, none, 1, 0xFFFFFFFE, 0), entry("FileHeader", 2, none, 2, none, starts["FileHeader"], len(streams["FileHeader"])), entry("BodyText", 1, none, none, 3, 0, 0)]
+    for i, k in enumerate(sections):
+        entries.append(entry(k, 2, none, 4 + i if i + 1 < len(sections) else none, none, starts[k], len(streams[k])))
+    directory = add(b"".join(entries))
+    at = len(sectors)
+    fat.append(0xFFFFFFFD)
+    sectors.append(struct.pack(f"<{len(fat)}I", *fat).ljust(512, b"\xff"))
+    head = bytes.fromhex("d0cf11e0a1b11ae1") + b"\0" * 16 + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + b"\0" * 6 + struct.pack("<IIIIIIIII", 0, 1, directory, 0, 0, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0)
+    return head + struct.pack("<109I", at, *[none] * 108) + b"".join(sectors)
+
+
+def test_hwp_text(spark):
+    import struct
+    import zlib
+
+    def record(text, tag=67):
+        data = text.encode("utf-16-le")
+        return struct.pack("<I", tag | len(data) << 20) + data if len(data) < 0xFFF else struct.pack("<II", tag | 0xFFF << 20, len(data)) + data
+
+    def section(*records):
+        return zlib.compressobj(wbits=-15).compress(b"") + (c := zlib.compressobj(wbits=-15)).compress(b"".join(records)) + c.flush()
+
+    control = "\x02" + "abcdefg"  # eight code units, not text
+    streams = {"FileHeader": b"HWP Document File".ljust(32, b"\0") + struct.pack("<II", 0x05000300, 1), "Section0": section(record("제목\r"), record("x", 66), record(control + "본문\t" + "1234567" + "text")), "Section1": section(record("long " * 1000))}
+    got = run_one(spark, parsing.HwpParser(), compound(streams), "application/x-hwp")
+    assert got["parse_error"] is None and [b["text"] for b in got["blocks"]] == ["제목\n본문\ttext\n" + ("long " * 1000).strip()]
+    assert run_one(spark, parsing.HwpParser(lambda data: "a\n\nb"), b"", "application/x-hwp")["blocks"][1]["text"] == "b"
+    streams["FileHeader"] = streams["FileHeader"][:36] + struct.pack("<I", 3)
+    assert run_one(spark, parsing.HwpParser(), compound(streams), "application/x-hwp")["parse_error"] == "CORRUPTED_FILE"
