@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from ._shared import KEPT, lowered, new_key, ragged, word_hashes
 
 #: Pieces remembered by a worker; the memory is emptied when full.
-REMEMBERED = 1_000_000
+REMEMBERED = 3_000_000
 #: Pieces joined into one text for the library.
 JOINED = 1000
 
