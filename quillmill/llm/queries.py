@@ -78,4 +78,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_jaccard": jaccard.ORACLE_SQL, "op8_substrings": substrings.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
+    return {"op5_jaccard": jaccard.ORACLE_SQL, "op6_licenses": licenses.ORACLE_SQL, "op8_substrings": substrings.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}

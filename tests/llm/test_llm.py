@@ -387,6 +387,43 @@ def test_licenses(docs, empty):
     assert got[0]["score"] == 0 and got[0]["first_word"] is None and licenses.scan_licenses(empty).count() == 0
 
 
+def test_licenses_whole_texts(spark):
+    """A whole licence with words put in and left out is one span; a chain of diagonals without end doesn't hide one."""
+    full = dict((label, text.split()) for text, label in licenses.NOTICES)
+    mit = full["mit-full"]
+    changed = [*mit[:30], "new", "words", *mit[30:90], *mit[92:]]
+    noise = ("is hereby granted " * 300).split()
+    rows = [(1, " ".join(mit)), (2, "(c) " + " ".join(changed).title() + "."), (3, " ".join([*noise, *full["mit-text"], *noise])), (4, " ".join(full["bsd-full"][:40])), (5, None)]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(s["start"], s["end"], s["cover"]) for s in got[1]["spans"] if s["label"] == "mit-full"] == [(0, len(mit), 1.0)]
+    (span,) = [s for s in got[2]["spans"] if s["label"] == "mit-full"]
+    assert (span["start"], span["end"]) == (1, 1 + len(changed)) and 0.9 < span["cover"] < 1
+    assert any(s["label"] == "mit-text" and s["cover"] == 1 and s["start"] <= len(noise) < s["end"] for s in got[3]["spans"])
+    assert "bsd-text" in got[4]["labels"] and "bsd-full" not in got[4]["labels"] and 0.2 < got[4]["score"] <= 1 and got[5]["n_words"] == 0
+
+
+@pytest.mark.parametrize("name", ["op5_jaccard", "op6_licenses", "op8_substrings", "op10_mixing"])
+def test_queries_equal_their_sql(spark, tmp_path, name):
+    """On a small table with copies, near copies, shared passages, licence texts, an empty and a null text."""
+    import duckdb
+
+    from quillmill.llm import queries
+
+    some = np.random.default_rng(4)
+    texts = [" ".join(some.choice(VOCAB, some.integers(0, 120))) for _ in range(40)] + [None, ""]
+    texts += [texts[3], texts[4] + " tail", " ".join([*texts[5].split(), *texts[6].split()[:30]]), "The MIT License; Apache License. GENERAL public license", " ".join(t for t, _ in licenses.NOTICES), licenses.NOTICES[1][0].upper()]
+    rows = [(i, t, "en", ["a", "b", "c"][i % 3], len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    got = queries.queries()[name](spark, str(tmp_path))
+    assert sorted(got.columns) == sorted(columns)
+    rounded = lambda row: tuple(round(x, 9) if isinstance(x, float) else x for x in row)
+    assert sorted(map(repr, map(rounded, got.select(columns).collect()))) == sorted(map(repr, map(rounded, want.fetchall())))
+
+
 def test_licenses_kelvin_sign_is_not_k(spark):
     df = spark.createDataFrame([(1, "the mit licenſe"), (2, "MIT LICENSE")], "doc_id long, text string")
     assert {r["doc_id"]: r["n_base"] for r in licenses.scan_licenses(df).collect()} == {1: 0, 2: 1}
