@@ -11,7 +11,9 @@ anchors wherever it stands, and two anchors' positions can be compared.
 The fingerprint is the sorted list of all distinct anchor hashes, eight hex
 digits each; it grows with the text.  Likeness of two is the share of common
 hashes among their union: the Jaccard index of the anchors, but for clashes of
-32-bit hashes.
+32-bit hashes.  ``placed`` likeness counts an anchor only where it stands at the
+same position in both, and ``passages`` matches two texts' anchors by position: those
+whose positions differ by one shift, and follow each other closely, are a passage.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import partitions
+from ._shared import partitions, stage
 
 K, S = 5, 2
 _SCRIPTS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
@@ -66,6 +68,34 @@ def distinct_hashes(anchors: Column) -> Column:
     return F.sort_array(F.array_distinct(low))
 
 
+def placed_hashes(anchors: Column) -> Column:
+    """Each anchor as one long: its position above its 32-bit hash."""
+    return F.transform(anchors, lambda a: F.shiftleft(a["pos"].cast("long"), 32).bitwiseOR(a["hash"].bitwiseAND(F.lit(0xFFFFFFFF))))
+
+
+def passages(pairs: DataFrame, left: str, right: str, *, key: str, k: int = K, gap: int = 8 * K, least: int = 2) -> DataFrame:
+    """(key, shift, begin, end, n_anchors) of passages that the texts ``left`` and ``right`` of each row share.
+
+    Anchors match by hash; a match's shift is the position on the right less that on
+    the left.  Matches of one shift at most ``gap`` units apart, ``least`` or
+    more of them, are a passage from unit ``begin`` to before ``end`` on the left.  An anchor that a text
+    repeats matches by its number among its like, so copies of a line aren't all paired.  Null
+    and empty texts share nothing; ``key`` names each row.  Other columns are ignored.
+    """
+    both = with_anchors(with_anchors(pairs.select(F.col(key).alias("key"), F.col(left).alias("l"), F.col(right).alias("r")), "l", "la"), "r", "ra")
+    both = stage(both.select("key", "la", "ra"), "anchors")  # else the optimizer puts their making into a filter before ``explode``, once for each place
+
+    def rows(side: str) -> DataFrame:
+        nth = Window.partitionBy("key", "hash").orderBy("pos")
+        return both.select("key", F.explode(side).alias("a")).select("key", F.col("a.hash").alias("hash"), F.col("a.pos").alias("pos")).withColumn("nth", F.row_number().over(nth))
+
+    hits = rows("la").join(rows("ra").withColumnRenamed("pos", "other"), ["key", "hash", "nth"]).withColumn("shift", F.col("other") - F.col("pos"))
+    along = Window.partitionBy("key", "shift").orderBy("pos")
+    hits = hits.withColumn("fresh", F.when(F.col("pos") - F.lag("pos").over(along) <= gap, 0).otherwise(1)).withColumn("run", F.sum("fresh").over(along))
+    found = hits.groupBy("key", "shift", "run").agg(F.greatest(F.min("pos"), F.lit(0)).alias("begin"), (F.max("pos") + k).alias("end"), F.count("*").alias("n_anchors"))
+    return found.filter(F.col("n_anchors") >= least).select(F.col("key").alias(key), "shift", "begin", "end", "n_anchors")
+
+
 def as_text(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
 
@@ -92,7 +122,7 @@ def _range_of(k: Column, bounds: list[int]) -> Column:
 
 
 def fingerprint_neighbours(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_anchors for each row.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_anchors, placed_edited, placed_next for each row.
 
     The edited text has the last floor(n/4) characters replaced by the first
     as many of the next row's text by ascending id (the last row's next is the
@@ -117,14 +147,15 @@ def fingerprint_neighbours(docs: DataFrame, *, id_col="doc_id", text_col="text")
     firsts = base.join(F.broadcast(firsts), F.col("k") == F.col("b")).select("doc_id", "k", "text", "part", F.lit(1).alias("copy"))
     order = Window.partitionBy("part").orderBy("copy", "k", "text")
     rows = placed.unionByName(firsts).withColumn("next_text", F.lead("text").over(order))
-    rows = with_anchors(rows, "text", "anchors").withColumn("fp", distinct_hashes(F.col("anchors"))).withColumn("n_anchors", F.size("anchors").cast("long")).drop("anchors")
-    rows = rows.withColumn("next_fp", F.lead("fp").over(order)).filter("copy = 0")
+    rows = with_anchors(rows, "text", "anchors").withColumn("fp", distinct_hashes(F.col("anchors"))).withColumn("n_anchors", F.size("anchors").cast("long")).withColumn("at", placed_hashes(F.col("anchors"))).drop("anchors")
+    rows = rows.withColumn("next_fp", F.lead("fp").over(order)).withColumn("next_at", F.lead("at").over(order)).filter("copy = 0")
     length = F.length("text")
     cut = F.floor(length / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), length - cut), F.substring(F.coalesce(F.col("next_text"), F.lit("")), F.lit(1), cut))
     rows = rows.withColumn("edited", edited).withColumn("n_chars", length.cast("long"))
-    rows = with_anchors(rows, "edited", "e_anchors").withColumn("e_fp", distinct_hashes(F.col("e_anchors")))
+    rows = with_anchors(rows, "edited", "e_anchors").withColumn("e_fp", distinct_hashes(F.col("e_anchors"))).withColumn("e_at", placed_hashes(F.col("e_anchors")))
     return rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("e_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("e_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "n_anchors",
+        likeness(F.col("at"), F.col("e_at")).alias("placed_edited"), likeness(F.col("at"), F.col("next_at")).alias("placed_next"),
     )

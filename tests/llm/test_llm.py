@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quillmill.llm import _shared as shared
@@ -76,6 +77,64 @@ def test_fingerprints(docs, empty):
     assert fingerprints.fingerprint_neighbours(empty).count() == 0
 
 
+def brute_anchors(text):
+    """{position: hash} of the closed syncmers of a text, straight from the definition."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def chain(*values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest(struct.pack("<q", v), seed)
+        return signed(seed)
+
+    units = []
+    for w in re.findall(r"[^\x20\x09-\x0D]+", text):
+        for part in re.findall(r"[\u3040-\u30ff\u4e00-\u9fff]|[^\u3040-\u30ff\u4e00-\u9fff]+", w):
+            units += [part] if len(part) <= 16 else list(part)
+    if not units:
+        return {0: xxhash.xxh64_intdigest(text.encode(), 42) & 0xFFFFFFFF} if text else {}
+    h = [0] * 4 + [signed(xxhash.xxh64_intdigest(u.encode(), 42)) for u in units] + [0] * 4
+    m = [chain(*h[i : i + 2]) for i in range(len(h) - 1)]
+    out = {}
+    for i in range(len(h) - 4):
+        if min(m[i : i + 4]) in (m[i], m[i + 3]):
+            out[i - 4] = chain(m[i], m[i + 2], m[i + 3]) & 0xFFFFFFFF
+    return out
+
+
+def test_fingerprints_against_brute_force(spark):
+    """Fingerprints and all four likenesses of texts short and long, with repeated and null ids."""
+    some = np.random.default_rng(8)
+    texts = ["", "a", "one two", " \t", "日本語の文章です 本", "x" * 40 + " y", "one two three four five six seven eight nine ten", *(" ".join(some.choice(VOCAB, n)) for n in (9, 10, 11, 60, 400)), None]
+    texts += ["same line\n" * 30, texts[10] + " more", "a"]
+    rows = [(None if i % 7 == 6 else i // 2, t) for i, t in enumerate(texts)]
+    got = fingerprints.fingerprint_neighbours(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, (r[1] or "").encode()))
+    like = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
+    want = []
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
+        t, after = t or "", after or ""
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        a, e, n = (brute_anchors(x) for x in (t, edited, after))
+        sets = [set(x.values()) for x in (a, e, n)]
+        placed = [set(x.items()) for x in (a, e, n)]
+        text = ["".join(f"{x:08x}" for x in sorted(s)) for s in sets[:2]]
+        want.append((i, len(t), *text, like(sets[0], sets[1]), like(sets[0], sets[2]), like(placed[0], placed[1]), like(placed[0], placed[2])))
+    columns = ["doc_id", "n_chars", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "placed_edited", "placed_next"]
+    assert Counter(tuple(r[c] for c in columns) for r in got) == Counter(want)
+
+
+def test_passages_by_position(spark):
+    some = np.random.default_rng(9)
+    word = lambda n: [f"v{x}" for x in some.integers(0, 10**6, n)]
+    shared, own = word(80), word(50)
+    left, right = [*own, *shared], [*word(7), *shared[:40], "changed", *shared[40:], *word(9)]
+    rows = [(1, " ".join(left), " ".join(right)), (2, " ".join(own), " ".join(word(50))), (3, None, "a"), (4, "", "")]
+    got = fingerprints.passages(spark.createDataFrame(rows, "id long, x string, y string"), "x", "y", key="id").orderBy("begin").collect()
+    assert [(r["id"], r["shift"]) for r in got] == [(1, -43), (1, -42)]
+    assert 50 <= got[0]["begin"] < 60 and 80 <= got[0]["end"] <= 90 and 90 <= got[1]["begin"] < 100 and got[1]["end"] <= 130
+
+
 def test_fingerprints_of_short_texts(spark):
     """No switch of units between 9 and 10 words, and no text but the empty one without anchors."""
     ten = "one two three four five six seven eight nine ten"
@@ -440,6 +499,39 @@ def test_media(docs, empty, spark):
     assert len(got) == len(ROWS) and media.read_archives(spark, media.write_archives(empty)).count() == 0
 
 
+def test_media_against_brute_force(docs, spark):
+    """Every column from the definition; members are read again by offset when the first read fails, and damage raises."""
+    import math
+    import statistics
+
+    folder = media.write_archives(docs)
+    got = {r["doc_id"]: r for r in media.describe(media.read_archives(spark, folder)).collect()}
+    for r in ROWS:
+        pay = media.payload_of((r[1] or "").encode())
+        png = media.to_png(pay)
+        x = list(pay)
+        share = [x.count(v) / len(x) for v in set(x)]
+        width = 3 * (len(x) // 192)
+        cells = [sum(x[i : i + width]) for i in range(0, len(x), width)][:64]
+        bits = int("".join("1" if c > sum(cells) / len(cells) else "0" for c in cells), 2)
+        values = dict(mean=sum(x) / len(x), std=statistics.pstdev(x), step=sum(abs(a - b) for a, b in zip(x, x[1:])) / (len(x) - 1), entropy=-sum(s * math.log2(s) for s in share))
+        told = dict(y.split("=") for y in got[r[0]]["feature"].split(";"))
+        assert all(abs(float(told[k]) - v) < 1e-3 for k, v in values.items()) and told["hash"] == f"{bits:016x}"
+        assert got[r[0]]["media_bytes"] == len(png) and got[r[0]]["media_sha256"] == hashlib.sha256(png).hexdigest() and got[r[0]]["payload_bytes"] == len(pay)
+    reader = media.MediaArchiveReader({"path": folder, "attempts": "3"})
+    (part, *_) = reader.partitions()
+    (first, *_) = [row for batch in reader.read(part) for row in batch.to_pylist()]
+    assert reader._member(part, first["offset"])[3] == first["media"]
+    reader._first = lambda src, offset: None  # every member's first read fails
+    assert [row for batch in reader.read(part) for row in batch.to_pylist()][0] == first
+    name = part.path.removeprefix("file://")
+    data = bytearray(open(name, "rb").read())
+    data[first["offset"] + media.HEAD_BYTES + 3] ^= 1
+    open(name, "wb").write(data)
+    with pytest.raises(OSError, match="damaged"):
+        list(reader.read(part))
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == len(ROWS) and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
