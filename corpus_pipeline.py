@@ -8,7 +8,7 @@ encoding      token ids, their number and digests, and the digest of what decode
 
 All stages but the last return the columns of ``documents``; ``n_chars`` is kept
 true where a text changes.  SQL can't express the toxicity stage, so ORACLE_SQL
-is None; tests hold the stages against brute force.
+is None; tests/llm/test_pipeline_rows.py holds the stages against brute force.
 """
 
 from pyspark.sql import DataFrame, SparkSession
