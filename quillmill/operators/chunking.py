@@ -34,9 +34,9 @@ def _chunk(body: Column, count: Column, path: Column, page_from: Column, page_to
     return F.struct(body.alias("body"), count.alias("count"), path.alias("path"), page_from.alias("page_from"), page_to.alias("page_to"))
 
 
-def _cut_words(text: Column, size: int, stride: int, keep_whole: bool) -> Column:
-    """Windows of a text's word tokens as {body, count}."""
-    tokens = word_tokens(text)
+def _cut_words(text: Column, size: int, stride: int, keep_whole: bool, tokens: Column | None = None) -> Column:
+    """Windows of a text's word tokens as {body, count}; ``tokens``: a column that holds them, so that they are found once and not for each window."""
+    tokens = word_tokens(text) if tokens is None else tokens
     n = F.size(tokens)
     parts = F.transform(_windows(tokens, size, stride), lambda w: F.struct(F.array_join(w, "").alias("body"), F.size(w).alias("count")))
     if keep_whole:
@@ -52,7 +52,9 @@ def chunk_fixed(parsed: DataFrame, *, key="doc_id", max_tokens=DEFAULT.max_token
     is ``word`` or the path of a BPE rank file.
     """
     df = parsed.withColumn("text", F.array_join(F.transform("blocks", lambda b: b["text"]), "\n\n"))
-    cuts = _cut_words(F.col("text"), max_tokens, max_tokens, False) if tokenizer == "word" else bpe_cuts(F.array("text"), tokenizer, max_tokens, max_tokens, False)[0]
+    if tokenizer == "word":
+        df = df.withColumn("tokens", word_tokens(F.col("text")))
+    cuts = _cut_words(F.col("text"), max_tokens, max_tokens, False, F.col("tokens")) if tokenizer == "word" else bpe_cuts(F.array("text"), tokenizer, max_tokens, max_tokens, False)[0]
     df = df.withColumn("cuts", cuts)
     first, last = F.get("blocks", F.lit(0)), F.get("blocks", F.size("blocks") - 1)
     return _exploded(df, key, F.transform("cuts", lambda c: _chunk(c["body"], c["count"], first["heading_path"], first["page_no"], last["page_no"])), exploded)
