@@ -13,6 +13,9 @@
    from above, then exactly.  Sets already in one class aren't compared again.
 4. A group too large for a tile is dealt out by a hash; classes' first sets meet
    again, and what is still apart is compared tile by tile, so no link is lost.
+5. Counting links compares a group's sets once more, each two of like size, for a
+   count needs them all: tiles of one size band meet each other and those of the
+   next band.  Only counts leave a tile; equal sets are counted by their number.
 """
 
 from __future__ import annotations
@@ -21,10 +24,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import FIXED_KEY, discard, mix64, new_key, stage, word_hashes
+from ._shared import FIXED_KEY, discard, mix64, new_key, ragged, stage, word_hashes
 from .components import components
 from .exchange import answer, ask, blocks, bucket_of, deliver, delivered, in_blocks, pack, runs_of, text_buckets, unpack
 
@@ -133,6 +136,20 @@ def _sets(source: DataFrame) -> DataFrame:
 
 # -------------------------------------------------------------------- tiles
 
+def _width(sizes: np.ndarray) -> int:
+    """Bits of a signature for sets of these sizes, a power of two."""
+    return min(max(64, 1 << int(4 * np.median(sizes)).bit_length()), 1 << 14)
+
+
+def _bitmaps(sets: list[np.ndarray], width: int) -> np.ndarray:
+    """Signatures of ``width`` bits, one set by each shingle."""
+    out = np.zeros((len(sets), width // 64), np.uint64)
+    for row, x in zip(out, sets):
+        bit = x & np.uint64(width - 1)
+        np.bitwise_or.at(row, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out
+
+
 def links(left: list[np.ndarray], right: list[np.ndarray] | None, same: np.ndarray, other: np.ndarray | None = None):
     """Merge classes by verified links and yield (i, j) for each merge.
 
@@ -144,18 +161,9 @@ def links(left: list[np.ndarray], right: list[np.ndarray] | None, same: np.ndarr
     size_l, size_r = np.array([len(x) for x in left], np.int64), np.array([len(x) for x in right], np.int64)
     if not len(size_l) or not len(size_r):
         return
-    width = max(64, 1 << int(4 * np.median(size_r)).bit_length())
-    width = min(width, 1 << 14)
-
-    def bitmaps(sets):
-        out = np.zeros((len(sets), width // 64), np.uint64)
-        for row, x in zip(out, sets):
-            bit = x & np.uint64(width - 1)
-            np.bitwise_or.at(row, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-        return out
-
-    sig_r = bitmaps(right)
-    sig_l = sig_r if inner else bitmaps(left)
+    width = _width(size_r)
+    sig_r = _bitmaps(right, width)
+    sig_l = sig_r if inner else _bitmaps(left, width)
     order = np.argsort(size_r, kind="stable")
     sizes = size_r[order]
     for i in np.argsort(size_l, kind="stable") if inner else range(len(left)):
@@ -260,19 +268,108 @@ def _replaced(old: DataFrame, new: DataFrame, *used: DataFrame) -> DataFrame:
     return new
 
 
-def jaccard_components(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of ``docs``.
+# -------------------------------------------------------------- link counts
+
+def degrees(sets: list[np.ndarray], weight: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """For each set the weights of the sets it links with, added up.
+
+    All marked sets meet all unmarked ones; where ``other`` marks none, each two
+    sets meet.  Bit counts bound the overlap first; what passes is intersected.
+    """
+    out = np.zeros(len(sets), np.int64)
+    size = np.array([len(x) for x in sets], np.int64)
+    order = np.lexsort((size, other))  # unmarked, then marked ones, each by size
+    sizes, weight, inner = size[order], weight[order], not other.any()
+    begin = 0 if inner else int((~other).sum())
+    if begin == len(sets) or not len(sets):
+        return out
+    sig = _bitmaps([sets[x] for x in order], _width(size))
+    # A shingle's place among the distinct ones makes an intersection a look-up.
+    distinct, place = np.unique(np.concatenate([sets[x] for x in order]), return_inverse=True)
+    first, held = np.concatenate([[0], np.cumsum(sizes)]), np.zeros(len(distinct), bool)
+    found = np.zeros(len(sets), np.int64)
+    for i in range(len(sets) if inner else begin):
+        a = int(sizes[i])
+        lo, hi = np.searchsorted(sizes[begin:], (-(-3 * a // 4), 4 * a // 3 + 1)) + begin
+        lo = max(lo, i + 1) if inner else lo
+        near = np.arange(lo, hi)
+        need = -(-3 * (a + sizes[lo:hi]) // 7)
+        near = near[a - np.bitwise_count(sig[i] & ~sig[lo:hi]).sum(1, dtype=np.int64) >= need]
+        if not len(near):
+            continue
+        held[place[first[i] : first[i + 1]]] = True
+        hit = held[place[ragged(first[near], sizes[near])]] if 2 * len(near) < hi - lo else held[place[first[lo] : first[hi]]]
+        total = np.concatenate([[0], np.cumsum(hit)])
+        if len(total) - 1 == first[hi] - first[lo]:
+            common = total[first[near + 1] - first[lo]] - total[first[near] - first[lo]]
+        else:
+            ends = np.cumsum(sizes[near])
+            common = total[ends] - total[ends - sizes[near]]
+        held[place[first[i] : first[i + 1]]] = False
+        near = near[100 * common >= 75 * (a + sizes[near] - common)]
+        found[i] += weight[near].sum()
+        found[near] += weight[i]
+    out[order] = found
+    return out
+
+
+def _degrees(table: pa.Table) -> pa.Table:
+    """(n, s1, s2, links) of a task's sets that link."""
+    sets = [np.frombuffer(x, "<u8") for x in table.column("arr").to_pylist()]
+    found = degrees(sets, table.column("copies").to_numpy(), table.column("other").to_numpy())
+    return table.select(["n", "s1", "s2"]).append_column("links", pa.array(found)).filter(pa.array(found > 0))
+
+
+def _counted(members: DataFrame) -> DataFrame:
+    """(n, s1, s2, links), staged: the rows that sets (n, s1, s2, copies, arr, comp) link with through other sets."""
+    members = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / BAND).cast("int"))
+    inside = Window.partitionBy("comp")  # a group's bands, some 60 at most
+    at = inside.orderBy("band")
+    bands = members.groupBy("comp", "band").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
+    bands = bands.withColumn("tiles", F.ceil(F.greatest(F.col("c") / TILE_SETS, F.col("t") / TILE_SHINGLES)).cast("int"))
+    bands = bands.select(
+        F.col("comp").alias("g"), F.col("band").alias("d"), "tiles", F.sum("c").over(inside).alias("all"),
+        ((F.sum("c").over(inside) <= TILE_SETS) & (F.sum("t").over(inside) <= TILE_SHINGLES)).alias("whole"),
+        F.when(F.lag("band").over(at) == F.col("band") - 1, F.lag("tiles").over(at)).otherwise(0).alias("below"),
+        F.when(F.lead("band").over(at) == F.col("band") + 1, F.lead("tiles").over(at)).otherwise(0).alias("above"),
+    ).filter("all > 1")
+    dealt = members.join(bands, (F.col("comp") == F.col("g")) & (F.col("band") == F.col("d")))
+    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("s1", "s2"), F.col("tiles")).cast("int"))
+
+    def meets(count, make):
+        return F.transform(F.array_repeat(F.lit(0), F.col(count)), lambda _, x: make(x))
+
+    def task(band, next_band, left, right, other):
+        parts = dict(band=band, next=F.lit(next_band), left=left, right=right, other=other)
+        return F.struct(*[v.alias(k) for k, v in parts.items()])
+
+    tile, band = F.col("tile"), F.col("band")
+    several = F.concat(
+        meets("tiles", lambda x: task(band, 0, F.least(tile, x), F.greatest(tile, x), tile > x)),
+        meets("above", lambda x: task(band, 1, tile, x, F.lit(False))),
+        meets("below", lambda x: task(band - 1, 1, x, tile, F.lit(True))),
+    )
+    alone = F.array(task(F.lit(-1), 0, F.lit(0), F.lit(0), F.lit(False)))
+    dealt = dealt.select("comp", F.explode(F.when(F.col("whole"), alone).otherwise(several)).alias("x"), "n", "s1", "s2", "copies", "arr")
+    dealt = dealt.select("comp", "x.*", "n", "s1", "s2", "copies", "arr")
+    found = dealt.groupBy("comp", "band", "next", "left", "right").applyInArrow(_degrees, "n long, s1 long, s2 long, links long")
+    return stage(found.groupBy("n", "s1", "s2").agg(F.sum("links").alias("links")), "degrees")
+
+
+def jaccard_components(docs: DataFrame, *, id_col="doc_id", text_col="text", links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of ``docs``; with ``links``, n_links too.
 
     Null and empty texts, and those without words, have no shingles and are their
     own component.  Rows with one id count as one document, as do all rows with
     a null id, whose component is null unless another document links with
-    them.  Other columns are ignored.
+    them.  n_links is the number of other rows, of whatever id, whose texts link
+    with the row's.  Other columns are ignored.
     """
     source = in_blocks(docs, id_col, text_col)
     sets = _sets(source)
     # Equal sets: one of them, the least id, stands for all.
     classes = stage(sets.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("k").alias("rep"), F.count("*").alias("copies")), "classes")
-    first = classes.select(F.col("n").alias("f_n"), F.col("s1").alias("f1"), F.col("s2").alias("f2"), "rep")
+    first = classes.select(F.col("n").alias("f_n"), F.col("s1").alias("f1"), F.col("s2").alias("f2"), "rep", "copies")
     same = (F.col("n") == F.col("f_n")) & (F.col("s1") == F.col("f1")) & (F.col("s2") == F.col("f2"))
     some = sets.filter(F.size("tokens") > 0).join(first, same & (F.col("k") == F.col("rep")))
     band = F.floor(F.log(F.col("n").cast("double")) / BAND).cast("int")
@@ -280,8 +377,16 @@ def jaccard_components(docs: DataFrame, *, id_col="doc_id", text_col="text") ->
     least = keys.groupBy("token", "band").agg(F.min("k").alias("m"), F.max("k").alias("x")).filter("m <> x").select(F.col("token").alias("t"), F.col("band").alias("d"), "m")
     edges = keys.join(least, (F.col("token") == F.col("t")) & (F.col("band") == F.col("d"))).select(F.col("k").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
     groups = components(edges)
-    members = sets.filter("arr is not null").select("k", "n", "arr", "s1", "s2").join(first, same & (F.col("k") == F.col("rep"))).select("k", "n", "arr").join(groups, F.col("k") == F.col("id")).select("k", "n", "arr", F.col("component").alias("comp"))
-    verified = _verified(members)
+    whole = sets.filter("arr is not null").select("k", "n", "arr", "s1", "s2")
+    if links:  # one of each set, also where rows repeat under the least id
+        whole = whole.dropDuplicates(["k", "n", "s1", "s2"])
+    members = whole.join(first, same & (F.col("k") == F.col("rep"))).join(groups, F.col("k") == F.col("id"), "left" if links else "inner")
+    if links:
+        # Sets under one id may link with each other, though their id is in no group.
+        found = members.select("n", "s1", "s2", "copies", "arr", "k", "component")
+        members = stage(found, "candidates")
+        counted = _counted(members.withColumn("comp", F.coalesce("component", "k")))
+    verified = _verified(members.filter("component is not null").select("k", "n", "arr", F.col("component").alias("comp")))
     labels = verified.filter("k <> label").groupBy("k").agg(F.min("label").alias("label"))
     # A document repeated under one id, with other sets, ties their classes: those links join the verified ones.
     loose = sets.filter("n > 0").join(first, same).select("k", "rep").filter("k <> rep")
@@ -290,8 +395,14 @@ def jaccard_components(docs: DataFrame, *, id_col="doc_id", text_col="text") ->
     final = joined.select(F.col("id").alias("c_id"), "component")
     out = sets.select("doc_id", "n", "k").join(final, F.col("k") == F.col("c_id"), "left")
     component = F.coalesce("component", "k")
-    result = stage(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(component != _NULL, component).alias("component_id")), "jaccard")
-    discard(sets, classes, groups, verified, joined)
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.when(component != _NULL, component).alias("component_id")]
+    if links:
+        degree = first.join(counted, (F.col("f_n") == F.col("n")) & (F.col("f1") == F.col("s1")) & (F.col("f2") == F.col("s2")), "left")
+        degree = degree.select("f_n", "f1", "f2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")).filter("n_links > 0")
+        out = sets.select("doc_id", "n", "k", "s1", "s2").join(final, F.col("k") == F.col("c_id"), "left").join(degree, same, "left")
+        columns.append(F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    result = stage(out.select(*columns), "jaccard")
+    discard(sets, classes, groups, verified, joined, *([members, counted] if links else []))
     return result
 
 
@@ -313,6 +424,7 @@ WITH RECURSIVE w AS (
 ), reach(doc_id, r) AS (
   SELECT doc_id, doc_id FROM w UNION SELECT e.x, reach.r FROM reach JOIN edge e ON e.y = reach.doc_id AND reach.r < e.x
 )
-SELECT w.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, min(r) AS component_id
-FROM w LEFT JOIN sizes USING (doc_id) JOIN reach USING (doc_id) GROUP BY 1, 2
+SELECT w.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, min(r) AS component_id, coalesce(degree.c, 0)::BIGINT AS n_links
+FROM w LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT x AS doc_id, count(*) AS c FROM edge GROUP BY 1) degree USING (doc_id)
+JOIN reach USING (doc_id) GROUP BY 1, 2, 4
 """

@@ -43,7 +43,7 @@ def op4_toxicity(spark, sf_dir):
 
 
 def op5_jaccard(spark, sf_dir):
-    return jaccard.jaccard_components(_documents(spark, sf_dir))
+    return jaccard.jaccard_components(_documents(spark, sf_dir), links=True)
 
 
 def op8_substrings(spark, sf_dir):

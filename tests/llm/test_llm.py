@@ -354,6 +354,41 @@ def brute_components(rows):
     return {i: (len(sets[i]), label[i]) for i in sets}
 
 
+def brute_links(rows):
+    """Of each row, the other rows whose texts link with its text."""
+    sets = []
+    for r in rows:
+        w = words(r[1], True)
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    linked = lambda a, b: a and 100 * len(a & b) >= 75 * len(a | b)
+    return Counter((r[0], sum(bool(linked(a, b)) for j, b in enumerate(sets) if j != i)) for i, (r, a) in enumerate(zip(rows, sets)))
+
+
+@pytest.mark.parametrize("tile", [2000, 3])
+def test_jaccard_links(spark, empty, monkeypatch, tile):
+    """Links of every row, over groups of many sizes, with copies, repeated and null ids; tiles of three sets meet across bands."""
+    monkeypatch.setattr(jaccard, "TILE_SETS", tile)
+    some = np.random.default_rng(6)
+    texts = ["", None, "one two", "one  TWO", " \t"]
+    for n in (12, 40, 90):
+        base = [f"u{x}" for x in some.integers(0, 10**6, n)]
+        for _ in range(14):  # changed and cut short, so that sizes of one group lie in several bands
+            own = base[: some.integers(n // 2, n + 1)]
+            for i in some.integers(0, len(own), some.integers(0, 2)):
+                own[i] = "changed"
+            texts += [" ".join(own)] * some.integers(1, 3)
+    rows = [(None if i % 11 == 4 else int(some.integers(0, 60)) if i % 3 else 100 + i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard.jaccard_components(df, links=True).collect()
+    assert Counter((r["doc_id"], r["n_links"]) for r in got) == brute_links(rows)
+    assert len({r["n_links"] for r in got}) > 5
+    # Two texts under one id that no other document shares words with.
+    pair = " ".join(VOCAB[:40])
+    only = spark.createDataFrame([(1, pair), (1, pair + " tail"), (2, "other words")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_links"]) for r in jaccard.jaccard_components(only, links=True).collect()) == [(1, 1), (1, 1), (2, 0)]
+    assert jaccard.jaccard_components(empty, links=True).count() == 0
+
+
 @pytest.mark.parametrize("tile", [2000, 2])
 def test_jaccard(docs, empty, monkeypatch, tile):
     """With tiles of two sets every group is dealt out, met again and compared tile by tile."""
