@@ -583,6 +583,32 @@ def test_mixing(docs, empty):
     assert real == {k: v for k, v in taken.items() if v} and mixing.mix(empty).count() == 0
 
 
+def test_toxicity_fit_and_held_out(spark):
+    """The query over the driver's tables: the split by id, and what it finds among held-out labels."""
+    import duckdb
+
+    from quillmill.llm import queries
+
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("the driver's tables are not here")
+    toxic = dict(duckdb.sql(f"select doc_id, toxic from '{folder}/labels.parquet'").fetchall())
+    got = queries.op4_toxicity(spark, folder).collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == (r["score"] >= 0.5) and 0 <= r["score"] <= 1 for r in got)
+    held = [(r["predicted"], toxic[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in toxic]
+    bad, clean = [p for p, y in held if y == 1], [p for p, y in held if y == 0]
+    assert len(bad) > 50 and np.mean(bad) >= 0.85 and np.mean(clean) <= 0.05
+
+
+def test_toxicity_of_empty_tables(spark, empty):
+    """Without labels or texts every text counts as clean, and no text gives no row."""
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(empty, labels)
+    some = spark.createDataFrame([(1, "a text"), (None, None), (1, "")], "doc_id long, text string")
+    assert [r["score"] < 0.5 for r in toxicity.score(some, model).collect()] == [True] * 3
+    assert toxicity.score(empty.drop("score"), model).count() == 0
+
+
 def test_toxicity_learns_and_gradients(docs, spark):
     m = toxicity.new_model()
     x, mask = rng.normal(size=(2, 3, 6, 24)).astype(np.float32), np.ones((3, 6), bool)
