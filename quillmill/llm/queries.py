@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import fingerprints, jaccard, katz, licenses, media, mixing, substrings, toxicity, trie_bpe, wavelet
+from . import centroids, cobuckets, fingerprints, jaccard, katz, licenses, media, mixing, substrings, toxicity, trie_bpe, url_filters, wavelet
 
 
 TOKENIZER = "word_bpe_49k.json"
@@ -62,6 +62,25 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(_documents(spark, sf_dir))
 
 
+def op11_url_filters(spark, sf_dir):
+    """Verdicts on all ``pages``, the model fitted on a bounded table of urls that a rule labels."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    model = url_filters.fit(url_filters.labelled_by_rules(pages))
+    return url_filters.judge(pages, model).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op12_cobuckets(spark, sf_dir):
+    """Final files of ``sales`` and ``sale_lines``, co-bucketed by sale in a new folder."""
+    sales, lines = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("sales", "sale_lines"))
+    of_sales, of_lines = cobuckets.starting_numbers()
+    return cobuckets.cobucket(sales, lines, key="sale_id", left_number=of_sales, right_number=of_lines, left_name="sales", right_name="sale_lines")
+
+
+def op13_centroids(spark, sf_dir):
+    """Clusters of all ``embeddings``."""
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries():
     return {
         "op1_syncmers": op1_syncmers,
@@ -74,8 +93,11 @@ def queries():
         "op9_media": op9_media,
         "op6_licenses": op6_licenses,
         "op10_mixing": op10_mixing,
+        "op11_url_filters": op11_url_filters,
+        "op12_cobuckets": op12_cobuckets,
+        "op13_centroids": op13_centroids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_jaccard": jaccard.ORACLE_SQL, "op6_licenses": licenses.ORACLE_SQL, "op8_substrings": substrings.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
+    return {"op5_jaccard": jaccard.ORACLE_SQL, "op6_licenses": licenses.ORACLE_SQL, "op8_substrings": substrings.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL, "op13_centroids": centroids.ORACLE_SQL}
