@@ -34,9 +34,8 @@ def _chunk(body: Column, count: Column, path: Column, page_from: Column, page_to
     return F.struct(body.alias("body"), count.alias("count"), path.alias("path"), page_from.alias("page_from"), page_to.alias("page_to"))
 
 
-def _cut_words(text: Column, size: int, stride: int, keep_whole: bool, tokens: Column | None = None) -> Column:
-    """Windows of a text's word tokens as {body, count}; ``tokens``: a column that holds them, so that they are found once and not for each window."""
-    tokens = word_tokens(text) if tokens is None else tokens
+def _cut_words(text: Column, size: int, stride: int, keep_whole: bool, tokens: Column) -> Column:
+    """Windows of a text's word ``tokens`` as {body, count}; those are a column or a lambda's variable, found once and not for each window."""
     n = F.size(tokens)
     parts = F.transform(_windows(tokens, size, stride), lambda w: F.struct(F.array_join(w, "").alias("body"), F.size(w).alias("count")))
     if keep_whole:
@@ -66,7 +65,8 @@ def chunk_paragraph_overlap(parsed: DataFrame, *, key="doc_id", max_tokens=DEFAU
         raise ValueError("overlap must be less than max_tokens")
     stride = max_tokens - overlap
     if tokenizer == "word":
-        cuts = F.transform("blocks", lambda b: _cut_words(b["text"], max_tokens, stride, True))
+        tokens = F.transform("blocks", lambda b: word_tokens(b["text"]))  # an argument, which is evaluated once, unlike what stands in the lambda
+        cuts = F.transform(tokens, lambda t, i: _cut_words(F.get("blocks", i)["text"], max_tokens, stride, True, t))
     else:
         cuts = bpe_cuts(F.transform("blocks", lambda b: b["text"]), tokenizer, max_tokens, stride, True)
     df = parsed.withColumn("cuts", cuts)

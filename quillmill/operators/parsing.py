@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .pdf import PdfError, page_texts
+
 BLOCK = "struct<order:int,type:string,text:string,page_no:int,heading_path:array<string>>"
 _ARROW = pa.struct([("order", pa.int32()), ("type", pa.string()), ("text", pa.string()), ("page_no", pa.int32()), ("heading_path", pa.list_(pa.string()))])
 _SPACE = "".join(chr(c) for c in [*range(9, 14), *range(0x1C, 0x21), 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
@@ -126,103 +128,13 @@ def page_blocks(pages: list[str]) -> Iterator[Block]:
 
 
 class PdfParser(Parser):
-    """PDF text without a library: plain and Flate streams, object streams, literal and hex strings, pages by the page tree.
-
-    Fonts with their own encodings need a library; their codes are read as
-    Latin-1, or as UTF-16 where they begin with its mark.  A vertical step of
-    over 1.5 lines parts paragraphs.
-    """
+    """PDF text by page, laid out by where it stands; paragraphs at blank lines, wide gaps and indents."""
 
     mime_types = frozenset({"application/pdf"})
-    version = "pdf-parser/1.1.0"
-    _TOKEN = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\[(?:[^\]\\]|\\.)*\]|[-+.\d]+|T\*|[A-Za-z'\"]+", re.S)
-    _STRING = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>", re.S)
-
-    @classmethod
-    def _string(cls, raw: bytes) -> str:
-        if raw[:1] == b"(":
-            return cls._literal(raw[1:-1])
-        digits = re.sub(rb"\s", b"", raw[1:-1])
-        data = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
-        return data[2:].decode("utf-16-be", "replace") if data[:2] == b"\xfe\xff" else data.decode("latin-1")
-
-    @staticmethod
-    def _literal(raw: bytes) -> str:
-        plain = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-        data = re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else plain.get(m[1], m[1]), raw, flags=re.S)
-        return data.decode("latin-1")
-
-    def _page(self, stream: bytes) -> str:
-        out, args, leading = [], [], 12.0
-        for m in self._TOKEN.finditer(stream):
-            word = m[0]
-            if word[:1] in b"([<" or re.fullmatch(rb"[-+.\d]+", word):
-                args.append(word)
-                continue
-            numbers = [float(a) for a in args if re.fullmatch(rb"[-+]?\d*\.?\d+", a)]
-            if word == b"TL" and numbers:
-                leading = abs(numbers[-1]) or leading
-            elif word == b"Tf" and numbers:
-                leading = max(leading, numbers[-1])
-            elif word in (b"Td", b"TD") and len(numbers) >= 2 and numbers[-1]:
-                out.append("\n\n" if out and abs(numbers[-1]) > 1.5 * leading else "\n")
-            elif word == b"T*":
-                out.append("\n")
-            elif word in (b"Tj", b"'", b'"', b"TJ"):
-                if word in (b"'", b'"'):
-                    out.append("\n")
-                out += [self._string(x) for a in args if a[:1] in b"([<" for x in self._STRING.findall(a)]
-            args = []
-        return "".join(out)
+    version = "pdf-parser/2.0.0"
 
     def parse(self, content):
-        if not content.startswith(b"%PDF"):
-            raise CorruptedFile("not a PDF")
-        objects = {int(m[1]): m[2] for m in re.finditer(rb"(\d+)\s+\d+\s+obj(.*?)endobj", content, re.S)}
-        for body in list(objects.values()):
-            if re.search(rb"/Type\s*/ObjStm\b", body):
-                objects.update(self._packed(body))
-        yield from page_blocks([self._page(self._content(objects, page)) for page in self._pages(objects)])
-
-    @staticmethod
-    def _stream(body: bytes) -> bytes:
-        found = re.search(rb"stream\r?\n(.*?)\r?\n?endstream", body, re.S)
-        if not found:
-            return b""
-        return zlib.decompressobj().decompress(found[1]) if b"FlateDecode" in body[: found.start()] else found[1]
-
-    def _packed(self, body: bytes) -> dict[int, bytes]:
-        """The objects of an object stream: pairs of number and place, then the objects from /First on."""
-        count, first = (re.search(rb"/" + name + rb"\s+(\d+)", body) for name in (b"N", b"First"))
-        if not count or not first:
-            raise CorruptedFile("an object stream without /N or /First")
-        data, n, at = self._stream(body), int(count[1]), int(first[1])
-        heads = [int(x) for x in data[:at].split()[: 2 * n]]
-        ends = [*heads[3::2], len(data) - at]
-        return {number: data[at + a : at + b] for number, a, b in zip(heads[::2], heads[1::2], ends)}
-
-    @staticmethod
-    def _pages(objects: dict[int, bytes]) -> list[bytes]:
-        """Pages in the order of the tree, or of the file where no catalogue leads to one."""
-        refs = lambda body, name: [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", m[1])] if (m := re.search(rb"/" + name + rb"\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)) else []
-        is_page = lambda body: re.search(rb"/Type\s*/Page\b(?!s)", body)
-        todo = [r for body in objects.values() if re.search(rb"/Type\s*/Catalog\b", body) for r in refs(body, b"Pages")][:1]
-        found, seen = [], set()
-        while todo:
-            number = todo.pop(0)
-            body = objects.get(number, b"")
-            if number in seen:
-                continue
-            seen.add(number)
-            if is_page(body):
-                found.append(body)
-            else:
-                todo = refs(body, b"Kids") + todo
-        return found or [body for body in objects.values() if is_page(body)]
-
-    def _content(self, objects: dict[int, bytes], page: bytes) -> bytes:
-        refs = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", page)
-        return b"\n".join(self._stream(objects.get(int(x), b"")) for x in re.findall(rb"(\d+)\s+\d+\s+R", refs[1])) if refs else b""
+        yield from page_blocks(page_texts(content))
 
 
 class HwpParser(Parser):
@@ -262,7 +174,7 @@ class CorruptedFile(ValueError):
 
 
 #: What reading damaged bytes raises; anything else is the parser's failure and not the file's.
-_BAD_BYTES = (OSError, CorruptedFile, UnicodeError, EOFError, zipfile.BadZipFile, zlib.error, ElementTree.ParseError, struct.error)
+_BAD_BYTES = (OSError, CorruptedFile, PdfError, UnicodeError, EOFError, zipfile.BadZipFile, zlib.error, ElementTree.ParseError, struct.error)
 
 
 class _Timeout(Exception):

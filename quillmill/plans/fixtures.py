@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +72,67 @@ def markdown(spark, sf_dir) -> DataFrame:
     return d.select("doc_id", text.alias("content"), F.lit("text/markdown").alias("mime_type"))
 
 
+#: Words of the PDFs made of the documents, of a line, and of a paragraph; paragraphs of a page.
+PDF_WORD, PDF_LINE, PDF_PARAGRAPH, PDF_PAGE = "[0-9A-Za-zÀ-ÖØ-öø-ÿ().,]+", 8, 40, 3
+
+
+def pdf_bytes(words: list[str], form: int) -> bytes:
+    """A PDF of ``words`` in one of four forms: relative lines, matrices with gaps for spaces, two-byte codes in Flate, or next-line strings."""
+    paragraphs = [words[i : i + PDF_PARAGRAPH] for i in range(0, len(words), PDF_PARAGRAPH)]
+    plain = lambda t: t.encode("cp1252")
+    escaped = lambda t: plain(t).replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
+    level = lambda t: all(t[:i].count("(") >= t[:i].count(")") for i in range(len(t))) and t.count("(") == t.count(")")
+    contents = []
+    for at in range(0, max(len(paragraphs), 1), PDF_PAGE):
+        out, y = [b"BT /F1 12 Tf 14 TL 50 760 Td" if form in (0, 3) else b"BT /F1 12 Tf"], 760
+        for n, paragraph in enumerate(paragraphs[at : at + PDF_PAGE]):
+            for i in range(0, len(paragraph), PDF_LINE):
+                line, first = paragraph[i : i + PDF_LINE], not i and n
+                text = " ".join(line)
+                if form == 0:
+                    out.append(b"0 %d Td (%s) Tj" % (-40 if first else -14, plain(text) if level(text) else escaped(text)))
+                elif form == 1:
+                    out.append(b"1 0 0 1 50 %d Tm [%s] TJ" % (y - (26 if first else 0), b" -300 ".join(b"(%s)" % escaped(w) for w in line)))
+                elif form == 2:
+                    out.append(b"1 0 0 1 50 %d Tm <%s> Tj" % (y - (26 if first else 0), text.encode("utf-16-be").hex().encode()))
+                else:
+                    out.append((b"( ) ' " if first else b"") + b"(%s) '" % escaped(text))
+                y -= 40 if first else 14
+        contents.append(b"\n".join([*out, b"ET"]))
+    font = b"<</Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding>>"
+    if form == 2:
+        font = b"<</Type /Font /Subtype /Type0 /Encoding /Identity-H /ToUnicode 4 0 R /DescendantFonts [<</DW 500>>]>>"
+    kids = b" ".join(b"%d 0 R" % (5 + 2 * i) for i in range(len(contents)))
+    objects = {1: b"<</Type /Catalog /Pages 2 0 R>>", 2: b"<</Type /Pages /Kids [%s] /Count %d /Resources <</Font <</F1 3 0 R>>>>>>" % (kids, len(contents)), 3: font}
+    cmap = b"1 begincodespacerange <0000> <ffff> endcodespacerange 1 beginbfrange <0000> <00ff> <0000> endbfrange"
+    streams = {4: cmap} | {6 + 2 * i: c for i, c in enumerate(contents)}
+    objects |= {5 + 2 * i: b"<</Type /Page /Parent 2 0 R /Contents %d 0 R>>" % (6 + 2 * i) for i in range(len(contents))}
+    for number, data in streams.items():
+        data, how = (zlib.compress(data), b"/Filter /FlateDecode") if form == 2 else (data, b"")
+        objects[number] = b"<</Length %d %s>>\nstream\n%s\nendstream" % (len(data), how, data)
+    out, places = [b"%PDF-1.4\n"], []
+    size = len(out[0])
+    for number in range(1, len(objects) + 1):
+        places.append(size)
+        out.append(b"%d 0 obj\n%s\nendobj\n" % (number, objects[number]))
+        size += len(out[-1])
+    table = b"".join(b"%010d 00000 n \n" % x for x in places)
+    return b"".join(out) + b"xref\n0 %d\n0000000000 65535 f \n%strailer\n<</Size %d /Root 1 0 R>>\nstartxref\n%d\n%%%%EOF" % (len(places) + 1, table, len(places) + 1, size)
+
+
+def pdfs(spark, sf_dir) -> DataFrame:
+    """(doc_id, content, mime_type): each document's words as a PDF, in the form doc_id % 4."""
+
+    def work(batches):
+        for batch in batches:
+            made = [pdf_bytes(w or [], i % 4) for i, w in zip(batch.column("doc_id").to_pylist(), batch.column("words").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], names=["doc_id", "content"])
+
+    words = F.regexp_extract_all(F.col("text"), F.lit(PDF_WORD), F.lit(0))
+    made = _table(spark, sf_dir, "documents").select("doc_id", words.alias("words")).mapInArrow(work, "doc_id long, content binary")
+    return made.withColumn("mime_type", F.lit("application/pdf"))
+
+
 def chunk_rows(spark, sf_dir) -> DataFrame:
     """A small stored chunk table: version 1 of each document holds 1 + doc_id % 4 chunks."""
     d = _table(spark, sf_dir, "documents")

@@ -27,6 +27,12 @@ def parse_markdown_blocks(spark, sf_dir):
     return blocks.select("doc_id", "block_order", "type", F.array_join("heading_path", " > ").alias("path"), F.sha2("text", 256).alias("text_hash"))
 
 
+def parse_pdf_blocks(spark, sf_dir):
+    """Blocks of PDFs made of all documents' words, in four ways of showing text."""
+    blocks = parsing.explode_blocks(parsing.parse_documents(fx.pdfs(spark, sf_dir)))
+    return blocks.select("doc_id", "block_order", "type", "page_no", F.sha2("text", 256).alias("text_hash"))
+
+
 def chunk_fixed(spark, sf_dir):
     return chunking.chunk_fixed(_parsed(spark, sf_dir)).select(_CHUNK)
 
@@ -231,6 +237,7 @@ def _sql() -> dict[str, str]:
     guard = (_FIXED + _CUT.format(size=64, stride=64, keep="false")).replace("SELECT doc_id, CAST(row_number()", ", res AS (SELECT doc_id, CAST(row_number()", 1) + ")"
     bodies = {
         "parse_markdown_blocks": "SELECT doc_id, block_order, type, path, sha256(text) AS text_hash FROM block",
+        "parse_pdf_blocks": (",", f"word AS (SELECT doc_id, regexp_extract_all(text, '{fx.PDF_WORD}') AS w FROM documents), para AS (SELECT doc_id, w, unnest(range(0, CAST(ceil(len(w) / {fx.PDF_PARAGRAPH}.0) AS BIGINT))) AS i FROM word) SELECT doc_id, CAST(i AS INT) AS block_order, 'PARAGRAPH' AS type, CAST(i // {fx.PDF_PAGE} + 1 AS INT) AS page_no, sha256(array_to_string(w[i * {fx.PDF_PARAGRAPH} + 1 : (i + 1) * {fx.PDF_PARAGRAPH}], ' ')) AS text_hash FROM para"),
         "chunk_fixed": ("," , fixed), "chunk_paragraph": (",", para), "chunk_overlap": (",", over),
         "chunk_guard": (",", guard + ", g AS (SELECT doc_id, count(*) AS n_chunks, sum(token_count)::BIGINT AS total_tokens FROM res GROUP BY doc_id) SELECT d.doc_id, coalesce(n_chunks, 0) AS n_chunks, coalesce(total_tokens, 0) AS total_tokens, CASE WHEN n_chunks IS NULL THEN 'EMPTY_EXTRACTION' WHEN n_chunks > 12 THEN 'CHUNK_LIMIT_EXCEEDED' WHEN total_tokens > 600 THEN 'TOTAL_TOKEN_LIMIT_EXCEEDED' END AS error_code FROM documents d LEFT JOIN g USING (doc_id)"),
         "content_integrity": "SELECT v.id, CASE WHEN v.content_hash <> 'sha256:' || sha256(d.text) THEN 'HASH_MISMATCH' END AS error_code FROM version v JOIN documents d ON d.doc_id = v.document_id",

@@ -67,3 +67,22 @@ def test_bpe_ids_are_the_librarys(spark):
     texts = ["", "plain words, don't", "日本語 ñandú", "<|endoftext|>", "\u0000\n\t  x", "a" * 3000, None]
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", bpe_ids(F.col("t"), path).alias("ids")).orderBy("i").collect()
     assert [r["ids"] for r in got] == [None if t is None else coder.encode_ordinary(t) for t in texts]
+
+
+@pytest.mark.parametrize("overlap", [0, 8])
+def test_time_grows_with_a_blocks_tokens(spark, overlap):
+    """Twice the tokens of one block take about twice the time, not four times."""
+    import time
+
+    took = []
+    for n in (20_000, 40_000):
+        df = spark.createDataFrame([(i, [(0, "PARAGRAPH", words(n), None, [])]) for i in range(4)], f"doc_id long, blocks array<{BLOCK}>").coalesce(1).cache()
+        df.count()
+        best = []
+        for _ in range(3):
+            began = time.perf_counter()
+            chunking.chunk_paragraph_overlap(df, max_tokens=64, overlap=overlap).write.format("noop").mode("overwrite").save()
+            best.append(time.perf_counter() - began)
+        took.append(min(best))
+        df.unpersist()
+    assert took[1] < 2.5 * took[0] + 0.3, took
