@@ -97,11 +97,12 @@ def fresh(name: str, columns) -> str:
     return name
 
 
-def numbered(docs: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` staged with ``__row``, a key of each row's own, ascending by id (null last), then by a digest of the row."""
+def numbered(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """``docs`` staged with a key of each row's own, ascending by id (null last), then by a digest of the row, and that column's name."""
     order = [F.col(id_col).asc_nulls_last(), F.xxhash64(*docs.columns).asc()]
     ranged = docs.repartitionByRange(2 * partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
-    return stage(ranged.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    row = fresh("__row", docs.columns)
+    return stage(ranged.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
 
 def partitions(spark: SparkSession) -> int:

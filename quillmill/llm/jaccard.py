@@ -36,6 +36,7 @@ WORDS = 5
 BAND = math.log(4 / 3) + 1e-9
 #: A tile's most sets and shingles.
 TILE_SETS, TILE_SHINGLES = 500, 1_000_000
+#: Key of rows without an id; ids are one less as keys, so that none meets it.
 _NULL = (1 << 63) - 1
 
 
@@ -129,7 +130,7 @@ def _sets(source: DataFrame) -> DataFrame:
             )
 
     sets = source.mapInArrow(work, "doc_id long, n long, s1 long, s2 long, tokens array<long>, arr binary")
-    staged = stage(sets.withColumn("k", F.coalesce("doc_id", F.lit(_NULL))), "sets")
+    staged = stage(sets.withColumn("k", F.coalesce(F.col("doc_id") - 1, F.lit(_NULL))), "sets")
     told.drop()
     return staged
 
@@ -363,7 +364,8 @@ def jaccard_components(docs: DataFrame, *, id_col="doc_id", text_col="text", lin
     own component.  Rows with one id count as one document, as do all rows with
     a null id, whose component is null unless another document links with
     them.  n_links is the number of other rows, of whatever id, whose texts link
-    with the row's.  Other columns are ignored.
+    with the row's.  Ids are longs above -2^63, which itself raises an overflow.
+    Other columns are ignored.
     """
     source = in_blocks(docs, id_col, text_col)
     sets = _sets(source)
@@ -395,7 +397,7 @@ def jaccard_components(docs: DataFrame, *, id_col="doc_id", text_col="text", lin
     final = joined.select(F.col("id").alias("c_id"), "component")
     out = sets.select("doc_id", "n", "k").join(final, F.col("k") == F.col("c_id"), "left")
     component = F.coalesce("component", "k")
-    columns = ["doc_id", F.col("n").alias("n_shingles"), F.when(component != _NULL, component).alias("component_id")]
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.when(component != _NULL, component + 1).alias("component_id")]
     if links:
         degree = first.join(counted, (F.col("f_n") == F.col("n")) & (F.col("f1") == F.col("s1")) & (F.col("f2") == F.col("s2")), "left")
         degree = degree.select("f_n", "f1", "f2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")).filter("n_links > 0")

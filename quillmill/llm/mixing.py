@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import WORD, partitions, stage
+from ._shared import WORD, fresh, partitions, stage
 
 WEIGHTS = (3, 1, 2)
 #: Up to so many sources their targets are broadcast; beyond, they are joined by a shuffle.
@@ -111,17 +111,18 @@ def mixed_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", **how)
     Columns are those of ``docs``.  Each row is taken as its own sum says, also
     where ids repeat or are null: rows are staged with a key of their own.
     """
-    rows = stage(docs.withColumn("__tie", F.xxhash64(*docs.columns)).withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
-    taken = mix(rows, id_col=id_col, text_col=text_col, more=("__tie", "__row"), **how)
-    taken = taken.select(F.col("__row").alias("__id"), F.col("taken").alias("__taken"), F.col("size").alias("__size")).filter(F.col("__taken") > 0)
-    own = F.col("__size") > 0
-    full = F.when(own, F.floor(F.col("__taken") / F.col("__size"))).otherwise(0).cast("int")
-    rest = F.when(own, F.col("__taken") % F.col("__size")).otherwise(0).cast("int")
-    joined = rows.join(taken, rows["__row"] == taken["__id"])
+    tie, row, key, took, words, copy = (fresh(f"mix_{x}", docs.columns) for x in ("tie", "row", "key", "took", "words", "copy"))
+    rows = stage(docs.withColumn(tie, F.xxhash64(*docs.columns)).withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    taken = mix(rows, id_col=id_col, text_col=text_col, more=(tie, row), **how)
+    taken = taken.select(F.col(row).alias(key), F.col("taken").alias(took), F.col("size").alias(words)).filter(F.col(took) > 0)
+    own = F.col(words) > 0
+    full = F.when(own, F.floor(F.col(took) / F.col(words))).otherwise(0).cast("int")
+    rest = F.when(own, F.col(took) % F.col(words)).otherwise(0).cast("int")
+    joined = rows.join(taken, rows[row] == taken[key])
     copies = F.concat(F.array_repeat(F.lit(-1), full), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), 1, F.col("__cut")), " ")
-    rows = joined.withColumn("__cut", F.explode(copies))
-    text = F.when(F.col("__cut") < 0, F.col(text_col)).otherwise(cut)
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), 1, F.col(copy)), " ")
+    rows = joined.withColumn(copy, F.explode(copies))
+    text = F.when(F.col(copy) < 0, F.col(text_col)).otherwise(cut)
     return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 

@@ -120,3 +120,63 @@ def test_encoding(spark, docs):
         ids = tok.encode(r[1] or "", add_special_tokens=False).ids
         want[r[0], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
     assert Counter(map(tuple, corpus_pipeline.encode(spark, docs, "").collect())) == want
+
+
+#: Names of helper columns, past and present, as a user's own.
+CLASH = ["__row", "___row", "__tie", "__cut", "__id", "__toxic", "toxic", "gone", "mix_tie", "mix_row", "mix_key", "mix_took", "mix_words", "mix_copy", "removed", "is_null", "text_hash", "block", "carried", "k", "score", "size", "taken", "component_id", "n", "part", "key"]
+
+
+def wide(spark, rows):
+    return spark.createDataFrame([(*r, *[f"{c}{i}" for c in CLASH]) for i, r in enumerate(rows)], SCHEMA + "".join(f", {c} string" for c in CLASH))
+
+
+def untrained(texts, toxic, weight):
+    return {**toxicity.new_model(), "threshold": np.full(1, 100, np.float32)}
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_keep_other_columns(spark, tmp_path, monkeypatch, name):
+    """Columns that are named like helpers come out as they went in, each with its row."""
+    spark.createDataFrame([(1, 0, 0), (2, 0, 1), (4, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(toxicity, "train", untrained)
+    docs, step = wide(spark, ROWS), dict(corpus_pipeline.STAGES)[name]
+    got = step(spark, docs, str(tmp_path))
+    if name == "encoding":
+        assert got.count() == len(ROWS)
+        return
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert rows
+    plain = Counter(tuple(r[:5]) for r in rows)
+    assert sum(plain.values()) == sum(Counter(map(tuple, step(spark, spark.createDataFrame(ROWS, SCHEMA), str(tmp_path)).collect())).values())
+    for r in rows:
+        i = int(r["__row"][len("__row") :])
+        assert all(r[c] == f"{c}{i}" for c in CLASH) and (r["doc_id"], r["source"]) == (ROWS[i][0], ROWS[i][3])
+        assert name == "mixing" or name == "substrings" or tuple(r[:5]) == ROWS[i]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_of_no_rows(spark, tmp_path, monkeypatch, name):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(toxicity, "train", untrained)
+    docs = spark.createDataFrame([], SCHEMA)
+    got = dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path))
+    assert got.count() == 0 and (name == "encoding" or got.columns == docs.columns)
+
+
+def test_pipeline_of_no_rows(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_the_largest_id_is_not_null(spark):
+    """It is a component of its own, and one with a text like that of a row without an id."""
+    from quillmill.llm import jaccard
+
+    last, text, other = (1 << 63) - 1, prose(30), prose(30)
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(df([(last, text), (None, other), (3, "x y"), (0, "a")])).collect()}
+    assert got == {last: last, None: None, 3: 3, 0: 0}
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(df([(last, text), (None, text)])).collect()}
+    assert got == {last: last, None: last}
