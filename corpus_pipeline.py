@@ -24,14 +24,16 @@ TOKENIZER = "word_bpe_49k.json"
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5 by a model fitted on ``labels`` and these documents."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, score_col="__toxic").filter("__toxic < 0.5").drop("__toxic")
+    score = fresh("toxic", docs.columns)
+    return toxicity.score(docs, model, score_col=score).filter(F.col(score) < 0.5).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of the Jaccard join, the one with the least id (null last); each row is a document."""
-    rows = numbered(docs, "doc_id")
-    found = jaccard.jaccard_components(rows, id_col="__row").filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone"))
-    return rows.join(found, rows["__row"] == found["__gone"], "left_anti").select(*docs.columns)
+    rows, row = numbered(docs, "doc_id")
+    gone = fresh("gone", rows.columns)
+    found = jaccard.jaccard_components(rows, id_col=row).filter("component_id <> doc_id").select(F.col("doc_id").alias(gone))
+    return rows.join(found, rows[row] == found[gone], "left_anti").select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
