@@ -11,6 +11,7 @@ class Config:
     base_delay_seconds: int = 30
     max_file_bytes: int = 209_715_200
     parse_timeout_seconds: float = 60.0
+    download_timeout_seconds: float = 30.0
     strategy: str = "FIXED_TOKEN"
     max_tokens: int = 512
     overlap: int = 64

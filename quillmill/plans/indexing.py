@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..errors import ERRORS, is_permanent
 from ..operators import chunking, embedding, events, jobs, parsing, publication
+from ..sources.objects import ContentTable
 
 CHUNK = "tenant_id long, document_version_id long, document_id long, chunk_no int, content string, content_hash string, token_count int, page_from int, page_to int, section_path string, embedding array<float>, embedded_at timestamp"
 
@@ -46,8 +47,8 @@ def run_batch(state: State, decoded: DataFrame, sources: DataFrame, now: Column,
     the batch runs too, and then the deletion takes its chunks and ends its job if
     that is still active; a request after the deletion stands.
 
-    ``decoded``: rows of ``events.decode_events``; ``sources``: (source_object_key,
-    content).  Jobs due for another try run along.  ``keep(df, name)`` may
+    ``decoded``: rows of ``events.decode_events``; ``sources``: an ``ObjectStore``,
+    or a table (source_object_key, content).  Jobs due for another try run along.  ``keep(df, name)`` may
     store an intermediate result, so that it isn't computed for each of its uses.
     """
     registry = registry or parsing.ParserRegistry()
@@ -72,9 +73,9 @@ def run_batch(state: State, decoded: DataFrame, sources: DataFrame, now: Column,
     checked = events.validate_events(work, state.versions, state.documents, config=config)
     keys = state.versions.select(F.col("id").alias("k_id"), "source_object_key")
     fine = checked.filter("error_code is null").join(keys, F.col("document_version_id") == F.col("k_id"))
-    loaded = fine.join(sources.select("source_object_key", "content"), "source_object_key", "left")
-    code = F.when(F.col("content").isNull(), "DownloadException").when(F.concat(F.lit("sha256:"), F.sha2("content", 256)) != F.col("content_hash"), "HASH_MISMATCH")
-    loaded = loaded.withColumn("error_code", code)
+    loaded = (ContentTable(sources) if isinstance(sources, DataFrame) else sources).load(fine)
+    code = F.coalesce("load_error", F.when(F.col("actual_hash") != F.col("content_hash"), "HASH_MISMATCH"))
+    loaded = keep(loaded.withColumn("error_code", code).drop("load_error", "actual_hash"), "loaded")
     parsed = keep(parsing.parse_documents(loaded.filter("error_code is null"), registry, key="source_event_id", timeout=config.parse_timeout_seconds), "parsed")
     good = parsed.filter("parse_error is null")
     overlap = {"overlap": config.overlap} if config.strategy == "PARAGRAPH_OVERLAP" else {}
