@@ -44,6 +44,25 @@ def route(event_type: Column, version_id: Column) -> Column:
     return F.when((event_type == "INDEXING_REQUESTED") & version_id.isNull(), "drop").when(event_type == "INDEXING_REQUESTED", "index").when(event_type == "DOCUMENT_DELETED", "delete").otherwise("unknown")
 
 
+def ordered_rounds(events: DataFrame) -> DataFrame:
+    """Index requests and deletions with ``round``, from 1 for each document: run one round after the other, they take effect as in order of their offsets.
+
+    Records of one round don't depend on each other: a deletion has a round of
+    its own among its document's, and requests share one only for different
+    versions.  A document's rounds are as many as its longest chain of such
+    records; other documents' run beside them.
+    """
+    kind = route(F.col("event_type"), F.col("document_version_id"))
+    place = ["kafka_offset", "kafka_partition"]
+    rows = events.withColumn("__delete", (kind == "delete").cast("int")).filter(kind.isin("index", "delete"))
+    before = F.sum("__delete").over(Window.partitionBy("document_id").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("__part", 2 * F.coalesce(before, F.lit(0)) + F.col("__delete"))
+    nth = F.row_number().over(Window.partitionBy("document_id", "__part", "document_version_id").orderBy(*place))
+    rows = rows.withColumn("__nth", F.when(F.col("__delete") == 1, 1).otherwise(nth))
+    rank = F.dense_rank().over(Window.partitionBy("document_id").orderBy("__part", "__nth"))
+    return rows.withColumn("round", rank).drop("__delete", "__part", "__nth")
+
+
 def dedup_events(events: DataFrame) -> DataFrame:
     """``verdict``: NEW for an event's first record by (partition, offset), DUPLICATE for another one of it."""
     first = Window.partitionBy("source_event_id").orderBy("kafka_offset", "kafka_partition")

@@ -39,28 +39,46 @@ def publish(state: State, rows: DataFrame, done: DataFrame, now: Column) -> Stat
     return State(publication.promote(state.documents, state.versions, rows), publication.complete_versions(state.versions, rows, now), jobs.complete_jobs(state.jobs, done, now), chunks)
 
 
-def run_batch(state: State, decoded: DataFrame, sources: DataFrame, now: Column, *, config: Config = DEFAULT, registry=None, provider=None, keep=lambda df, name: df) -> State:
-    """Deletions and index requests of one micro-batch, as if each document's records were taken in order of their offsets.
+def run_ordered(state: State, decoded: DataFrame, sources, now: Column, *, config: Config = DEFAULT, keep=lambda df, name: df, **how) -> tuple[State, DataFrame]:
+    """One micro-batch, each document's records in order of their offsets: ``run_batch`` for each round of ``events.ordered_rounds``.
 
-    All records of a document have one key, hence one partition.  What stood
-    before the batch goes with a deletion at once; a request before the deletion in
-    the batch runs too, and then the deletion takes its chunks and ends its job if
-    that is still active; a request after the deletion stands.
+    All records of a document have one key, hence one partition.  Jobs that are
+    due for another try run in the first round.  There are as many rounds as one
+    document has records that depend on each other; without any, one still runs.
+    """
+    rounds = keep(events.ordered_rounds(decoded), "rounds")
+    last, dropped = rounds.agg(F.max("round")).first()[0] or 1, None
+    for n in range(1, last + 1):
+        named = lambda df, name, n=n: keep(df, f"{n}-{name}")
+        state, some = run_batch(state, rounds.filter(F.col("round") == n).drop("round"), sources, now, config=config, keep=named, **how)
+        dropped = some if dropped is None else dropped.unionByName(some)
+        if n < last:
+            state = State(*[named(getattr(state, x), f"out-{x}") for x in ("documents", "versions", "jobs", "chunks")])
+    return state, dropped
+
+
+def run_batch(state: State, decoded: DataFrame, sources, now: Column, *, config: Config = DEFAULT, registry=None, provider=None, keep=lambda df, name: df) -> tuple[State, DataFrame]:
+    """Deletions and index requests that don't depend on each other, and the requests that get no job, with ``verdict``.
+
+    A request gets none while another event's job is active for its version
+    (OTHER_ACTIVE), or if its event has one from another record (DUPLICATE).
 
     ``decoded``: rows of ``events.decode_events``; ``sources``: an ``ObjectStore``,
-    or a table (source_object_key, content).  Jobs due for another try run along.  ``keep(df, name)`` may
-    store an intermediate result, so that it isn't computed for each of its uses.
+    or a table (source_object_key, content).  ``state`` may hold no more than what
+    concerns the events' documents.  Its startable jobs run along.
+    ``keep(df, name)`` may store an intermediate result, so that it isn't
+    computed for each of its uses.
     """
     registry = registry or parsing.ParserRegistry()
     provider = provider or embedding.hash_provider(config.dimensions)
     kind = events.route(F.col("event_type"), F.col("document_version_id"))
     routed = keep(decoded.withColumn("route", kind), "routed")
     deletions = keep(events.validate_deletions(routed.filter("route = 'delete'"), state.documents, config=config), "deletions")
-    gone = deletions.filter("error_code is null").groupBy("document_id").agg(F.max("kafka_offset").alias("gone_at"))
-    state = apply_deletions(state, gone.select("document_id"), now)
+    state = apply_deletions(state, deletions.filter("error_code is null").select("document_id").distinct(), now)
 
     wanted = routed.filter("route = 'index'").drop("route")
-    new = jobs.insert_jobs_if_absent(state.jobs, wanted, now)
+    new = keep(jobs.insert_jobs_if_absent(state.jobs, wanted, now), "new")
+    dropped = keep(jobs.acquire_verdicts(wanted, state.jobs, new).filter(F.col("verdict").isin("OTHER_ACTIVE", "DUPLICATE")), "dropped")
     before = state.jobs.unionByName(new)
     mine = before.filter(jobs.startable(now, config.max_attempts)).select("source_event_id")
     table = keep(jobs.start_jobs(jobs.fail_exceeded(before, now, max_attempts=config.max_attempts), now, worker_id=config.worker_id, max_attempts=config.max_attempts), "started")
@@ -100,14 +118,7 @@ def run_batch(state: State, decoded: DataFrame, sources: DataFrame, now: Column,
     table = table.join(phases, "source_event_id", "left").withColumn("phase", F.coalesce("p", "phase")).select(*before.columns)
     table = jobs.record_failures(table, failed, now, max_attempts=config.max_attempts, base_delay=config.base_delay_seconds)
     out = publish(replace(state, jobs=table), keep(rows.drop("source_event_id", "embedding_error"), "rows"), done, now)
-    # Requests that a deletion in this batch came after: it takes what they published, unless a later request published the same.
-    placed = wanted.join(gone, "document_id").select("source_event_id", "document_id", "document_version_id", (F.col("kafka_offset") < F.col("gone_at")).alias("early"))
-    ended = placed.groupBy("source_event_id", "document_id", "document_version_id").agg(F.bool_and("early").alias("early"))
-    versions = ended.groupBy("document_version_id").agg(F.bool_and("early").alias("early")).filter("early").select("document_version_id")
-    active = out.jobs.join(ended.filter("early").select("source_event_id"), "source_event_id", "left_semi")
-    failed_now = jobs.fail_jobs_for_deleted(active, gone.select("document_id"), now)
-    rest = out.jobs.join(ended.filter("early").select("source_event_id"), "source_event_id", "left_anti")
-    return replace(out, jobs=rest.unionByName(failed_now.select(*rest.columns)), chunks=out.chunks.join(versions, "document_version_id", "left_anti").select(*out.chunks.columns))
+    return out, dropped
 
 
 def rejected_deletions(decoded: DataFrame, documents: DataFrame, *, config: Config = DEFAULT) -> DataFrame:

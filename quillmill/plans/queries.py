@@ -74,6 +74,11 @@ def validate_deletions(spark, sf_dir):
     return out.select("kafka_offset", "document_id", "error_code")
 
 
+def ordered_rounds(spark, sf_dir):
+    """The round in which each request or deletion takes effect after those of its document that it depends on."""
+    return events.ordered_rounds(fx.events(spark, sf_dir)).select("kafka_offset", "document_id", "round")
+
+
 def dedup_events(spark, sf_dir):
     return events.dedup_events(fx.events(spark, sf_dir)).select("kafka_offset", "source_event_id", "verdict")
 
@@ -244,6 +249,7 @@ def _sql() -> dict[str, str]:
         "route_events": "SELECT CASE WHEN event_type = 'INDEXING_REQUESTED' AND document_version_id IS NULL THEN 'drop' WHEN event_type = 'INDEXING_REQUESTED' THEN 'index' WHEN event_type = 'DOCUMENT_DELETED' THEN 'delete' ELSE 'unknown' END AS route, count(*) AS n_events FROM event GROUP BY 1",
         "validate_events": "SELECT e.kafka_offset, e.source_event_id, CASE WHEN schema_version <> 1 THEN 'UNSUPPORTED_SCHEMA_VERSION' WHEN v.id IS NULL THEN 'DOCUMENT_VERSION_NOT_FOUND' WHEN v.document_id <> e.document_id THEN 'DOCUMENT_MISMATCH' WHEN d.id IS NULL THEN 'DOCUMENT_NOT_FOUND' WHEN d.tenant_id <> e.tenant_id THEN 'TENANT_MISMATCH' WHEN v.file_size > 20000 THEN 'FILE_TOO_LARGE' WHEN v.content_hash <> 'sha256:' || sha256(s.text) THEN 'HASH_MISMATCH' WHEN mime_type NOT IN ('text/plain', 'text/markdown') THEN 'UNSUPPORTED_MIME_TYPE' END AS error_code FROM event e LEFT JOIN version v ON v.id = e.document_version_id LEFT JOIN document d ON d.id = e.document_id LEFT JOIN documents s ON s.doc_id = e.document_id WHERE event_type = 'INDEXING_REQUESTED' AND document_version_id IS NOT NULL",
         "validate_deletions": "SELECT e.kafka_offset, e.document_id, CASE WHEN schema_version <> 1 THEN 'UNSUPPORTED_SCHEMA_VERSION' WHEN d.id IS NULL THEN 'DOCUMENT_NOT_FOUND' WHEN d.tenant_id <> e.tenant_id THEN 'TENANT_MISMATCH' END AS error_code FROM event e LEFT JOIN document d ON d.id = e.document_id WHERE event_type = 'DOCUMENT_DELETED'",
+        "ordered_rounds": (",", "take AS (SELECT *, CAST(event_type = 'DOCUMENT_DELETED' AS INT) AS del FROM event WHERE event_type = 'DOCUMENT_DELETED' OR (event_type = 'INDEXING_REQUESTED' AND document_version_id IS NOT NULL)), part AS (SELECT *, 2 * coalesce(sum(del) OVER (PARTITION BY document_id ORDER BY kafka_offset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + del AS p FROM take), nth AS (SELECT *, CASE WHEN del = 1 THEN 1 ELSE row_number() OVER (PARTITION BY document_id, p, document_version_id ORDER BY kafka_offset) END AS n FROM part) SELECT kafka_offset, document_id, CAST(dense_rank() OVER (PARTITION BY document_id ORDER BY p, n) AS INT) AS round FROM nth"),
         "dedup_events": "SELECT kafka_offset, source_event_id, CASE WHEN row_number() OVER (PARTITION BY source_event_id ORDER BY kafka_offset) = 1 THEN 'NEW' ELSE 'DUPLICATE' END AS verdict FROM event",
         "coalesce_active_jobs": (",", _INS + " SELECT source_event_id, document_version_id, 'PENDING' AS status, 0 AS attempt_count, kafka_offset FROM ins"),
         "acquire_verdicts": (",", _INS + " SELECT r.kafka_offset, r.source_event_id, CASE WHEN i.kafka_offset = r.kafka_offset THEN 'NEW' WHEN coalesce(o.kafka_offset, i.kafka_offset) IS NULL THEN 'OTHER_ACTIVE' WHEN coalesce(o.kafka_offset, i.kafka_offset) = r.kafka_offset THEN 'REDELIVERY' ELSE 'DUPLICATE' END AS verdict FROM req r LEFT JOIN oldj o USING (source_event_id) LEFT JOIN ins i USING (source_event_id)"),

@@ -2,12 +2,15 @@ import datetime
 import hashlib
 import json
 import os
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillmill.config import Config
 from quillmill.operators import events, jobs, publication
 from quillmill.operators import embedding
+from quillmill.sources.store import Delta, LostRace, bucket_of
 from quillmill.streaming.indexing import METRIC, REJECTED, TABLES, HealthGate, batch_handler, maintenance, open_store
 
 T0 = datetime.datetime(2024, 3, 1)
@@ -142,14 +145,121 @@ def test_a_commit_that_breaks_off_leaves_the_last_one(spark, tmp_path, monkeypat
         store._fs = fs
     assert store.last_batch() == 1 and len(read("chunks")) == 3
     assert [x for x in sorted(os.listdir(tmp_path / "store")) if not x.startswith("_aside") and not x.startswith("._aside")] == was
-    # Buckets that weren't touched stay the files they are, and old snapshots go.
-    from quillmill.sources.store import bucket_of
-
-    bucket = spark.createDataFrame([(2,)], "document_id long").select(bucket_of("document_id")).first()[0]
+    # A delta replaces its groups and leaves the others; one that is emptied goes; old parts go when nothing names them.
     for batch in range(2, 8):
-        store.commit(batch, {"chunks": rows.filter("document_id <> 2")}, {"chunks": [bucket]})
-    assert sorted(r["document_id"] for r in read("chunks")) == [1, 3]
+        store.commit(batch, {"chunks": Delta(rows.filter("document_id = 1").withColumn("content", F.lit(f"c{batch}")), rows.filter("document_id = 2").select("document_id"))})
+    assert sorted((r["document_id"], r["content"]) for r in read("chunks")) == [(1, "c7"), (3, "c")]
+    one = rows.select("document_id").filter("document_id = 3")
+    assert [r["document_id"] for r in store.read("chunks", TABLES["chunks"], one).collect()] == [3]
+    assert store.compact(TABLES, most=3) == {"chunks": len({bucket(spark, 1), bucket(spark, 2)})} and store.compact(TABLES, most=3) == {}
+    assert sorted((r["document_id"], r["content"]) for r in read("chunks")) == [(1, "c7"), (3, "c")]
+    for batch in range(8, 12):
+        store.commit(batch, {"chunks": rows.filter("document_id = 3")})
+    assert [r["document_id"] for r in read("chunks")] == [3]
     assert len([x for x in os.listdir(tmp_path / "store") if x.startswith("_pointer.")]) == 3 and len(os.listdir(tmp_path / "store" / "chunks")) <= 4
+    # Of two that computed from the same tables, the later one must start over.
+    since = store.number()
+    store.commit(12, {"chunks": rows}, since=since)
+    with pytest.raises(LostRace):
+        store.commit(13, {"chunks": rows}, since=since)
+
+
+def bucket(spark, document):
+    return spark.createDataFrame([(document,)], "document_id long").select(bucket_of("document_id")).first()[0]
+
+
+def written(root):
+    """Bytes of data below a folder, by file."""
+    return {os.path.join(d, f): os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(root) for f in names if f.endswith(".parquet") and "_work" not in d}
+
+
+def test_bytes_written_dont_grow_with_the_tables(spark, tmp_path):
+    """A batch of one event writes as much beside 3,000 documents as beside 30, and opens no more of their buckets."""
+    size = {}
+    for n in (30, 3_000):
+        store, sources, read = opened(spark, tmp_path / str(n), n)
+        handle = batch_handler(store, sources, config=Config(dimensions=8), clock=lambda: T0)
+        before = written(tmp_path / str(n))
+        handle(records(spark, record(0, 1, 10)), 1)
+        after = written(tmp_path / str(n))
+        size[n] = sum(v for k, v in after.items() if k not in before)
+        assert [r["document_id"] for r in read("chunks")] == [1] and len(read("documents")) == n
+        files = store.read("documents", TABLES["documents"], spark.createDataFrame([(1,)], "id long")).inputFiles()
+        assert {f.split("__bucket=")[1].split("/")[0] for f in files} == {str(bucket(spark, 1))}
+    assert size[3_000] < 1.2 * size[30], size
+
+
+def simulate(versions, sequence):
+    """Each record taken alone, in order: jobs by event, chunks' versions by document, searchable versions, refusals."""
+    jobs_, chunks, searchable, refused = {}, set(), {}, []
+    for offset, doc, version, kind, event in sequence:
+        if kind == "DOCUMENT_DELETED":
+            for j in jobs_.values():
+                if j["document"] == doc and j["status"] in ("PENDING", "PROCESSING", "RETRY_WAIT"):
+                    j |= {"status": "FAILED", "code": "DOCUMENT_DELETED"}
+            chunks = {v for v in chunks if versions[v]["document"] != doc}
+            continue
+        if event in jobs_:
+            refused.append((offset, "DUPLICATE"))
+        elif any(j["version"] == version and j["status"] == "RETRY_WAIT" for j in jobs_.values()):
+            refused.append((offset, "OTHER_ACTIVE"))
+        else:
+            how = versions[version]["fails"]
+            jobs_[event] = {"document": doc, "version": version, "status": {None: "COMPLETED", "HASH_MISMATCH": "FAILED"}.get(how, "RETRY_WAIT"), "code": how}
+            if how is None:
+                chunks.add(version)
+                old = searchable.get(doc)
+                if old is None or versions[old]["emb"] < versions[version]["emb"]:
+                    searchable[doc] = version
+    return {e: (j["status"], j["code"]) for e, j in jobs_.items()}, chunks, searchable, sorted(refused)
+
+
+def test_any_sequence_is_as_if_taken_one_by_one(spark, tmp_path):
+    """Requests, repeats and deletions of three documents in one batch and the next end as a simulation of each record alone does."""
+    rng = random.Random(11)
+    text = b"# Title\nhello world"
+    digest = "sha256:" + hashlib.sha256(text).hexdigest()
+    versions = {10 * d + v: {"document": d, "emb": v, "fails": None} for d in (1, 2, 3) for v in (1, 2)}
+    versions[12]["fails"], versions[21]["fails"] = "HASH_MISMATCH", "DownloadException"
+    store = open_store(spark, str(tmp_path / "store"))
+    rows = [(i, x["document"], x["emb"], x["emb"], f"k{i}" if x["fails"] != "DownloadException" else "missing", "text/markdown", 19, "sha256:bad" if x["fails"] == "HASH_MISMATCH" else digest, None, None, None) for i, x in versions.items()]
+    store.commit(0, {"documents": spark.createDataFrame([(i, 7, 2, 0, None, None) for i in (1, 2, 3)], TABLES["documents"]), "versions": spark.createDataFrame(rows, TABLES["versions"])})
+    sources = spark.createDataFrame([(f"k{i}", text) for i in versions], "source_object_key string, content binary")
+    sequence = []
+    for offset in range(22):
+        doc = rng.choice((1, 2, 3))
+        kind = "DOCUMENT_DELETED" if rng.random() < 0.25 else "INDEXING_REQUESTED"
+        again = [x for x in sequence if x[1] == doc and x[3] == kind == "INDEXING_REQUESTED"]
+        if again and rng.random() < 0.2:
+            _, _, version, _, event = rng.choice(again)
+        else:
+            version, event = 10 * doc + rng.choice((1, 2)), f"e{offset}"
+        sequence.append((offset, doc, version, kind, event))
+    handle = batch_handler(store, sources, config=Config(dimensions=8), clock=lambda: T0)
+    for batch, part in ((1, sequence[:14]), (2, sequence[14:])):
+        handle(records(spark, *[record(o, d, v if k == "INDEXING_REQUESTED" else None, k, e) for o, d, v, k, e in part]), batch)
+    read = lambda name: store.read(name, TABLES.get(name) or REJECTED).collect()
+    jobs_, chunks, searchable, refused = simulate(versions, sequence)
+    assert {r["source_event_id"]: (r["status"], r["last_error_code"]) for r in read("jobs")} == jobs_
+    assert {r["document_version_id"] for r in read("chunks")} == chunks
+    assert {r["id"]: r["searchable_version_id"] for r in read("documents") if r["searchable_version_id"]} == searchable
+    assert sorted((r["offset"], r["reason"]) for r in read("rejected")) == refused and refused
+
+
+def test_rounds(spark):
+    """Records that depend on each other keep their order in rounds, and no document has more of them than it needs."""
+    rng = random.Random(3)
+    rows = [(o, rng.randrange(4), None if rng.random() < 0.2 else rng.randrange(3), 0) for o in range(120)]
+    kind = lambda v: "DOCUMENT_DELETED" if v is None else "INDEXING_REQUESTED"
+    df = spark.createDataFrame([(o, 0, d, v, kind(v)) for o, d, v, _ in rows], "kafka_offset long, kafka_partition int, document_id long, document_version_id long, event_type string")
+    got = {r["kafka_offset"]: r["round"] for r in events.ordered_rounds(df).collect()}
+    assert len(got) == len(rows)
+    for a in rows:
+        later = [b for b in rows if b[1] == a[1] and b[0] > a[0]]
+        assert all(got[b[0]] > got[a[0]] for b in later if a[2] is None or b[2] is None or a[2] == b[2])
+    for d in range(4):
+        mine = sorted({got[r[0]] for r in rows if r[1] == d})
+        assert mine == list(range(1, len(mine) + 1))
 
 
 def test_health_gate_waits():
