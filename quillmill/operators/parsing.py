@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .isolate import MEMORY, Isolated, ParserDied, ParseTimeout
 from .pdf import PdfError, page_texts
 
 BLOCK = "struct<order:int,type:string,text:string,page_no:int,heading_path:array<string>>"
@@ -40,10 +41,15 @@ class Block:
 
 
 class Parser:
-    """A registered parser: MIME types, a version tag, and ``parse``."""
+    """A registered parser: MIME types, a version tag, and ``parse``.
+
+    ``isolated``: it runs in a child process, which a limit can end anywhere.
+    One that only runs Python code in time proportional to its input may do without.
+    """
 
     mime_types: frozenset[str] = frozenset()
     version = ""
+    isolated = True
 
     def parse(self, content: bytes) -> Iterator[Block]:
         raise NotImplementedError
@@ -54,6 +60,7 @@ class TextParser(Parser):
 
     mime_types = frozenset({"text/plain", "text/markdown"})
     version = "text-parser/1.0.0"
+    isolated = False
 
     def parse(self, content):
         stack: list[tuple[int, str]] = []
@@ -177,51 +184,74 @@ class CorruptedFile(ValueError):
 _BAD_BYTES = (OSError, CorruptedFile, PdfError, UnicodeError, EOFError, zipfile.BadZipFile, zlib.error, ElementTree.ParseError, struct.error)
 
 
-class _Timeout(Exception):
-    pass
-
-
-def _guarded(parser: Parser, content: bytes, seconds: float) -> list[Block]:
-    """All blocks, or _Timeout after ``seconds`` of wall clock (only a main thread can be interrupted)."""
+def _interrupted(parser: Parser, content: bytes, seconds: float) -> list[dict]:
+    """All blocks, or ParseTimeout after ``seconds`` of wall clock (only a main thread can be interrupted)."""
     if threading.current_thread() is not threading.main_thread() or seconds <= 0:
-        return list(parser.parse(content))
+        return [vars(b) for b in parser.parse(content)]
 
     def stop(*_):
-        raise _Timeout
+        raise ParseTimeout
 
     before = signal.signal(signal.SIGALRM, stop)
     signal.setitimer(signal.ITIMER_REAL, seconds)
     try:
-        return list(parser.parse(content))
+        return [vars(b) for b in parser.parse(content)]
     finally:
         signal.setitimer(signal.ITIMER_REAL, 0)
         signal.signal(signal.SIGALRM, before)
 
 
-def parse_documents(df: DataFrame, registry: ParserRegistry | None = None, *, key="doc_id", content="content", mime="mime_type", timeout: float = 60.0) -> DataFrame:
-    """(key, blocks, parser_version, parse_error): blocks of each document, or the code of what went wrong."""
+#: Bytes of contents whose blocks make one Arrow batch.
+BATCH_BYTES = 32 << 20
+
+
+def parse_documents(df: DataFrame, registry: ParserRegistry | None = None, *, key="doc_id", content="content", mime="mime_type", timeout: float = 60.0, memory: int = MEMORY, killed=None, leaked=None) -> DataFrame:
+    """(key, blocks, parser_version, parse_error): blocks of each document, or the code of what went wrong.
+
+    ``timeout`` seconds and ``memory`` bytes are a document's limits; beyond
+    them ParseTimeoutException and MemoryError, after a crash ParserDied, all of
+    which are tried again by whoever reads them.  ``killed`` and ``leaked`` may be
+    accumulators: parser processes stopped, and those that wouldn't stop.
+    """
     registry = registry or ParserRegistry()
 
+    def parsed(kind: str, data: bytes, how=lambda parser, data: [vars(b) for b in parser.parse(data)]):
+        try:
+            return how(registry.find(kind), data), None
+        except ParseTimeout:
+            return None, "ParseTimeoutException"
+        except _BAD_BYTES:
+            return None, "CORRUPTED_FILE"
+        except Exception as error:  # a parser's own failure: its class's name, which is tried again
+            return None, type(error).__name__
+
+    def outcome(child: Isolated, data: bytes, kind: str | None):
+        parser = registry.find(kind)
+        if parser is None:
+            return None, None, "UNSUPPORTED_MIME_TYPE"
+        if not parser.isolated:
+            blocks, code = parsed(kind, data, lambda p, x: _interrupted(p, x, timeout))
+            return blocks, parser.version, code
+        try:
+            blocks, code = child.run(timeout, kind, data)
+        except ParseTimeout:
+            blocks, code = None, "ParseTimeoutException"
+        except ParserDied:
+            blocks, code = None, "ParserDied"
+        return blocks, parser.version, code
+
     def work(batches):
-        for batch in batches:
-            blocks, versions, errors = [], [], []
-            for data, kind in zip(batch.column("content").to_pylist(), batch.column("mime").to_pylist()):
-                parser, found, code = registry.find(kind), None, None
-                if parser is None:
-                    code = "UNSUPPORTED_MIME_TYPE"
-                else:
-                    try:
-                        found = [vars(b) for b in _guarded(parser, data or b"", timeout)]
-                    except _Timeout:
-                        code = "ParseTimeoutException"
-                    except _BAD_BYTES:
-                        code = "CORRUPTED_FILE"
-                    except Exception as error:  # a parser's own failure: its class's name, which is tried again
-                        code = type(error).__name__
-                blocks.append(found)
-                versions.append(parser.version if parser else None)
-                errors.append(code)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(blocks, pa.list_(_ARROW)), pa.array(versions, pa.string()), pa.array(errors, pa.string())], names=[key, "blocks", "parser_version", "parse_error"])
+        with Isolated(parsed, memory=memory, killed=killed, leaked=leaked) as child:
+            for batch in batches:
+                rows, held, first = [], 0, 0
+                for i, (data, kind) in enumerate(zip(batch.column("content"), batch.column("mime").to_pylist())):
+                    data = data.as_py() or b""
+                    rows.append(outcome(child, data, kind))
+                    held += len(data)
+                    if held >= BATCH_BYTES or i + 1 == batch.num_rows:
+                        blocks, versions, errors = zip(*rows)
+                        yield pa.RecordBatch.from_arrays([batch.column("key").slice(first, len(rows)), pa.array(blocks, pa.list_(_ARROW)), pa.array(versions, pa.string()), pa.array(errors, pa.string())], names=[key, "blocks", "parser_version", "parse_error"])
+                        rows, held, first = [], 0, i + 1
 
     rows = df.select(F.col(key).alias("key"), F.col(content).cast("binary").alias("content"), F.col(mime).alias("mime"))
     kind = dict(rows.dtypes)["key"]

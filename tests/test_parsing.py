@@ -151,3 +151,69 @@ def test_hwp_text(spark):
     assert run_one(spark, parsing.HwpParser(lambda data: "a\n\nb"), b"", "application/x-hwp")["blocks"][1]["text"] == "b"
     streams["FileHeader"] = streams["FileHeader"][:36] + struct.pack("<I", 3)
     assert run_one(spark, parsing.HwpParser(), compound(streams), "application/x-hwp")["parse_error"] == "CORRUPTED_FILE"
+
+
+def limits(spark, parser, *contents, **how):
+    killed, leaked = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame([(i, c, "x/y") for i, c in enumerate(contents)], "doc_id long, content binary, mime_type string").coalesce(1)
+    got = {r["doc_id"]: (r["parse_error"], [b["text"] for b in r["blocks"] or []]) for r in parsing.parse_documents(df, parsing.ParserRegistry([parser]), killed=killed, leaked=leaked, **how).collect()}
+    return got, killed.value, leaked.value
+
+
+def test_a_parser_is_ended_within_c_code_too(spark):
+    """Time, memory and crashes are one document's: those before and after it are parsed; each ended process is counted."""
+
+    class Odd(parsing.Parser):
+        mime_types = frozenset({"x/y"})
+
+        def parse(self, content):
+            import ctypes
+            import os
+            import time
+
+            if content == b"sleep":
+                time.sleep(30)
+            if content == b"c code":
+                re.match(r"(a+)+$", "a" * 40 + "b")  # for ages, and without a bytecode in between
+            if content == b"memory":
+                bytearray(1 << 40)
+            if content == b"crash":
+                os.kill(os.getpid(), 11)
+            if content == b"unsendable":
+
+                class Own(Exception):
+                    pass
+
+                raise Own("x")
+            yield parsing.Block(0, "PARAGRAPH", content.decode(), None, [])
+
+    import re
+
+    got, killed, leaked = limits(spark, Odd(), b"a", b"c code", b"b", b"sleep", b"memory", b"c", b"crash", b"unsendable", b"d", timeout=1.0)
+    assert got == {0: (None, ["a"]), 1: ("ParseTimeoutException", []), 2: (None, ["b"]), 3: ("ParseTimeoutException", []), 4: ("MemoryError", []), 5: (None, ["c"]), 6: ("ParserDied", []), 7: ("Own", []), 8: (None, ["d"])}
+    assert (killed, leaked) == (3, 0)
+
+
+def test_in_time_nothing_is_ended(spark):
+    class Plain(parsing.Parser):
+        mime_types = frozenset({"x/y"})
+
+        def parse(self, content):
+            if content == b"bad":
+                raise OSError("bad pdf")
+            yield parsing.Block(0, "PARAGRAPH", "x" * 3_000_000, None, [])
+
+    got, killed, leaked = limits(spark, Plain(), b"1", b"bad", b"2", timeout=20.0)
+    assert {i: (code, len("".join(t))) for i, (code, t) in got.items()} == {0: (None, 3_000_000), 1: ("CORRUPTED_FILE", 0), 2: (None, 3_000_000)} and (killed, leaked) == (0, 0)
+
+
+def test_a_parser_without_isolation_is_interrupted(spark):
+    class Loop(parsing.Parser):
+        mime_types = frozenset({"x/y"})
+        isolated = False
+
+        def parse(self, content):
+            while True:
+                pass
+
+    assert limits(spark, Loop(), b"1", timeout=0.5)[0] == {0: ("ParseTimeoutException", [])}
