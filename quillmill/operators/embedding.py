@@ -39,7 +39,8 @@ _OUT = pa.struct([("vector", pa.list_(pa.float32())), ("error", pa.string())])
 _RESULT = T.StructType([T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType())])
 
 
-def _code(error: Exception) -> str:
+def error_code(error: Exception) -> str:
+    """The code of what was raised: a refusal's own, else the class's name."""
     return "EMBEDDING_REQUEST_REJECTED" if isinstance(error, EmbeddingRejected) else type(error).__name__
 
 
@@ -52,7 +53,7 @@ def _embedded(provider: Provider, texts: list[str]) -> list[dict]:
         return [{"vector": v, "error": None} for v in vectors]
     except Exception as error:  # whatever a provider raises becomes data
         if len(texts) <= 1:
-            return [{"vector": None, "error": _code(error)} for _ in texts]
+            return [{"vector": None, "error": error_code(error)} for _ in texts]
         return [x for text in texts for x in _embedded(provider, [text])]
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..errors import ERRORS, is_permanent
-from ..operators import chunking, embedding, events, jobs, parsing, publication
+from ..operators import chunking, events, jobs, parsing, processing, publication
 from ..sources.objects import ContentTable
 
 CHUNK = "tenant_id long, document_version_id long, document_id long, chunk_no int, content string, content_hash string, token_count int, page_from int, page_to int, section_path string, embedding array<float>, embedded_at timestamp"
@@ -57,7 +57,7 @@ def run_ordered(state: State, decoded: DataFrame, sources, now: Column, *, confi
     return state, dropped
 
 
-def run_batch(state: State, decoded: DataFrame, sources, now: Column, *, config: Config = DEFAULT, registry=None, provider=None, keep=lambda df, name: df) -> tuple[State, DataFrame]:
+def run_batch(state: State, decoded: DataFrame, sources, now: Column, *, config: Config = DEFAULT, registry=None, provider=None, processors=None, keep=lambda df, name: df) -> tuple[State, DataFrame]:
     """Deletions and index requests that don't depend on each other, and the requests that get no job, with ``verdict``.
 
     A request gets none while another event's job is active for its version
@@ -66,11 +66,12 @@ def run_batch(state: State, decoded: DataFrame, sources, now: Column, *, config:
     ``decoded``: rows of ``events.decode_events``; ``sources``: an ``ObjectStore``,
     or a table (source_object_key, content).  ``state`` may hold no more than what
     concerns the events' documents.  Its startable jobs run along.
+    ``processors``: the plugs between chunking and publication (``operators.processing``), embedding by ``provider`` if none are given.
     ``keep(df, name)`` may store an intermediate result, so that it isn't
     computed for each of its uses.
     """
     registry = registry or parsing.ParserRegistry()
-    provider = provider or embedding.hash_provider(config.dimensions)
+    processors = [processing.embedder(provider, dimensions=config.dimensions)] if processors is None else processors
     kind = events.route(F.col("event_type"), F.col("document_version_id"))
     routed = keep(decoded.withColumn("route", kind), "routed")
     deletions = keep(events.validate_deletions(routed.filter("route = 'delete'"), state.documents, config=config), "deletions")
@@ -100,24 +101,27 @@ def run_batch(state: State, decoded: DataFrame, sources, now: Column, *, config:
     cut = chunking.chunk(good, config.strategy, key="source_event_id", max_tokens=config.max_tokens, tokenizer=config.tokenizer, **overlap)
     guard = keep(chunking.guard_chunks(good, config.strategy, key="source_event_id", max_chunks=config.max_chunks, max_total_tokens=config.max_total_tokens, max_tokens=config.max_tokens, tokenizer=config.tokenizer, **overlap), "guard")
     passed = cut.join(guard.filter("error_code is null").select("source_event_id"), "source_event_id", "left_semi")
-    vectors = keep(embedding.embed_and_validate(passed, provider, dimensions=config.dimensions), "vectors")
     about = started.select("source_event_id", "document_id", "document_version_id")
+    context = about.join(state.versions.select(F.col("id").alias("document_version_id"), "version_no"), "document_version_id", "left")
+    vectors = processing.run_all(passed.join(context, "source_event_id"), processors)
+    vectors = keep(vectors.drop(*processing.CONTEXT[1:]), "vectors")
     # One error for a document: the provider's or a vector's, else what forbids publishing its version.
     wrong = publication.publication_errors(vectors.join(about, "source_event_id"), state.documents).filter("error_code is not null")
     wrong = about.join(wrong, "document_version_id").select("source_event_id", "error_code")
-    odd = vectors.filter("embedding_error is not null").groupBy("source_event_id").agg(F.min("embedding_error").alias("error_code"))
-    odd = odd.unionByName(wrong.join(odd.select("source_event_id"), "source_event_id", "left_anti"))
-    failed = checked.filter("error_code is not null").select("source_event_id", "error_code")
+    odd = vectors.filter("embedding_error is not null").groupBy("source_event_id").agg(F.min(F.struct("embedding_error", "error_message")).alias("e"))
+    odd = odd.select("source_event_id", F.col("e.embedding_error").alias("error_code"), F.col("e.error_message").alias("error_message"))
+    odd = odd.unionByName(wrong.join(odd.select("source_event_id"), "source_event_id", "left_anti"), allowMissingColumns=True)
+    failed = checked.filter("error_code is not null").select("source_event_id", "error_code", F.lit(None).cast("string").alias("error_message"))
     for some in (loaded.filter("error_code is not null").select("source_event_id", "error_code"), parsed.filter("parse_error is not null").select("source_event_id", F.col("parse_error").alias("error_code")), guard.filter("error_code is not null").select("source_event_id", "error_code"), odd):
-        failed = failed.unionByName(some)
-    failed = keep(failed.withColumn("error_message", F.col("error_code")).withColumn("permanent", is_permanent(F.col("error_code"))), "failed")
+        failed = failed.unionByName(some, allowMissingColumns=True)
+    failed = keep(failed.withColumn("error_message", F.coalesce("error_message", "error_code")).withColumn("permanent", is_permanent(F.col("error_code"))), "failed")
     stages = F.create_map(*[F.lit(x) for name, (_, place) in ERRORS.items() for x in (name, place)])
     rows = vectors.join(failed, "source_event_id", "left_anti").join(about, "source_event_id").withColumn("embedded_at", now)
     done = rows.select("source_event_id").distinct()
     phases = failed.select("source_event_id", jobs.phase_of(stages[F.col("error_code")]).alias("p")).unionByName(done.withColumn("p", F.lit(jobs.PHASES[-1])))
     table = table.join(phases, "source_event_id", "left").withColumn("phase", F.coalesce("p", "phase")).select(*before.columns)
     table = jobs.record_failures(table, failed, now, max_attempts=config.max_attempts, base_delay=config.base_delay_seconds)
-    out = publish(replace(state, jobs=table), keep(rows.drop("source_event_id", "embedding_error"), "rows"), done, now)
+    out = publish(replace(state, jobs=table), keep(rows.drop("source_event_id", "embedding_error", "error_message"), "rows"), done, now)
     return out, dropped
 
 

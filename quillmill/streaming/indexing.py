@@ -6,13 +6,14 @@ import datetime
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..operators import events, jobs, publication
 from ..plans.indexing import CHUNK, State, apply_deletions, rejected_deletions, run_ordered
 from ..sources.store import Delta, Key, LostRace, SnapshotStore
+from .metrics import Clock, job_meters
 
 DOCUMENT = "id long, tenant_id long, latest_upload_version_no long, latest_embedding_version_no long, searchable_version_id long, deleted_at timestamp"
 VERSION = "id long, document_id long, version_no long, embedding_version_no long, source_object_key string, mime_type string, file_size long, content_hash string, extracted_metadata string, chunk_count int, indexed_at timestamp"
@@ -84,12 +85,13 @@ def _run(store: SnapshotStore, *args) -> None:
 
 def _once(store: SnapshotStore, batch: int | None, decoded: DataFrame, sources, now, rejected: DataFrame | None, config: Config, swept: int, how: dict) -> None:
     """One run over what the store's tables hold about the documents of ``decoded``, or, without a batch, of jobs that are due and of at most ``swept`` leftovers of deletions."""
-    began, since = time.monotonic(), store.number()
+    clock, since = Clock(), store.number()
     work = store.work_folder()
 
     def keep(df, name):
         """Written and read again: computed once, whoever is lost, and the plans of what follows stay short."""
-        df.write.parquet(f"{work}/{name}")
+        with clock.during(name):
+            df.write.parquet(f"{work}/{name}")
         return store.spark.read.schema(df.schema).parquet(f"{work}/{name}")
 
     try:
@@ -105,9 +107,10 @@ def _once(store: SnapshotStore, batch: int | None, decoded: DataFrame, sources,
         out, dropped = run_ordered(state, decoded, sources, now, config=config, keep=keep, **how)
         out = State(*[keep(getattr(out, name).select(*getattr(was, name).columns), f"is-{name}") for name in TABLES])
         changes = _changes(was, out)
-        counts = out.jobs.join(was.jobs.select("source_event_id", F.col("status").alias("was")), "source_event_id", "left").filter("was is null or was <> status").groupBy("status").count().collect()
-        values = {f"jobs_{r['status'].lower()}": float(r["count"]) for r in counts} | {"batch_seconds": time.monotonic() - began}
-        tables = changes | {"metrics": store.spark.createDataFrame([(batch, k, v) for k, v in values.items()], METRIC)}
+        seen = Observation()
+        moved = keep(changes["jobs"].rows.withColumn("__now", now).observe(seen, *job_meters(config.max_attempts)), "moved").drop("__now")
+        values = {k: float(n) for k, n in seen.get.items() if n} | clock.values()
+        tables = changes | {"jobs": Delta(moved), "metrics": store.spark.createDataFrame([(batch, k, v) for k, v in values.items()], METRIC)}
         place = [F.col("kafka_topic").alias("topic"), F.col("kafka_partition").alias("partition"), F.col("kafka_offset").alias("offset"), F.lit(None).cast("string").alias("value"), F.col("verdict").alias("reason"), "trace_id"]
         refused = dropped.select(*place)
         store.commit(batch, tables | {"rejected": refused if rejected is None else rejected.unionByName(refused)}, since=since)

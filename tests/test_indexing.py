@@ -90,7 +90,8 @@ def test_records_of_a_document_keep_their_order(spark, tmp_path):
     assert sorted(r["document_id"] for r in read("chunks")) == [2, 3]
     assert {r["source_event_id"]: r["status"] for r in read("jobs")} == {"e0": "COMPLETED", "e3": "COMPLETED", "e4": "COMPLETED"}
     assert [(r["offset"], r["reason"]) for r in read("rejected")] == [(5, "DOCUMENT_NOT_FOUND")]
-    assert {r["name"] for r in read("metrics")} == {"jobs_completed", "batch_seconds"}
+    assert {r["name"]: r["value"] for r in read("metrics") if "seconds" not in r["name"]} == {"jobs_completed": 3.0}
+    assert {r["name"] for r in read("metrics") if r["value"] > 0} >= {"seconds_downloading", "seconds_parsing", "seconds_chunking", "seconds_embedding", "seconds_publishing", "batch_seconds"}
 
 
 def test_a_provider_error_is_one_documents(spark, tmp_path):
@@ -113,12 +114,67 @@ def test_a_provider_error_is_one_documents(spark, tmp_path):
     handle(records(spark, record(0, 1, 10), record(1, 2, 20), record(2, 3, 30)), 2)
     assert {r["source_event_id"]: (r["status"], r["last_error_code"]) for r in read("jobs")} == {"e0": ("FAILED", "EMBEDDING_REQUEST_REJECTED"), "e1": ("RETRY_WAIT", "ConnectionError"), "e2": ("COMPLETED", None)}
     assert [r["document_id"] for r in read("chunks")] == [3]
+    counts = lambda: {r["name"]: r["value"] for r in read("metrics") if "seconds" not in r["name"]}
+    assert counts() == {"jobs_failed": 1.0, "failed_EMBEDDING_REQUEST_REJECTED": 1.0, "jobs_retry_wait": 1.0, "jobs_completed": 1.0}
     # No record comes, but time: the waiting job runs, and a deleted document's chunks are swept.
     gone = spark.createDataFrame([(i, 7, 1, 0, None, T0 if i == 3 else None) for i in (1, 2, 3)], TABLES["documents"])
     store.commit(None, {"documents": gone})
     maintenance(store, sources, config=Config(dimensions=8), clock=lambda: T0 + datetime.timedelta(hours=1), provider=lambda some: [[1.0] * 8 for _ in some])()
     assert {r["source_event_id"]: r["status"] for r in read("jobs")} == {"e0": "FAILED", "e1": "COMPLETED", "e2": "COMPLETED"}
     assert [r["document_id"] for r in read("chunks")] == [2] and store.last_batch() == 2
+    assert counts()["retry_attempt_1"] == 1.0
+
+
+def test_processors_are_plugs(spark, tmp_path):
+    """Each gets the context and the chunks in order; what one raises is its document's failure, message and all, and is tried again."""
+    from quillmill.operators import processing
+
+    store, sources, read = opened(spark, tmp_path)
+
+    def note(context, chunks):
+        if context["document_id"] == 2:
+            raise RuntimeError("simulated failure")
+        assert [c["chunk_no"] for c in chunks] == list(range(len(chunks))) and set(context) == set(processing.CONTEXT)
+        return [c | {"content": f"{c['content']} of {context['document_id']}, version {context['version_no']}"} for c in chunks]
+
+    stages = [processing.each_document(note, adds="note string"), processing.embedder(dimensions=8)]
+    handle = batch_handler(store, sources, config=Config(dimensions=8), clock=lambda: T0, processors=stages)
+    handle(records(spark, record(0, 1, 10), record(1, 2, 20)), 1)
+    assert {r["source_event_id"]: (r["status"], r["last_error_code"], r["last_error_message"], r["phase"]) for r in read("jobs")} == {"e0": ("COMPLETED", None, None, "EMBEDDING"), "e1": ("RETRY_WAIT", "RuntimeError", "simulated failure", "EMBEDDING")}
+    assert [r["content"] for r in read("chunks")] == ["[Title]\nTitle\n\nhello world of 1, version 1"]
+
+
+def test_stream_meters(spark, tmp_path):
+    """Starts after the first, batches, rows and failures of a named stream."""
+    import time
+
+    from quillmill.streaming.metrics import StreamMeters
+
+    meters = StreamMeters()
+    spark.streams.addListener(meters)
+    schema = "a int"
+    spark.createDataFrame([(1,), (2,)], schema).coalesce(1).write.json(str(tmp_path / "in"))
+    try:
+        for n in range(3):
+            def handle(df, batch, n=n):
+                df.collect()
+                if n == 1:
+                    raise OSError("away")
+
+            if n == 1:
+                spark.createDataFrame([(3,)], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+            query = spark.readStream.schema(schema).json(str(tmp_path / "in")).writeStream.queryName("documents").foreachBatch(handle).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+            try:
+                query.awaitTermination(60)
+            except Exception:
+                assert n == 1
+        until = time.time() + 30
+        while time.time() < until and (meters.rows["documents"] < 3 or not meters.failures):
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(meters)
+    assert meters.restarts == {"documents": 2} and meters.failures == {"documents": 1} and meters.rows["documents"] == 3
+    assert meters.millis["documents", "addBatch"] > 0
 
 
 def test_a_commit_that_breaks_off_leaves_the_last_one(spark, tmp_path, monkeypatch):
