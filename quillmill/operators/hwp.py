@@ -1,4 +1,4 @@
-"""Text of HWP 5 files, from their published format: a compound file whose body sections are streams of records."""
+"""Text of HWP 5 files, from their published format: a compound file whose body sections are trees of records."""
 
 from __future__ import annotations
 
@@ -9,10 +9,12 @@ import zlib
 _MAGIC = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
 _SIGNATURE = b"HWP Document File"
 _END, _FREE = 0xFFFFFFFE, 0xFFFFFFFF
-_PARAGRAPH_TEXT = 67
+_PARAGRAPH, _PARAGRAPH_TEXT, _CONTROL = 66, 67, 71
 _COMPRESSED, _ENCRYPTED = 1, 2
 #: Control characters that stand alone; 9, 10, 13, 24, 30 and 31 are text, the others hold eight code units.
 _ALONE = {0, 10, 13, 24, 25, 26, 27, 28, 29, 30, 31}
+#: Control characters that have a record of their own, in the same order.
+_EXTENDED = {1, 2, 3, 11, 12, 14, 15, 16, 17, 18, 21, 22, 23}
 _TEXT = {9: "\t", 10: "\n", 24: "-", 30: " ", 31: " "}
 
 
@@ -93,19 +95,81 @@ class CompoundFile:
         return b"".join(out)[:size]
 
 
-def _characters(data: bytes) -> str:
-    units, out, i = struct.unpack(f"<{len(data) // 2}H", data[: len(data) // 2 * 2]), [], 0
+class Record:
+    """A record of a section and those a level below it, in order."""
+
+    def __init__(self, tag: int, data: bytes):
+        self.tag, self.data, self.below = tag, data, []
+
+
+def _tree(data: bytes) -> Record:
+    """A section's records by level; one that skips levels lies below the last one above it."""
+    top = Record(-1, b"")
+    path, at = [(-1, top)], 0
+    while at + 4 <= len(data):
+        (word,) = struct.unpack_from("<I", data, at)
+        tag, level, size, at = word & 0x3FF, word >> 10 & 0x3FF, word >> 20, at + 4
+        if size == 0xFFF:
+            (size,), at = struct.unpack_from("<I", data, at), at + 4
+        record = Record(tag, data[at : at + size])
+        at += size
+        while path[-1][0] >= level:
+            path.pop()
+        path[-1][1].below.append(record)
+        path.append((level, record))
+    return top
+
+
+def _lines(record: Record) -> list[str]:
+    """Lines of all paragraphs below a record, in reading order."""
+    out = []
+    for x in record.below:
+        if x.tag == _PARAGRAPH:
+            out += _paragraph(x)
+        elif x.tag == _PARAGRAPH_TEXT:
+            out += _shown(x.data, [])
+        else:
+            out += _lines(x)
+    return out
+
+
+def _paragraph(record: Record) -> list[str]:
+    controls = [[line for line in _lines(x) if line.strip()] for x in record.below if x.tag == _CONTROL]
+    texts = [x.data for x in record.below if x.tag == _PARAGRAPH_TEXT]
+    if not texts:
+        return [line for some in controls for line in some] or [""] * bool(record.below)
+    return _shown(b"".join(texts), controls)
+
+
+def _shown(data: bytes, controls: list[list[str]]) -> list[str]:
+    """A paragraph's text as lines: what a control holds (a table's cells, a note, a box) stands in lines of its own where its mark is."""
+    units, out, line, i = struct.unpack(f"<{len(data) // 2}H", data[: len(data) // 2 * 2]), [], [], 0
+    controls = list(controls)
+
+    def end() -> None:
+        out.append(b"".join(line).decode("utf-16-le", "replace"))
+        line.clear()
+
     while i < len(units):
         if units[i] >= 32:
-            out.append(struct.pack("<H", units[i]))
+            line.append(struct.pack("<H", units[i]))
         elif units[i] in _TEXT:
-            out.append(_TEXT[units[i]].encode("utf-16-le"))
+            line.append(_TEXT[units[i]].encode("utf-16-le"))
+        elif units[i] in _EXTENDED and controls:
+            held = controls.pop(0)
+            if held:
+                if b"".join(line).strip(b"\0 "):
+                    end()
+                line.clear()
+                out += held
         i += 1 if units[i] >= 32 or units[i] in _ALONE else 8
-    return b"".join(out).decode("utf-16-le", "replace")
+    if line or not out:
+        end()
+    return out + [x for some in controls for x in some]
 
 
 def text(content: bytes) -> str:
-    """The paragraphs of all body sections in order, one line each.  Encrypted and damaged files raise OSError."""
+    """The paragraphs of all body sections in order, a line each, and in their places those of tables, notes and boxes.  Encrypted and damaged files raise OSError."""
     file = CompoundFile(content)
     head = file.read("FileHeader")
     if not head.startswith(_SIGNATURE) or len(head) < 40:
@@ -118,13 +182,5 @@ def text(content: bytes) -> str:
         data = file.read(name)
         if flags & _COMPRESSED:
             data = zlib.decompressobj(-15).decompress(data)
-        at = 0
-        while at + 4 <= len(data):
-            (word,) = struct.unpack_from("<I", data, at)
-            tag, size, at = word & 0x3FF, word >> 20, at + 4
-            if size == 0xFFF:
-                (size,), at = struct.unpack_from("<I", data, at), at + 4
-            if tag == _PARAGRAPH_TEXT:
-                out.append(_characters(data[at : at + size]))
-            at += size
+        out += _lines(_tree(data))
     return "\n".join(out)

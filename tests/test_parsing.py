@@ -153,6 +153,30 @@ def test_hwp_text(spark):
     assert run_one(spark, parsing.HwpParser(), compound(streams), "application/x-hwp")["parse_error"] == "CORRUPTED_FILE"
 
 
+def test_hwp_controls_stand_where_their_marks_are(spark):
+    """Cells of a table, a note, and a table in a cell, read between the words around them; what has no mark comes last."""
+    import struct
+
+    def record(tag, level, data=b""):
+        head = struct.pack("<I", tag | level << 10 | min(len(data), 0xFFF) << 20)
+        return head + (struct.pack("<I", len(data)) if len(data) >= 0xFFF else b"") + data
+
+    def paragraph(level, text, *controls):
+        return record(66, level, b"\0" * 22) + (record(67, level + 1, text.encode("utf-16-le")) if text is not None else b"") + record(68, level + 1, b"\0" * 8) + b"".join(controls)
+
+    def control(level, *paragraphs):
+        return record(71, level, b" lbt") + record(77, level + 1, b"\0" * 20) + b"".join(record(72, level + 1, b"\0" * 8) + p for p in paragraphs)
+
+    mark = lambda code: chr(code) + "abcdefg"
+    inner = control(3, paragraph(4, "inner one\r"), paragraph(4, "inner two\r"))
+    table = control(1, paragraph(2, "cell a\r"), paragraph(2, f"cell b {mark(11)}after inner\r", inner), paragraph(2, "\r"))
+    note = control(1, paragraph(2, "a note\r"))
+    body = paragraph(0, f"{mark(2)}before {mark(11)}between{mark(17)} after\r", record(71, 1, b"dces"), table, note) + paragraph(0, None) + paragraph(0, "next\r", control(1, paragraph(2, "unmarked\r")))
+    streams = {"FileHeader": b"HWP Document File".ljust(32, b"\0") + struct.pack("<II", 0x05000300, 0), "Section0": body.ljust(600, b"\0")}
+    got = run_one(spark, parsing.HwpParser(), compound(streams), "application/x-hwp")
+    assert [b["text"] for b in got["blocks"]] == ["before \ncell a\ncell b \ninner one\ninner two\nafter inner\nbetween\na note\n after", "next\nunmarked"]
+
+
 def limits(spark, parser, *contents, **how):
     killed, leaked = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
     df = spark.createDataFrame([(i, c, "x/y") for i, c in enumerate(contents)], "doc_id long, content binary, mime_type string").coalesce(1)
