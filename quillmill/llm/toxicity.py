@@ -279,7 +279,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text",
 
     Never used: rows held out (crc32 of the id as text modulo 5 is 0), rows
     without a label, a text or an id, and texts of over ``chars`` characters.
+    What training took of the driver's memory is given back.
     """
+    model = _fit(docs, labels, id_col, text_col, texts, chars)
+    trim()
+    return model
+
+
+def _fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, texts: int, chars: int) -> dict[str, np.ndarray]:
     usable = labels.select(F.col("doc_id").alias("l_id"), F.col("toxic")).filter("l_id is not null and toxic in (0, 1)").filter(F.crc32(F.col("l_id").cast("string").cast("binary")) % OF != HELD_OUT).distinct()
     usable = usable.join(docs.select(F.col(id_col).alias("d_id"), F.length(text_col).alias("len")), F.col("l_id") == F.col("d_id")).filter(F.col("len").between(1, chars))
     sizes = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}  # two rows
