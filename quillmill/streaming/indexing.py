@@ -20,7 +20,9 @@ VERSION = "id long, document_id long, version_no long, embedding_version_no long
 TABLES = {"documents": DOCUMENT, "versions": VERSION, "jobs": jobs.JOB, "chunks": CHUNK}
 REJECTED = "topic string, partition int, offset long, value string, reason string, trace_id string"
 METRIC = "batch long, name string, value double"
-KEYED = {"documents": Key("id", "id"), "versions": Key("id", "id"), "jobs": Key("document_id", "source_event_id"), "chunks": Key("document_id", "document_id")}
+KEYED = {"documents": Key("id", "id"), "versions": Key("id", "id"), "jobs": Key("document_id", "source_event_id"), "chunks": Key("document_id", "document_id"), "holders": Key("document_id", "document_id")}
+#: Documents that have chunks: what the sweep looks at instead of the chunks.
+HOLDER = "document_id long, n_chunks long"
 
 
 def open_store(spark, root: str) -> SnapshotStore:
@@ -65,8 +67,9 @@ def _changes(was: State, out: State) -> dict[str, Delta]:
     now, before = out.chunks.select(*slim), was.chunks.select(*slim)
     moved = now.exceptAll(before).unionByName(before.exceptAll(now)).select("document_id").distinct()
     rows = out.chunks.select(*was.chunks.columns).join(moved, "document_id", "left_semi")
-    found["chunks"] = Delta(rows, moved.join(rows.select("document_id"), "document_id", "left_anti"))
-    return found
+    gone = moved.join(rows.select("document_id"), "document_id", "left_anti")
+    held = rows.groupBy("document_id").agg(F.count("*").alias("n_chunks"))
+    return found | {"chunks": Delta(rows, gone), "holders": Delta(held, gone)}
 
 
 #: Times that a run starts over because another writer was faster.
@@ -99,7 +102,7 @@ def _once(store: SnapshotStore, batch: int | None, decoded: DataFrame, sources,
         documents, left = decoded.select("document_id"), None
         if swept:
             deleted = keep(store.read("documents", DOCUMENT).filter("deleted_at is not null"), "deleted")
-            left = keep(publication.sweep_candidates(deleted, store.read("chunks", CHUNK, deleted.select("id")), swept), "left")
+            left = keep(publication.sweep_candidates(deleted, store.read("holders", HOLDER, deleted.select("id")), swept), "left")
             due = store.read("jobs", jobs.JOB).filter(jobs.startable(now, config.max_attempts)).select("document_id")
             documents = keep(documents.unionByName(left.select("document_id")).unionByName(due), "concerned")
         was = _touched(store, documents, decoded.select("document_version_id"), keep)
@@ -152,7 +155,7 @@ def maintenance(store: SnapshotStore, sources, *, config: Config = DEFAULT, cloc
     def tick() -> None:
         none = events.decode_events(store.spark.createDataFrame([], "topic string, partition int, offset long, key string, value string"))[0]
         _run(store, None, none, sources, F.lit(clock()).cast("timestamp"), None, config, config.sweep_limit, how)
-        store.compact(TABLES)
+        store.compact(TABLES | {"holders": HOLDER})
 
     return tick
 

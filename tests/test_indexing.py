@@ -245,6 +245,33 @@ def test_bytes_written_dont_grow_with_the_tables(spark, tmp_path):
     assert size[3_000] < 1.2 * size[30], size
 
 
+def test_a_sweep_reads_chunks_of_deleted_documents_alone(spark, tmp_path, monkeypatch):
+    store, sources, read = opened(spark, tmp_path, 40)
+    handle = batch_handler(store, sources, config=Config(dimensions=8), clock=lambda: T0)
+    handle(records(spark, *[record(i, i, 10 * i) for i in range(1, 31)]), 1)
+    rows = store.read("documents", TABLES["documents"])
+    gone = rows.filter("id in (3, 35)").withColumn("deleted_at", F.lit(T0))
+    store.commit(None, {"documents": Delta(gone)})
+    seen = {}
+    real = type(store).read
+
+    def spy(self, table, schema, keys=None):
+        out = real(self, table, schema, keys)
+        seen.setdefault(table, set()).update(out.inputFiles() if keys is not None else ["all"])
+        return out
+
+    monkeypatch.setattr(type(store), "read", spy)
+    tick = maintenance(store, sources, config=Config(dimensions=8), clock=lambda: T0)
+    tick()
+    assert {f.split("__bucket=")[1].split("/")[0] for f in seen["chunks"]} == {str(bucket(spark, 3))}
+    monkeypatch.undo()
+    assert sorted(r["document_id"] for r in read("chunks")) == [i for i in range(1, 31) if i != 3]
+    monkeypatch.setattr(type(store), "read", spy)
+    seen.clear()
+    tick()
+    assert seen["chunks"] == set()  # nothing is left to sweep, so no chunk is read
+
+
 def simulate(versions, sequence):
     """Each record taken alone, in order: jobs by event, chunks' versions by document, searchable versions, refusals."""
     jobs_, chunks, searchable, refused = {}, set(), {}, []
