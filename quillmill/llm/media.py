@@ -94,7 +94,9 @@ def write_archives(docs: DataFrame, *, id_col="doc_id", text_col="text") -> str:
 
     Each task writes archives under names of its own attempt; the names that
     the finished job reports are committed in ``_committed``, so those left by a
-    lost executor are never read.  Null texts count as empty, null ids stay null.
+    lost executor are never read.  Null texts count as empty, null ids stay null,
+    rows that repeat are members each; of an empty table there is no archive.
+    The folder is the caller's, and nothing here deletes it.
     """
     spark = docs.sparkSession
     folder = shared_path(spark, "media")
@@ -221,13 +223,13 @@ class MediaArchiveSource(DataSource):
 
 
 def read_archives(spark, folder: str, **options) -> DataFrame:
-    """doc_id, n_bytes (unpadded), offset and media of every member."""
+    """doc_id, n_bytes (unpadded), offset and media of every member; no row for a folder without any."""
     spark.dataSource.register(MediaArchiveSource)
     return spark.read.format("media_archive").options(**options).load(folder)
 
 
 def describe(media: DataFrame) -> DataFrame:
-    """Digests and features of the payloads read back.  Equal texts give equal values."""
+    """Digests and features of the payloads read back, a row for each of ``media``, whatever its id.  Equal texts give equal values; an empty table gives none."""
 
     def work(batches):
         for batch in batches:

@@ -18,23 +18,28 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_syncmers(spark, sf_dir):
+    """Fingerprints of all ``documents`` and their edited texts, and their likeness to those and to the next document."""
     return fingerprints.fingerprint_neighbours(_documents(spark, sf_dir))
 
 
 def op2_wavelet(spark, sf_dir):
+    """Token ids of all ``documents`` through wavelet shards in a new folder, which stays: a digest of what is read back."""
     manifest = wavelet.write_shards(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
     return wavelet.read_shards(manifest)
 
 
 def op7_trie_bpe(spark, sf_dir):
+    """Ids and decoded texts of all ``documents``, as digests."""
     return trie_bpe.encode_decode(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
 def op3_katz(spark, sf_dir):
+    """Katz scores of all ``documents``, learnt from those not held out."""
     return katz.score(_documents(spark, sf_dir))
 
 
 def op4_toxicity(spark, sf_dir):
+    """Toxicity of all ``documents``, learnt from labels not held out."""
     docs = _documents(spark, sf_dir)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = toxicity.score(docs.select("doc_id", "text"), model)
@@ -43,22 +48,27 @@ def op4_toxicity(spark, sf_dir):
 
 
 def op5_jaccard(spark, sf_dir):
+    """Shingle sets, components and numbers of links of all ``documents``."""
     return jaccard.jaccard_components(_documents(spark, sf_dir), links=True)
 
 
 def op8_substrings(spark, sf_dir):
+    """Words that repeated passages take from all ``documents``."""
     return substrings.remove_repeats(_documents(spark, sf_dir))
 
 
 def op9_media(spark, sf_dir):
+    """All ``documents`` as images in archives in a new folder, which stays: digests and features of what is read back."""
     return media.describe(media.read_archives(spark, media.write_archives(_documents(spark, sf_dir))))
 
 
 def op6_licenses(spark, sf_dir):
+    """Licence phrases and notices in all ``documents``."""
     return licenses.scan_licenses(_documents(spark, sf_dir)).drop("spans")
 
 
 def op10_mixing(spark, sf_dir):
+    """What a mix to target weights takes of all ``documents``."""
     return mixing.mix(_documents(spark, sf_dir))
 
 

@@ -176,7 +176,8 @@ def write_shards(docs: DataFrame, tokenizer: str, *, id_col="doc_id", text_col="
     number set by the bytes of text.  Rows of one id, or without, are ordered and
     parted by a digest of the text, so that a shard needn't hold all of them.
     Null texts count as empty and hold only the end id.  An empty table gives
-    no shards.  Other columns are ignored, whatever their names.
+    no shards.  Other columns are ignored, whatever their names.  The folder is
+    the caller's, and nothing here deletes it.
     """
     spark = docs.sparkSession
     folder = shared_path(spark, "wavelet")
