@@ -271,16 +271,16 @@ def _replaced(old: DataFrame, new: DataFrame, *used: DataFrame) -> DataFrame:
 
 # -------------------------------------------------------------- link counts
 
-def degrees(sets: list[np.ndarray], weight: np.ndarray, other: np.ndarray) -> np.ndarray:
+def degrees(sets: list[np.ndarray], weight: np.ndarray, other: np.ndarray, inner: bool) -> np.ndarray:
     """For each set the weights of the sets it links with, added up.
 
-    All marked sets meet all unmarked ones; where ``other`` marks none, each two
-    sets meet.  Bit counts bound the overlap first; what passes is intersected.
+    With ``inner`` each two sets meet; else all sets that ``other`` marks meet all
+    that it doesn't, and where there are only ones of a kind, none meet.  Bit counts bound the overlap first; what passes is intersected.
     """
     out = np.zeros(len(sets), np.int64)
     size = np.array([len(x) for x in sets], np.int64)
     order = np.lexsort((size, other))  # unmarked, then marked ones, each by size
-    sizes, weight, inner = size[order], weight[order], not other.any()
+    sizes, weight = size[order], weight[order]
     begin = 0 if inner else int((~other).sum())
     if begin == len(sets) or not len(sets):
         return out
@@ -317,7 +317,8 @@ def degrees(sets: list[np.ndarray], weight: np.ndarray, other: np.ndarray) -> np
 def _degrees(table: pa.Table) -> pa.Table:
     """(n, s1, s2, links) of a task's sets that link."""
     sets = [np.frombuffer(x, "<u8") for x in table.column("arr").to_pylist()]
-    found = degrees(sets, table.column("copies").to_numpy(), table.column("other").to_numpy())
+    next_band, left, right = (table.column(c)[0].as_py() for c in ("next", "left", "right"))
+    found = degrees(sets, table.column("copies").to_numpy(), table.column("other").to_numpy(), next_band == 0 and left == right)
     return table.select(["n", "s1", "s2"]).append_column("links", pa.array(found)).filter(pa.array(found > 0))
 
 
