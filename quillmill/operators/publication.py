@@ -9,12 +9,14 @@ from ..config import DEFAULT
 from ..functions.text import is_blank
 
 
-def upsert_chunks(current: DataFrame, incoming: DataFrame, documents: DataFrame) -> DataFrame:
+def upsert_chunks(current: DataFrame, incoming: DataFrame, documents: DataFrame, *, order: str | None = None) -> DataFrame:
     """``current`` with ``incoming`` in place of rows of the same (document_version_id, chunk_no); tenants come from ``documents``.
 
-    Of incoming rows that repeat a key, one stays: that of the greatest content.
+    Of incoming rows that repeat a key, one stays: the last by their column
+    ``order``, as if written one after the other (nulls first); among equals, or without it, that of the
+    greatest content.
     """
-    first = [c for c in ("content", "content_hash") if c in incoming.columns]
+    first = [c for c in (order, "content", "content_hash") if c in incoming.columns]
     order = Window.partitionBy("document_version_id", "chunk_no").orderBy(*[F.col(c).desc_nulls_last() for c in first or ["document_id"]])
     incoming = incoming.withColumn("__nth", F.row_number().over(order)).filter("__nth = 1").drop("__nth")
     tenants = documents.select(F.col("id").alias("document_id"), "tenant_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 import zlib
 
 import pyarrow as pa
@@ -67,9 +69,11 @@ def jobs(spark, sf_dir) -> DataFrame:
 
 def markdown(spark, sf_dir) -> DataFrame:
     """(doc_id, content, mime_type): headings from source and lang, then the text with its line ends doubled."""
-    d = _table(spark, sf_dir, "documents")
-    text = F.concat(F.lit("# "), F.col("source"), F.lit("\n## "), F.col("lang"), F.lit("\n"), F.replace("text", F.lit("\n"), F.lit("\n\n")))
-    return d.select("doc_id", text.alias("content"), F.lit("text/markdown").alias("mime_type"))
+    return _table(spark, sf_dir, "documents").select("doc_id", _marked_down().alias("content"), F.lit("text/markdown").alias("mime_type"))
+
+
+def _marked_down():
+    return F.concat(F.lit("# "), F.col("source"), F.lit("\n## "), F.col("lang"), F.lit("\n"), F.replace("text", F.lit("\n"), F.lit("\n\n")))
 
 
 #: Words of the PDFs made of the documents, of a line, and of a paragraph; paragraphs of a page.
@@ -133,6 +137,85 @@ def pdfs(spark, sf_dir) -> DataFrame:
     return made.withColumn("mime_type", F.lit("application/pdf"))
 
 
+DOCX = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
+
+
+def docx_bytes(words: list[str], title: str, second: str) -> bytes:
+    """A DOCX: ``title`` as heading, paragraphs of two runs with blank ones between, ``second`` as heading of the third and later, a table before every third."""
+    run = lambda t: f'<w:r><w:t xml:space="preserve">{t}</w:t></w:r>'
+    heading = lambda level, t: f'<w:p><w:pPr><w:pStyle w:val="Heading{level}"/></w:pPr>{run(t)}</w:p>'
+    row = lambda a, b: f"<w:tr><w:tc><w:p>{run(a)}</w:p></w:tc><w:tc><w:p>{run(b)}</w:p></w:tc></w:tr>"
+    out = [heading(1, title)]
+    for n, at in enumerate(range(0, len(words), PDF_PARAGRAPH)):
+        some = words[at : at + PDF_PARAGRAPH]
+        half = len(some) // 2
+        if n == 2:
+            out.append(heading(2, second))
+        if n % 3 == 0:
+            out.append(f"<w:tbl>{row(some[0], n)}{row(some[-1], len(some))}</w:tbl>")
+        out.append(f"<w:p>{run(' '.join(some[:half]) + ' ')}{run(' '.join(some[half:]))}</w:p><w:p>{run(' ')}</w:p>")
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{"".join(out)}</w:body></w:document>')
+    return data.getvalue()
+
+
+def _worded(spark, sf_dir) -> DataFrame:
+    """(doc_id, title, second, words, md): what files are made of."""
+    words = F.regexp_extract_all(F.col("text"), F.lit(PDF_WORD), F.lit(0))
+    title, second = (F.coalesce(c, F.lit("none")).alias(name) for c, name in (("source", "title"), ("lang", "second")))
+    return _table(spark, sf_dir, "documents").select("doc_id", title, second, words.alias("words"), _marked_down().alias("md"))
+
+
+def _made(rows: DataFrame, make) -> DataFrame:
+    """(doc_id, content): ``make`` of the values of each row."""
+
+    def work(batches):
+        for batch in batches:
+            made = [make(*row) for row in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], names=["doc_id", "content"])
+
+    return rows.mapInArrow(work, "doc_id long, content binary")
+
+
+def docxs(spark, sf_dir) -> DataFrame:
+    """(doc_id, content, mime_type): each document's words as a DOCX under its source and language."""
+    made = _made(_worded(spark, sf_dir).drop("md"), lambda _, title, second, words: docx_bytes(words or [], title, second))
+    return made.withColumn("mime_type", F.lit(DOCX))
+
+
+def mixed_files(spark, sf_dir) -> DataFrame:
+    """(doc_id, content, mime_type): by doc_id % 6 plain text, Markdown, DOCX, PDF, a type that has no parser, and a DOCX that is none."""
+
+    def make(i, title, second, words, md):
+        return docx_bytes(words or [], title, second) if i % 6 == 2 else pdf_bytes(words or [], i % 4) if i % 6 == 3 else (md or "").encode()
+
+    types = F.array(*[F.lit(x) for x in ("text/plain", "text/markdown", DOCX, "application/pdf", "application/octet-stream", DOCX)])
+    return _made(_worded(spark, sf_dir), make).withColumn("mime_type", F.element_at(types, (F.col("doc_id") % 6 + 1).cast("int")))
+
+
+def records(spark, sf_dir) -> DataFrame:
+    """The events as records of a log: JSON values, six in seventeen of them damaged, and headers."""
+    e = events(spark, sf_dir)
+    value = F.expr(
+        """concat('{"eventId":"', source_event_id, '","eventType":"', event_type, '","schemaVersion":', schema_version, ',"tenantId":', tenant_id, ',"documentId":', document_id,
+        ',"documentVersionId":', coalesce(cast(document_version_id as string), 'null'), ',"occurredAt":"2024-02-', lpad(cast(kafka_offset % 28 + 1 as string), 2, '0'), 'T00:00:0', kafka_offset % 10, 'Z"',
+        case when kafka_offset % 3 = 0 then '' else concat(',"traceId":"p', kafka_offset, '"') end, '}')"""
+    )
+    damaged = F.expr(
+        """case kafka_offset % 17 when 1 then substring(value, 1, 20) when 2 then 'not json' when 3 then replace(value, '"eventType":', '"eventKind":') when 4 then null
+        when 5 then '[]' when 6 then replace(value, '"documentId":', '"documentId":"x","was":') else value end"""
+    )
+    header = lambda key, text: f"struct('{key}' as key, cast({text} as binary) as value)"
+    last = "concat('h', kafka_offset)"
+    headers = F.expr(
+        f"""case kafka_offset % 5 when 0 then null when 1 then filter(array({header('x', last)}), h -> false) when 2 then array({header('traceId', last)})
+        when 3 then array({header('traceId', "'first'")}, {header('traceId', last)}, {header('x', "'other'")}) else array({header('traceId', last)}, {header('traceId', "'  '")}) end"""
+    )
+    e = e.withColumn("value", value).withColumn("value", damaged)
+    return e.select(F.col("kafka_topic").alias("topic"), F.col("kafka_partition").alias("partition"), F.col("kafka_offset").alias("offset"), F.col("document_id").cast("string").alias("key"), F.col("value").cast("binary").alias("value"), headers.alias("headers"))
+
+
 def chunk_rows(spark, sf_dir) -> DataFrame:
     """A small stored chunk table: version 1 of each document holds 1 + doc_id % 4 chunks."""
     d = _table(spark, sf_dir, "documents")
