@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.batches import parted
+from ..operators.batches import rows as each
+
 NOW = "2024-03-01 00:00:00"
 
 
@@ -172,8 +175,10 @@ def _made(rows: DataFrame, make) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            made = [make(*row) for row in zip(*(c.to_pylist() for c in batch.columns))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], names=["doc_id", "content"])
+            first = 0
+            for made in parted((make(*row) for row in each(batch)), len):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(made)), pa.array(made, pa.binary())], names=["doc_id", "content"])
+                first += len(made)
 
     return rows.mapInArrow(work, "doc_id long, content binary")
 
