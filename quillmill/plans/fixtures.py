@@ -127,16 +127,23 @@ def pdf_bytes(words: list[str], form: int) -> bytes:
     return b"".join(out) + b"xref\n0 %d\n0000000000 65535 f \n%strailer\n<</Size %d /Root 1 0 R>>\nstartxref\n%d\n%%%%EOF" % (len(places) + 1, table, len(places) + 1, size)
 
 
-def pdfs(spark, sf_dir) -> DataFrame:
-    """(doc_id, content, mime_type): each document's words as a PDF, in the form doc_id % 4."""
+def _made(rows: DataFrame, make) -> DataFrame:
+    """(doc_id, content): ``make`` of the values of each row."""
 
     def work(batches):
         for batch in batches:
-            made = [pdf_bytes(w or [], i % 4) for i, w in zip(batch.column("doc_id").to_pylist(), batch.column("words").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], names=["doc_id", "content"])
+            first = 0
+            for made in parted((make(*row) for row in each(batch)), len):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(made)), pa.array(made, pa.binary())], names=["doc_id", "content"])
+                first += len(made)
+
+    return rows.mapInArrow(work, "doc_id long, content binary")
 
+
+def pdfs(spark, sf_dir) -> DataFrame:
+    """(doc_id, content, mime_type): each document's words as a PDF, in the form doc_id % 4."""
     words = F.regexp_extract_all(F.col("text"), F.lit(PDF_WORD), F.lit(0))
-    made = _table(spark, sf_dir, "documents").select("doc_id", words.alias("words")).mapInArrow(work, "doc_id long, content binary")
+    made = _made(_table(spark, sf_dir, "documents").select("doc_id", words.alias("words")), lambda i, words: pdf_bytes(words or [], i % 4))
     return made.withColumn("mime_type", F.lit("application/pdf"))
 
 
@@ -170,19 +177,6 @@ def _worded(spark, sf_dir) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", title, second, words.alias("words"), _marked_down().alias("md"))
 
 
-def _made(rows: DataFrame, make) -> DataFrame:
-    """(doc_id, content): ``make`` of the values of each row."""
-
-    def work(batches):
-        for batch in batches:
-            first = 0
-            for made in parted((make(*row) for row in each(batch)), len):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(made)), pa.array(made, pa.binary())], names=["doc_id", "content"])
-                first += len(made)
-
-    return rows.mapInArrow(work, "doc_id long, content binary")
-
-
 def docxs(spark, sf_dir) -> DataFrame:
     """(doc_id, content, mime_type): each document's words as a DOCX under its source and language."""
     made = _made(_worded(spark, sf_dir).drop("md"), lambda _, title, second, words: docx_bytes(words or [], title, second))

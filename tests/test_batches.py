@@ -53,3 +53,11 @@ def test_blocks_of_small_files_leave_a_few_at_a_time(spark):
     blocks = parsing.explode_blocks(parsing.parse_documents(files, parsing.ParserRegistry([Packed()])))
     got = [(r[0], *r[1].split("|")) for r in blocks.select("doc_id", F.substring_index("text", "|", 2)).collect()]
     assert [(i, int(j)) for i, j, _ in got] == [(i, i) for i in range(300)] and max(int(alive) for *_, alive in got) < 30
+
+
+def test_pdfs_are_made_a_few_at_a_time(spark, tmp_path, monkeypatch):
+    Made = counted(bytes)
+    spark.range(300).select(F.col("id").alias("doc_id"), F.lit("a word").alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(fixtures, "pdf_bytes", lambda words, form: Made(b"%d|%d|" % (form, Made.alive) + bytes(500_000)))
+    got = [(r[0], *r[1].split("|")) for r in fixtures.pdfs(spark, str(tmp_path)).select("doc_id", F.decode(F.substring("content", 1, 10), "iso-8859-1")).collect()]
+    assert sorted((i, int(form)) for i, form, *_ in got) == [(i, i % 4) for i in range(300)] and max(int(alive) for _, _, alive, _ in got) < 30
