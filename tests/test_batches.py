@@ -61,3 +61,20 @@ def test_pdfs_are_made_a_few_at_a_time(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(fixtures, "pdf_bytes", lambda words, form: Made(b"%d|%d|" % (form, Made.alive) + bytes(500_000)))
     got = [(r[0], *r[1].split("|")) for r in fixtures.pdfs(spark, str(tmp_path)).select("doc_id", F.decode(F.substring("content", 1, 10), "iso-8859-1")).collect()]
     assert sorted((i, int(form)) for i, form, *_ in got) == [(i, i % 4) for i in range(300)] and max(int(alive) for _, _, alive, _ in got) < 30
+
+
+def test_chunks_of_markdown_leave_a_few_documents_at_a_time(spark):
+    """Documents that all fit one batch of 32 MB: each chunk's section tells how many texts of blocks its task held."""
+    from quillmill.operators import chunking
+
+    Text = counted(str)
+
+    class Counting(parsing.TextParser):
+        def parse(self, content):
+            for b in super().parse(content):
+                yield parsing.Block(b.order, b.type, Text(b.text), b.page_no, [*b.heading_path, str(Text.alive)])
+
+    files = numbered(spark, 3000).select("doc_id", F.concat(F.lit("# "), F.col("doc_id"), F.lit("\n"), F.repeat(F.lit("w "), 5000)).alias("content"), F.lit("text/markdown").alias("mime_type"))
+    chunks = chunking.chunk_fixed(parsing.parse_documents(files, parsing.ParserRegistry([Counting()])), max_tokens=10_000)
+    got = [(r["doc_id"], r["token_count"], *map(int, r["section_path"].split(" > "))) for r in chunks.select("doc_id", "token_count", "section_path").collect()]
+    assert [g[:3] for g in got] == [(i, 5001, i) for i in range(3000)] and max(g[3] for g in got) < 1600
