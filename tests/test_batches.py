@@ -78,3 +78,13 @@ def test_chunks_of_markdown_leave_a_few_documents_at_a_time(spark):
     chunks = chunking.chunk_fixed(parsing.parse_documents(files, parsing.ParserRegistry([Counting()])), max_tokens=10_000)
     got = [(r["doc_id"], r["token_count"], *map(int, r["section_path"].split(" > "))) for r in chunks.select("doc_id", "token_count", "section_path").collect()]
     assert [g[:3] for g in got] == [(i, 5001, i) for i in range(3000)] and max(g[3] for g in got) < 1600
+
+
+def test_files_of_several_types_are_made_a_few_at_a_time(spark, tmp_path, monkeypatch):
+    Made = counted(bytes)
+    spark.range(600).select(F.col("id").alias("doc_id"), F.lit("a word").alias("text"), F.lit("s").alias("source"), F.lit("en").alias("lang")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    made = lambda *_: Made(b"%d|" % Made.alive + bytes(500_000))
+    monkeypatch.setattr(fixtures, "docx_bytes", made)
+    monkeypatch.setattr(fixtures, "pdf_bytes", made)
+    rows = fixtures.mixed_files(spark, str(tmp_path)).select("doc_id", F.decode(F.substring("content", 1, 10), "iso-8859-1")).collect()
+    assert sorted(r[0] for r in rows) == list(range(600)) and max(int(r[1].split("|")[0]) for r in rows if r[0] % 6 in (2, 3)) < 30
