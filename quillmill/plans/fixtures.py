@@ -140,10 +140,14 @@ def _made(rows: DataFrame, make) -> DataFrame:
     return rows.mapInArrow(work, "doc_id long, content binary")
 
 
+def _words():
+    """The words that files are made of, joined by spaces, which they hold none of: as a string a row is no longer than its text, as an array four bytes a word longer."""
+    return F.array_join(F.regexp_extract_all(F.col("text"), F.lit(PDF_WORD), F.lit(0)), " ")
+
+
 def pdfs(spark, sf_dir) -> DataFrame:
     """(doc_id, content, mime_type): each document's words as a PDF, in the form doc_id % 4."""
-    words = F.regexp_extract_all(F.col("text"), F.lit(PDF_WORD), F.lit(0))
-    made = _made(_table(spark, sf_dir, "documents").select("doc_id", words.alias("words")), lambda i, words: pdf_bytes(words or [], i % 4))
+    made = _made(_table(spark, sf_dir, "documents").select("doc_id", _words().alias("words")), lambda i, words: pdf_bytes((words or "").split(), i % 4))
     return made.withColumn("mime_type", F.lit("application/pdf"))
 
 
@@ -170,27 +174,28 @@ def docx_bytes(words: list[str], title: str, second: str) -> bytes:
     return data.getvalue()
 
 
-def _worded(spark, sf_dir) -> DataFrame:
-    """(doc_id, title, second, words, md): what files are made of."""
-    words = F.regexp_extract_all(F.col("text"), F.lit(PDF_WORD), F.lit(0))
+def _titled(spark, sf_dir, body) -> DataFrame:
+    """(doc_id, title, second, body): what files are made of."""
     title, second = (F.coalesce(c, F.lit("none")).alias(name) for c, name in (("source", "title"), ("lang", "second")))
-    return _table(spark, sf_dir, "documents").select("doc_id", title, second, words.alias("words"), _marked_down().alias("md"))
+    return _table(spark, sf_dir, "documents").select("doc_id", title, second, body.alias("body"))
 
 
 def docxs(spark, sf_dir) -> DataFrame:
     """(doc_id, content, mime_type): each document's words as a DOCX under its source and language."""
-    made = _made(_worded(spark, sf_dir).drop("md"), lambda _, title, second, words: docx_bytes(words or [], title, second))
+    made = _made(_titled(spark, sf_dir, _words()), lambda _, title, second, words: docx_bytes((words or "").split(), title, second))
     return made.withColumn("mime_type", F.lit(DOCX))
 
 
 def mixed_files(spark, sf_dir) -> DataFrame:
     """(doc_id, content, mime_type): by doc_id % 6 plain text, Markdown, DOCX, PDF, a type that has no parser, and a DOCX that is none."""
 
-    def make(i, title, second, words, md):
-        return docx_bytes(words or [], title, second) if i % 6 == 2 else pdf_bytes(words or [], i % 4) if i % 6 == 3 else (md or "").encode()
+    def make(i, title, second, body):
+        body = body or ""
+        return docx_bytes(body.split(), title, second) if i % 6 == 2 else pdf_bytes(body.split(), i % 4) if i % 6 == 3 else body.encode()
 
+    body = F.when(F.pmod("doc_id", F.lit(6)).isin(2, 3), _words()).otherwise(_marked_down())  # a row carries only what its file is made of
     types = F.array(*[F.lit(x) for x in ("text/plain", "text/markdown", DOCX, "application/pdf", "application/octet-stream", DOCX)])
-    return _made(_worded(spark, sf_dir), make).withColumn("mime_type", F.element_at(types, (F.col("doc_id") % 6 + 1).cast("int")))
+    return _made(_titled(spark, sf_dir, body), make).withColumn("mime_type", F.element_at(types, (F.col("doc_id") % 6 + 1).cast("int")))
 
 
 def records(spark, sf_dir) -> DataFrame:

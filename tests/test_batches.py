@@ -1,5 +1,6 @@
 """What a task holds is bounded by bytes, not by the rows that Spark sends at once."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillmill.operators import parsing
@@ -88,3 +89,18 @@ def test_files_of_several_types_are_made_a_few_at_a_time(spark, tmp_path, monkey
     monkeypatch.setattr(fixtures, "pdf_bytes", made)
     rows = fixtures.mixed_files(spark, str(tmp_path)).select("doc_id", F.decode(F.substring("content", 1, 10), "iso-8859-1")).collect()
     assert sorted(r[0] for r in rows) == list(range(600)) and max(int(r[1].split("|")[0]) for r in rows if r[0] % 6 in (2, 3)) < 30
+
+
+def test_rows_that_files_are_made_of_are_no_longer_than_their_text(spark, tmp_path, monkeypatch):
+    """What Spark sends to a task at once is counted in rows, so each row carries its text once, whatever its file is."""
+    text = "w, " * 4000
+    spark.range(120).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"), F.lit("s").alias("source"), F.lit("en").alias("lang")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(fixtures, "_made", lambda rows, make: rows)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]})
+
+    for files in (fixtures.pdfs, fixtures.docxs, fixtures.mixed_files):
+        rows, size = files(spark, str(tmp_path)).drop("mime_type").mapInArrow(sizes, "rows long, bytes long").groupBy().sum().first()
+        assert rows == 120 and size < rows * (len(text) + 200)
