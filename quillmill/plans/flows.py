@@ -8,7 +8,7 @@ from ..errors import ERRORS, is_permanent
 from ..operators import chunking, events, jobs, parsing, publication
 from ..streaming import metrics
 from . import fixtures as fx
-from .queries import _CUT, _EACH, _FIXED, _NEW, _OLD, _T
+from .queries import _CUT, _EACH, _FIXED, _NEW, _OLD, _T, _parsed
 
 
 def _now():
@@ -36,7 +36,7 @@ def dispatch_parsers(spark, sf_dir):
 
 def chunk_by_strategy(spark, sf_dir):
     """Chunks and tokens of all documents under each strategy."""
-    parsed = parsing.parse_documents(fx.markdown(spark, sf_dir))
+    parsed = _parsed(spark, sf_dir)
     out = None
     for name in chunking.STRATEGIES:
         how = {"overlap": 16} if name == "PARAGRAPH_OVERLAP" else {}

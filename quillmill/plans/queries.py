@@ -19,7 +19,7 @@ _TEST = Config(max_file_bytes=20_000)
 
 
 def _parsed(spark, sf_dir):
-    return parsing.parse_documents(fx.markdown(spark, sf_dir))
+    return parsing.parse_documents(fx.markdown(spark, sf_dir), parsing.ParserRegistry([parsing.TextParser()]))  # Markdown alone, for which no task needs a child process
 
 
 def parse_markdown_blocks(spark, sf_dir):

@@ -1,5 +1,8 @@
 """What a task holds is bounded by bytes, not by the rows that Spark sends at once."""
 
+import os
+import re
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -104,3 +107,18 @@ def test_rows_that_files_are_made_of_are_no_longer_than_their_text(spark, tmp_pa
     for files in (fixtures.pdfs, fixtures.docxs, fixtures.mixed_files):
         rows, size = files(spark, str(tmp_path)).drop("mime_type").mapInArrow(sizes, "rows long, bytes long").groupBy().sum().first()
         assert rows == 120 and size < rows * (len(text) + 200)
+
+
+def test_a_parser_process_holds_no_batch(spark):
+    """Each block tells the memory of the child that made it and of the task's process, which holds a batch of 60 MB."""
+
+    class Telling(parsing.Parser):
+        mime_types = frozenset({"x/y"})
+
+        def parse(self, content):
+            held = (int(re.search(r"RssAnon:\s+(\d+)", open(f"/proc/{p}/status").read())[1]) >> 10 for p in (os.getpid(), os.getppid()))
+            yield parsing.Block(0, "PARAGRAPH", " ".join(map(str, held)), None, [])
+
+    files = numbered(spark, 60).select("doc_id", F.encode(F.repeat(F.lit("x"), 1_000_000), "utf-8").alias("content"), F.lit("x/y").alias("mime_type"))
+    blocks = parsing.explode_blocks(parsing.parse_documents(files, parsing.ParserRegistry([Telling()]))).select("text").collect()
+    assert len(blocks) == 60 and all(child < task - 40 for child, task in (map(int, b["text"].split()) for b in blocks))
